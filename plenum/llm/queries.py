@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plenum.llm import decontaminate, quality, secrets
+from plenum.llm import decontaminate, partenum, quality, secrets
 from plenum.llm.common import table
 
 
@@ -14,12 +14,16 @@ def op3_divergence_quality(spark, sf_dir):
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op4_partenum_components(spark, sf_dir):
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_decontamination(spark, sf_dir):
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_ownership, op3_divergence_quality, op5_prefix_decontamination)}
+    return {f.__name__: f for f in (op1_secret_ownership, op3_divergence_quality, op4_partenum_components, op5_prefix_decontamination)}
 
 
 def oracle_sql():
