@@ -12,7 +12,7 @@ Documents are sets of distinct word shingles; exact copies of a set are one clas
 2. Groups. Classes with an equal signature form a group; groups of equal members are one.
 3. Hubs. Each group's members are verified exactly against the one that stands in most groups.
 4. The rest. In groups that hubs have not joined into one component, the members of different components are
-   compared in blocks by sketches (one byte for each of many partitions; similar sets differ in k at most),
+   compared in blocks, each class's largest group first, by sketches (one byte for each of many partitions; similar sets differ in k at most),
    and pairs that pass are verified exactly. No pair within a component needs a test.
 
 Shingles are 64-bit hashes of words; equal hashes count as equal shingles. Nothing is capped or sampled.
@@ -65,7 +65,7 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
 
 
 def set_key(s: np.ndarray) -> int:
-    return int(mix(mix(s ^ ODD[2]).sum(dtype=U) + U(len(s))).view(np.int64)) if len(s) else 0
+    return int(mix(mix(s ^ ODD[2]).sum(dtype=U, keepdims=True) + U(len(s))).view(np.int64)[0]) if len(s) else 0
 
 
 class Bands:
@@ -203,27 +203,32 @@ def _against_hub(batches, percent):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _within_blocks(frame, percent):
+def _compared(rows, percent, i, j):
     """Pairs of different components in two blocks of a group whose sketches differ in k parts at most."""
-    own = bands(percent)
-    i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    left, right = frame[frame["block"] == i], frame[frame["block"] == j]
-    sk = lambda f: np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), -1)
-    out = []
-    if len(left) and len(right):
-        rs, rn, rc, rk = sk(right), right["n"].to_numpy(), right["comp"].to_numpy(), right["key"].to_numpy()
-        for s, n, c, k in zip(sk(left), left["n"], left["comp"], left["key"], strict=True):
-            ok = (rc != c) & (np.minimum(rn, n) * 100 >= percent * np.maximum(rn, n))
-            if i == j:
-                ok &= rk > k
-            at = np.flatnonzero(ok)
-            if len(at):
-                diff = (rs[at] != s).sum(axis=1)
-                at = at[diff <= (100 - percent) * (rn[at] + n) // (100 + percent)]
-                out += [(k, x) for x in rk[at]]
-    import pandas as pd
-
-    return pd.DataFrame({"a": np.array([x[0] for x in out], np.int64), "b": np.array([x[1] for x in out], np.int64)})
+    n, comp, key, block = (np.array([r[x] for r in rows]) for x in range(4))
+    sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for x in left:
+        y = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= percent * np.maximum(n[right], n[x]))]
+        y = y[key[y] > key[x]] if i == j else y
+        if len(y):
+            y = y[(sketch[y] != sketch[x]).sum(axis=1) <= (100 - percent) * (n[y] + n[x]) // (100 + percent)]
+            yield from ((key[x], k) for k in key[y])
+
+
+def _within_blocks(batches, percent):
+    """Rows sorted by (gid, i, j): each such run, two blocks of at most about BLOCK rows each, is compared in itself."""
+    at, run = None, []
+    for b in batches:
+        out = []
+        for gid, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("gid", "i", "j", "n", "comp", "key", "block", "sketch")), strict=True):
+            if (gid, i, j) != at:
+                out += _compared(run, percent, *at[1:]) if len(run) > 1 else []
+                at, run = (gid, i, j), []
+            run.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+    out = list(_compared(run, percent, *at[1:])) if len(run) > 1 else []
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,7 +247,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (hub, key) that are similar. Members of a hub are dealt over salts, each with a copy of the hub's set."""
-    members = pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    members = cut(pairs.distinct()).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     hubs = members.select("hub", "salt").distinct().select("hub", F.col("hub").alias("key"), "salt", F.lit(False).alias("member"))
     rows = hubs.unionByName(members.select("hub", "key", "salt", F.lit(True).alias("member"))).join(sets.select("key", "shingles"), "key")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
@@ -269,18 +274,24 @@ def links_of_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFram
     first = _verified(hubs, sets, percent)
     comps = components(first)
 
-    member = groups.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    within = Window.partitionBy("gid")
-    open_ = member.withColumns({"lo": F.min("comp").over(within), "hi": F.max("comp").over(within), "c": F.count("*").over(within)}).filter("lo != hi and c > 2")
     sketch = sets.select("key", "n", F.explode("sketches").alias("s")).select("key", "n", "s.band", "s.sketch")
-    rest = open_.join(sketch, ["key", "band"]).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gid", "key", "n", "comp", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    near = rest.groupBy("gid", "i", "j").applyInPandas(lambda f: _within_blocks(f, percent), "a long, b long").distinct()
-    more = _verified(near.select(F.col("a").alias("hub"), F.col("b").alias("key")), sets, percent)
-    if more.isEmpty():
-        return rows, comps
-    return rows, components(first.union(more))
+    within = Window.partitionBy("gid")
+    sized = cut(groups.withColumn("c", F.count("*").over(within)).filter("c > 2"))
+    # each class is compared in its largest group first, so that most groups hold one component when all others follow
+    largest = sized.groupBy("key").agg(F.max_by("gid", F.struct("c", "gid")).alias("gid")).select("gid").distinct()
+    for some_groups in (sized.join(largest, "gid", "left_semi"), sized.join(largest, "gid", "left_anti")):
+        member = some_groups.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        open_ = member.withColumns({"lo": F.min("comp").over(within), "hi": F.max("comp").over(within)}).filter("lo != hi")
+        rest = open_.join(sketch, ["key", "band"]).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gid", "key", "n", "comp", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        rest = rest.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+        near = rest.mapInArrow(lambda bs: _within_blocks(bs, percent), "a long, b long")
+        more = _verified(near.select(F.col("a").alias("hub"), F.col("b").alias("key")), sets, percent)
+        if not more.isEmpty():
+            first = first.union(more)
+            comps = components(first)
+    return rows, comps
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

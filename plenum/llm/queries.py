@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plenum.llm import decontaminate, partenum, quality, secrets
+from plenum.llm import decontaminate, langid, lm, packing, partenum, quality, secrets, token_counts, toxicity, warc
 from plenum.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_secret_ownership(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_counterfactual_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_divergence_quality(spark, sf_dir):
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -22,9 +26,43 @@ def op5_prefix_decontamination(spark, sf_dir):
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_pseudo_likelihood(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_trie_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_compression_language(spark, sf_dir):
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op10_column_generation_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+ALL = [op1_secret_ownership, op2_counterfactual_toxicity, op3_divergence_quality, op4_partenum_components, op5_prefix_decontamination, op6_warc_round_trip, op7_pseudo_likelihood, op8_trie_token_counts, op9_compression_language, op10_column_generation_packing]
+
+#: The archives' records follow from the pages alone.
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+     d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+     r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM r
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_ownership, op3_divergence_quality, op4_partenum_components, op5_prefix_decontamination)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_warc_round_trip": OP6_SQL}
