@@ -1,13 +1,53 @@
-"""Corpus pipeline over documents; see STAGES."""
+"""Corpus pipeline over documents: toxic texts, near copies and contaminated texts go, secrets are masked, the rest is packed."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from plenum.llm import decontaminate, packing, partenum, secrets, toxicity
+from plenum.llm.common import cut, table
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Rows that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """Of each component of similar texts, the row of the least doc_id stays (one row of it, if it repeats)."""
+    found = partenum.jaccard_components(docs)
+    gone = cut(found.filter("component_id != doc_id").select("doc_id"))
+    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = cut(twice)
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Rows whose text is contaminated by the benchmark go."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark, docs, sf_dir):
+    """Every secret found is masked in the text; all rows stay."""
+    return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark, docs, sf_dir):
+    """The pieces of packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", mask_secrets), ("packing", pack)]
+#: Training, signatures and tokenizers are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs
