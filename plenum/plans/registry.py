@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame
 
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+class Tables:
+    """Tables of a folder by name: Tables(spark, dir).orders."""
+
+    def __init__(self, spark, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its own name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from plenum.plans import finance, graph, monitoring, relational, search, texts, transcripts  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(SQL)
