@@ -1 +1,79 @@
-"""To come."""
+"""Property graph over region, nation, customer and supplier: bounded walks, path scores, components."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plenum.plans.registry import query
+
+EDGES_SQL = """edges AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'LOCATED_IN' AS kind, 0.9 AS conf FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'LIVES_IN', CASE WHEN c_acctbal < 0 THEN 0.8 ELSE 0.6 END FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'TRADES_IN', 0.7 FROM supplier),
+twoway AS (SELECT source, target, kind, conf FROM edges UNION ALL SELECT target, source, kind, conf FROM edges)"""
+
+
+def edges(t):
+    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    row = lambda df, a, b, kind, conf: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), conf.cast("double").alias("conf"))
+    return (
+        row(t.nation, node("n", "n_nationkey"), node("r", "n_regionkey"), "LOCATED_IN", F.lit(0.9))
+        .unionByName(row(t.customer, node("c", "c_custkey"), node("n", "c_nationkey"), "LIVES_IN", F.when(F.col("c_acctbal") < 0, 0.8).otherwise(0.6)))
+        .unionByName(row(t.supplier, node("s", "s_suppkey"), node("n", "s_nationkey"), "TRADES_IN", F.lit(0.7)))
+    )
+
+
+def symmetrised(e):
+    return e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "kind", "conf"))
+
+
+def walk(e, seeds, hops=2, kinds=None, least=0.0):
+    """Acyclic paths from seeds along edges in either direction, up to so many hops; edges are filtered before the walk."""
+    e = e.filter((F.col("conf") >= least) & (F.col("kind").isin(kinds) if kinds else F.lit(True)))
+    step = symmetrised(e).select(F.col("source").alias("at"), "target", "kind", "conf")
+    paths = step.join(seeds.select(F.col("node").alias("at")), "at").select(F.array("at", "target").alias("nodes"), F.array("kind").alias("kinds"), F.array("conf").alias("confs"), F.col("target").alias("at"))
+    out = paths
+    for _ in range(hops - 1):
+        paths = paths.join(step, "at").filter(~F.array_contains("nodes", F.col("target"))).select(F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("kinds", F.col("kind")).alias("kinds"), F.array_append("confs", F.col("conf")).alias("confs"), F.col("target").alias("at"))
+        out = out.unionByName(paths)
+    return out.drop("at").withColumn("depth", F.size("kinds"))
+
+
+def scored(paths, boost=None, decay=0.7):
+    """conf × decay^(hops-1) × the geometric mean of the kinds' boosts."""
+    product = F.aggregate("confs", F.lit(1.0), lambda a, x: a * F.greatest(x, F.lit(0.01)))
+    factor = lambda k: F.coalesce(*[F.when(k == n, F.lit(float(b))) for n, b in (boost or {}).items()], F.lit(1.0))
+    mean = F.pow(F.aggregate(F.transform("kinds", factor), F.lit(1.0), lambda a, x: a * x), 1 / F.col("depth"))
+    return paths.withColumn("score", F.round(product * F.pow(F.lit(decay), F.col("depth") - 1) * mean, 6))
+
+
+@query(f"WITH {EDGES_SQL} SELECT kind, count(*) AS n FROM edges GROUP BY 1")
+def edges_by_kind(t):
+    return edges(t).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EDGES_SQL}, one AS (SELECT source AS s, target AS a, conf FROM twoway WHERE source LIKE 's%'),
+two AS (SELECT s, a, b.target AS z, one.conf * b.conf AS conf, b.kind FROM one JOIN twoway b ON b.source = a WHERE b.target <> s)
+SELECT s || '>' || a AS path, 1 AS depth, round(conf, 6) AS score FROM one
+UNION ALL SELECT s || '>' || a || '>' || z, 2, round(conf * 0.7 * CASE WHEN kind = 'LOCATED_IN' THEN sqrt(1.5) ELSE 1 END, 6) FROM two""")
+def scored_walks(t):
+    """All paths of up to two hops from suppliers, with scores that favour LOCATED_IN."""
+    seeds = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return scored(walk(edges(t), seeds), {"LOCATED_IN": 1.5}).select(F.array_join("nodes", ">").alias("path"), "depth", "score")
+
+
+@query(f"""WITH {EDGES_SQL} SELECT 'c' || c_custkey AS node, count(DISTINCT 's' || s_suppkey) AS hits, round(count(DISTINCT s_suppkey) * 1.0 / (SELECT count(*) FROM supplier), 6) AS score FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY 1""")
+def hydrated_hits(t):
+    """Customers that share a nation with suppliers: distinct seeds reached, as a share of all seeds."""
+    total = t.supplier.count()
+    j = t.customer.join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey"))
+    return j.groupBy(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node")).agg(F.count_distinct("s_suppkey").alias("hits"), F.round(F.count_distinct("s_suppkey") / F.lit(total), 6).alias("score"))
+
+
+@query("""WITH RECURSIVE up AS (SELECT 'c' || c_custkey AS leaf, 'n' || c_nationkey AS node, 1 AS depth FROM customer UNION ALL SELECT leaf, 'r' || n_regionkey, 2 FROM up JOIN nation ON node = 'n' || n_nationkey)
+SELECT node, depth, count(*) AS n FROM up GROUP BY ALL""")
+def location_hierarchy(t):
+    """How many customers lie under each nation and region."""
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string")).alias("node")
+    one = t.customer.select(name("n", "c_nationkey"), F.lit(1).alias("depth"))
+    return one.unionByName(c.select(name("r", "n_regionkey"), F.lit(2).alias("depth"))).groupBy("node", "depth").agg(F.count("*").alias("n"))

@@ -1 +1,71 @@
-"""To come."""
+"""Event log: usage, latency, errors, alerts and sessions; value stands for the latency."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from plenum.operators.relops import distinct_on
+from plenum.plans.registry import query
+
+def error():
+    return F.col("event_type") == "error"
+
+
+@query("""SELECT count(*) AS calls, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') AS errors, round(quantile_cont(value, 0.95), 4) AS p95, round(100.0 * count(*) FILTER (WHERE event_type <> 'error') / count(*), 2) AS success FROM events""")
+def headline(t):
+    return t.events.agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"), F.count_if(error()).alias("errors"), F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(100.0 * F.count_if(~error()) / F.count("*"), 2).alias("success"))
+
+
+@query("SELECT event_type, count(*) AS calls, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1 ORDER BY calls DESC, event_type LIMIT 10")
+def usage_by_tool(t):
+    return t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95")).orderBy(F.desc("calls"), "event_type").limit(10)
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1")
+def hourly_calls(t):
+    return t.events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_id AS last_event, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events) WHERE rn = 1")
+def latest_per_user(t):
+    return distinct_on(t.events, ["user_id"], [F.desc_nulls_first("ts"), F.desc("event_id")]).select("user_id", F.col("event_id").alias("last_event"), "event_type")
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_type, count(*) FILTER (WHERE ts > now - INTERVAL 7 DAY) AS this_week, count(*) FILTER (WHERE ts <= now - INTERVAL 7 DAY AND ts > now - INTERVAL 14 DAY) AS last_week FROM events, m GROUP BY 1""")
+def week_deltas(t):
+    now = F.lit(t.events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    day = F.expr("INTERVAL 7 DAYS")
+    return t.events.groupBy("event_type").agg(F.count_if(F.col("ts") > now - day).alias("this_week"), F.count_if((F.col("ts") <= now - day) & (F.col("ts") > now - day - day)).alias("last_week"))
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1)
+SELECT day, CASE WHEN n >= 5 AND errors > 0.2 * n THEN 'errors' WHEN p95 > 200 THEN 'slow' ELSE 'ok' END AS alert FROM d""")
+def alert_rules(t):
+    d = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(error()).alias("errors"), F.percentile("value", 0.95).alias("p95"))
+    return d.select("day", F.when((F.col("n") >= 5) & (F.col("errors") > 0.2 * F.col("n")), "errors").when(F.col("p95") > 200, "slow").otherwise("ok").alias("alert"))
+
+
+@query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
+def sessions(t):
+    """Sessions that end after an hour of silence."""
+    s = t.events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").alias("started"), "n")
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS last_hour FROM events")
+def trailing_window(t):
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-3600, 0)
+    return t.events.select("event_id", "user_id", F.count("*").over(w).alias("last_hour"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+def json_predicate(t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return t.events.filter(k > 50).select("event_id", k.alias("k"))
+
+
+@query("SELECT event_id, sha256(props) AS params FROM events")
+def audit_hash(t):
+    return t.events.select("event_id", F.sha2("props", 256).alias("params"))

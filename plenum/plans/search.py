@@ -1 +1,164 @@
-"""To come."""
+"""Retrieval: nearest vectors, keyword search, rank fusion, filters and context."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from plenum.functions.text import jaccard, word_set
+from plenum.operators.relops import distinct_on, top_n
+from plenum.plans.registry import query
+
+QUERY_WORDS = ["the", "of", "and"]  # terms of the example question
+WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+
+
+def dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def nearest_vectors(vectors, query_vector, k, least=0.15, condition=None):
+    """Exact cosine top-k over unit vectors; score at least `least`, ids break ties. A one-row query side rides along as a literal."""
+    rows = vectors if condition is None else vectors.filter(condition)
+    scored = rows.select("vec_id", "label", F.round(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query_vector])), 5).alias("score"))
+    return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def _vector(t, vec_id=0):
+    return t.embeddings.filter(F.col("vec_id") == vec_id).first().embedding
+
+
+KNN = "SELECT e.vec_id, e.label, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+@query(f"SELECT * FROM ({KNN}) WHERE score >= 0.15 ORDER BY score DESC, vec_id LIMIT 10")
+def vector_top_k(t):
+    return nearest_vectors(t.embeddings, _vector(t), 10)
+
+
+@query(f"SELECT * FROM ({KNN}) WHERE label = 3 AND score >= -1 ORDER BY score DESC, vec_id LIMIT 10")
+def filtered_vector_top_k(t):
+    return nearest_vectors(t.embeddings, _vector(t), 10, -1, F.col("label") == 3)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents) SELECT doc_id, len(list_intersect(w, ['the', 'of', 'and'])) AS hits FROM d WHERE len(list_intersect(w, ['the', 'of', 'and'])) >= 2""")
+def term_or_filter(t):
+    """Documents with two or more distinct terms."""
+    hits = F.size(F.array_intersect(word_set(F.col("text")), F.array(*[F.lit(w) for w in QUERY_WORDS])))
+    return t.documents.select("doc_id", hits.alias("hits")).filter("hits >= 2")
+
+
+def bm25(docs, terms, k1=1.2, b=0.75):
+    """doc_id, score of the terms. Only the terms' postings leave a document, so nothing else is shuffled."""
+    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
+    rows = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), F.filter("w", lambda x: x.isin(terms)).alias("hit"))
+    total = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    posts = rows.select("doc_id", "n", F.explode("hit").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    df = {r.term: r.df for r in posts.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
+    idf = {w: _idf(total.docs, df.get(w, 0)) for w in terms}
+    weight = F.coalesce(*[F.when(F.col("term") == w, F.lit(x)) for w, x in idf.items()])
+    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(float(total.mean or 1))))
+    return posts.groupBy("doc_id").agg(F.round(F.sum(part), 5).alias("score"))
+
+
+def _idf(n, df):
+    import math
+
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+BM25 = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+p AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM d, unnest(w) AS u(term) WHERE term IN ('the', 'of', 'and') GROUP BY 1, 2, 3),
+f AS (SELECT term, ln(1 + ((SELECT docs FROM s) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p GROUP BY 1),
+k AS (SELECT doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT mean FROM s)))), 5) AS score FROM p JOIN f USING (term) GROUP BY 1)"""
+
+
+@query(BM25 + " SELECT doc_id, score FROM k ORDER BY score DESC, doc_id LIMIT 20")
+def keyword_top_k(t):
+    return bm25(t.documents, QUERY_WORDS).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+def fuse(lists, k=60):
+    """Reciprocal rank fusion of lists (id, place from 0): the sum of 1 / (k + place); the first list breaks ties."""
+    rows = None
+    for order, df in enumerate(lists):
+        own = df.select("id", "place", F.lit(order).alias("list"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("id").agg(F.round(F.sum(1.0 / (k + F.col("place"))), 8).alias("score"), F.min(F.struct("list", "place")).alias("first")).select("id", "score", F.col("first.list").alias("first_list"), F.col("first.place").alias("first_place"))
+
+
+@query(BM25.replace("WITH d", f"WITH knn AS ({KNN}), v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS place, 0 AS list FROM (SELECT * FROM knn WHERE score >= 0.15 ORDER BY score DESC, vec_id LIMIT 30)), d")
+       + """, b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS place, 1 AS list FROM (SELECT * FROM k ORDER BY score DESC, doc_id LIMIT 30)), u AS (SELECT * FROM v UNION ALL SELECT * FROM b)
+SELECT id, round(sum(1.0 / (60 + place)), 8) AS score, min(list) AS first_list, arg_min(place, list) AS first_place FROM u GROUP BY 1""")
+def hybrid_fusion(t):
+    """Vector and keyword lists of 30, fused on one id."""
+    place = lambda df, i: df.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), i)) - 1).select(F.col(i).alias("id"), "place")  # noqa: E731  over 30 rows
+    return fuse([place(nearest_vectors(t.embeddings, _vector(t), 30), "vec_id"), place(bm25(t.documents, QUERY_WORDS).orderBy(F.desc("score"), "doc_id").limit(30), "doc_id")])
+
+
+@query(f"WITH k AS (SELECT * FROM ({KNN})), n AS (SELECT *, count(*) FILTER (WHERE score >= 0.5) OVER () AS strong FROM k) SELECT vec_id, label, score FROM n WHERE score >= CASE WHEN strong >= 3 THEN 0.5 ELSE 0.3 END")
+def relaxed_quality_floor(t):
+    """A floor of 0.5; where under three rows pass, 0.3."""
+    rows = nearest_vectors(t.embeddings, _vector(t), 2**31 - 1, -1).select("vec_id", "label", "score")
+    strong = rows.filter("score >= 0.5").limit(3).count()
+    return rows.filter(F.col("score") >= (0.5 if strong >= 3 else 0.3))
+
+
+@query(f"SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) rn FROM ({KNN})) WHERE rn = 1")
+def keep_first_per_group(t):
+    """The best vector of each label."""
+    scored = t.embeddings.select("vec_id", "label", F.round(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in _vector(t)])), 5).alias("score"))
+    return distinct_on(scored, ["label"], [F.desc("score"), F.col("vec_id")]).select("label", "vec_id", "score")
+
+
+@query(f"""WITH k AS (SELECT * FROM ({KNN}) ORDER BY score DESC, vec_id LIMIT 40), c AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total FROM k)
+SELECT vec_id, label, CASE WHEN n > 0.35 * total THEN 'document' WHEN n > 1 THEN 'section' ELSE 'fragment' END AS tier FROM c""")
+def hierarchical_tiers(t):
+    """A label with over 35 % of the hits is read whole, one with several by section, others by fragment."""
+    hits = nearest_vectors(t.embeddings, _vector(t), 40, -1)
+    n, total = F.count("*").over(Window.partitionBy("label")), F.count("*").over(Window.partitionBy())
+    return hits.select("vec_id", "label", F.when(n > 0.35 * total, "document").when(n > 1, "section").otherwise("fragment").alias("tier"))
+
+
+@query(f"""WITH k AS (SELECT * FROM ({KNN}) ORDER BY score DESC, vec_id LIMIT 50), n AS (SELECT count(*) AS c FROM k GROUP BY label)
+SELECT round(-sum((c / 50.0) * log2(c / 50.0)), 6) AS entropy, count(*) AS labels FROM n""")
+def retrieval_diversity(t):
+    counts = nearest_vectors(t.embeddings, _vector(t), 50, -1).groupBy("label").count()
+    p = F.col("count") / 50.0
+    return counts.agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy"), F.count("*").alias("labels"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, {WORDS_SQL} AS w FROM documents), s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn FROM d)
+SELECT a.source, a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) * 1.0 / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS similarity
+FROM s a JOIN s b ON a.source = b.source AND b.rn = a.rn + 1""")
+def neighbour_similarity(t):
+    """Word-set similarity of each document with the next one of its source."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    rows = t.documents.select("source", "doc_id", word_set(F.col("text")).alias("w"))
+    rows = rows.select("source", F.col("doc_id").alias("a"), F.lead("doc_id").over(w).alias("b"), "w", F.lead("w").over(w).alias("v")).filter("b is not null")
+    return rows.select("source", "a", "b", F.round(jaccard(F.col("w"), F.col("v")), 6).alias("similarity"))
+
+
+def mmr(rows, k: int, weight: float = 0.6):
+    """Greedy choice of each document's sentences: relevance against likeness to those chosen. At most 50 candidates a document."""
+    best = top_n(rows, ["doc_id"], [F.desc("score"), F.col("pos")], 50, "place")
+
+    def choose(frame):
+        left, out = list(frame.sort_values("place").itertuples()), []
+        sets = {r.place: set(r.words) for r in left}
+        like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] and sets[b] else 0.0
+        while left and len(out) < k:
+            r = max(left, key=lambda r: (weight * r.score - (1 - weight) * max((like(r.place, o.place) for o in out), default=0.0), -r.place))
+            out.append(r)
+            left.remove(r)
+        return frame.set_index("place").loc[[r.place for r in out]].assign(chosen=range(1, len(out) + 1)).reset_index()[["doc_id", "pos", "chosen"]]
+
+    return best.groupBy("doc_id").applyInPandas(choose, "doc_id long, pos int, chosen int")
+
+
+@query()
+def mmr_sentences(t):
+    """Five varied sentences of each document; a sentence's relevance is its share of the document's words."""
+    rows = t.documents.select("doc_id", word_set(F.col("text")).alias("all"), F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "s"))
+    rows = rows.select("doc_id", "pos", word_set(F.col("s")).alias("words"), F.round(F.size(word_set(F.col("s"))) / F.size("all"), 8).alias("score"))
+    return mmr(rows, 5)
