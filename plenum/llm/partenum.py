@@ -12,7 +12,7 @@ Documents are sets of distinct word shingles; exact copies of a set are one clas
 2. Groups. Classes with an equal signature form a group; groups of equal members are one.
 3. Hubs. Each group's members are verified exactly against the one that stands in most groups.
 4. The rest. In groups that hubs have not joined into one component, the members of different components are
-   compared in blocks, each class's largest group first, by sketches (one byte for each of many partitions; similar sets differ in k at most),
+   compared in blocks, all groups of a hub together, by sketches (one byte for each of many partitions; similar sets differ in k at most),
    and pairs that pass are verified exactly. No pair within a component needs a test.
 
 Shingles are 64-bit hashes of words; equal hashes count as equal shingles. Nothing is capped or sampled.
@@ -217,17 +217,17 @@ def _compared(rows, percent, i, j):
 
 
 def _within_blocks(batches, percent):
-    """Rows sorted by (gid, i, j): each such run, two blocks of at most about BLOCK rows each, is compared in itself."""
+    """Rows sorted by (hub, band, i, j): each such run, two blocks of about BLOCK rows each, is compared in itself."""
     at, run = None, []
     for b in batches:
         out = []
-        for gid, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("gid", "i", "j", "n", "comp", "key", "block", "sketch")), strict=True):
-            if (gid, i, j) != at:
-                out += _compared(run, percent, *at[1:]) if len(run) > 1 else []
-                at, run = (gid, i, j), []
+        for hub, band, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("hub", "band", "i", "j", "n", "comp", "key", "block", "sketch")), strict=True):
+            if (hub, band, i, j) != at:
+                out += _compared(run, percent, *at[2:]) if len(run) > 1 else []
+                at, run = (hub, band, i, j), []
             run.append(row)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-    out = list(_compared(run, percent, *at[1:])) if len(run) > 1 else []
+    out = list(_compared(run, percent, *at[2:])) if len(run) > 1 else []
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -270,28 +270,24 @@ def links_of_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFram
     sets = cut(found.mapInArrow(lambda bs: _described(bs, size, percent), "key long, n long, shingles binary, sketches array<struct<band:int,sketch:binary>>").dropDuplicates(["key"]))
 
     by_weight = F.max(F.struct("weight", "key")).over(Window.partitionBy("gid"))["key"]
-    hubs = groups.join(wanted, "key").select("key", by_weight.alias("hub")).filter("key != hub")
-    first = _verified(hubs, sets, percent)
+    groups = cut(groups.join(wanted, "key").select("gid", "band", "key", by_weight.alias("hub")))
+    first = _verified(groups.filter("key != hub").select("key", "hub"), sets, percent)
     comps = components(first)
 
     sketch = sets.select("key", "n", F.explode("sketches").alias("s")).select("key", "n", "s.band", "s.sketch")
     within = Window.partitionBy("gid")
-    sized = cut(groups.withColumn("c", F.count("*").over(within)).filter("c > 2"))
-    # each class is compared in its largest group first, so that most groups hold one component when all others follow
-    largest = sized.groupBy("key").agg(F.max_by("gid", F.struct("c", "gid")).alias("gid")).select("gid").distinct()
-    for some_groups in (sized.join(largest, "gid", "left_semi"), sized.join(largest, "gid", "left_anti")):
-        member = some_groups.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        open_ = member.withColumns({"lo": F.min("comp").over(within), "hi": F.max("comp").over(within)}).filter("lo != hi")
-        rest = open_.join(sketch, ["key", "band"]).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gid", "key", "n", "comp", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        rest = rest.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-        near = rest.mapInArrow(lambda bs: _within_blocks(bs, percent), "a long, b long")
-        more = _verified(near.select(F.col("a").alias("hub"), F.col("b").alias("key")), sets, percent)
-        if not more.isEmpty():
-            first = first.union(more)
-            comps = components(first)
-    return rows, comps
+    member = groups.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    open_ = member.withColumns({"lo": F.min("comp").over(within), "hi": F.max("comp").over(within), "c": F.count("*").over(within)}).filter("lo != hi and c > 2")
+    # groups of one hub share most members: together, each pair is met once
+    rest = open_.select("hub", "band", "key", "comp").distinct().withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("hub", "band")) / BLOCK).cast("int"))
+    rest = rest.join(sketch, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "band", "key", "n", "comp", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = rest.repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j")
+    near = rest.mapInArrow(lambda bs: _within_blocks(bs, percent), "a long, b long")
+    more = _verified(near.select(F.col("a").alias("hub"), F.col("b").alias("key")), sets, percent)
+    if more.isEmpty():
+        return rows, comps
+    return rows, components(first.union(more))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
