@@ -22,6 +22,8 @@ from plenum.llm.common import cut, lower_ascii
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHINGLE = 4
+#: Benchmarks of at most so many shingles are broadcast as hashes.
+MAX_BROADCAST = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -65,14 +67,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     items = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("ws"))
     wins = cut(_windows(items, window))
     sizes = sorted(r.k for r in wins.select("k").distinct().collect()) or [SHINGLE]  # at most SHINGLE values
-    known = wins.select(*SAME).distinct().withColumn("known", F.lit(True))
+    known = wins.select("hash").distinct().withColumn("known", F.lit(True))
+    if wins.count() <= MAX_BROADCAST:  # 9 bytes a row; beyond it, Spark joins the hashes as it joins any large tables
+        known = F.broadcast(known)
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("ws"))
     rows = rows.select("id", "row", F.size("ws").alias("n"), F.explode_outer(_shingles("ws", sizes)).alias("s"))
     rows = rows.select("id", "row", "n", "s.pos", *[F.col(f"s.{c}") for c in SAME])
-    # places of shingles that any window has; besides, one row of every document, for its number of words
+    # places of shingles whose hash any window has (all later joins compare the words); besides, one row of every document, for its number of words
     first = F.coalesce((F.col("pos") == 0) & (F.col("k") == sizes[0]), F.col("pos").isNull() | (F.col("n") < sizes[0]))
-    places = cut(rows.join(known, SAME, "left").filter(F.col("known") | first).withColumn("first", first))
+    places = cut(rows.join(known, "hash", "left").filter(F.col("known") | first).withColumn("first", first))
     hits = places.filter("known").select("row", "n", "pos", *SAME)
 
     rare = hits.groupBy(*SAME).agg(F.count("*").alias("often"))
