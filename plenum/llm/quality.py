@@ -72,6 +72,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     rows = rows.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     known = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x.isin(ALL_WORDS))
     rows = rows.withColumn("known", known)
+    rows = rows.withColumn("present", F.array_distinct("known"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     size = F.length("text")
     part = [F.length(F.regexp_replace("text", p, "")) for p in CLASSES.values()]
@@ -85,7 +86,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         _repeated_words("words").alias("n_repeat_words"),
         size.cast("bigint").alias("n_chars"),
         F.array(*part, size).cast("array<bigint>").alias("chars"),
-        F.transform(F.array(*[F.lit(x) for x in ALL_WORDS]), lambda x: F.size("known") - F.size(F.array_remove("known", x))).cast("array<bigint>").alias("common"),
+        F.transform(F.array(*[F.lit(x) for x in ALL_WORDS]), lambda x: F.when(F.array_contains("present", x), F.size("known") - F.size(F.array_remove("known", x))).otherwise(0)).cast("array<bigint>").alias("common"),
     )
 
 
