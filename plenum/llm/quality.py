@@ -70,7 +70,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
     rows = rows.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    known = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x.isin(ALL_WORDS))
+    known = F.transform(F.filter("words", lambda x: F.lower(x).isin(ALL_WORDS)), F.lower)
     rows = rows.withColumn("known", known)
     rows = rows.withColumn("present", F.array_distinct("known"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
