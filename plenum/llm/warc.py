@@ -8,9 +8,10 @@ by range, searches it and reads one record by range. Reading back walks the dire
 Of records with equal payloads of at least MIN_REVISIT bytes, that of the largest page id is the response,
 others are revisits of it without payload.
 
-Defined cases: null html is an empty payload; null urls have an empty key; repeated page ids are written each
-for itself, and of rows that share payload and page id one is the response; an empty table gives no records;
-other columns are ignored.
+Defined cases: null html is an empty payload; null urls have an empty key; null page ids are
+written without a number, read back as null, and never are what others revisit; repeated page ids are written
+each for itself, and rows that share payload and the largest page id all are responses; an empty table gives
+no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,14 +47,14 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "") if host else url or ""
 
 
-def record(page: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member. A revisit keeps the HTTP header only, with the full payload's Content-Length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
     kind = "response" if refers_to is None else "revisit"
     more = "" if refers_to is None else f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:{refers_to}>\r\n"
     target = re.sub(r"[\r\n]", "", url or "")
-    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha1:{digest}\r\n{more}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{'' if page is None else page}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha1:{digest}\r\n{more}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n") + packer.flush()
 
@@ -71,7 +72,7 @@ def parse(member: bytes) -> dict:
     digest = named if revisit else hashlib.sha1(payload).hexdigest()
     if digest != named or not revisit and size != len(payload):
         raise ValueError("a record's payload doesn't match its digest or length")
-    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    page = lambda x: int(n) if (n := x.removeprefix("<urn:page:").removesuffix(">")) else None
     return {"page_id": page(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": page(fields["WARC-Refers-To"]) if revisit else None, "url": fields["WARC-Target-URI"], "payload": payload}
 
 
@@ -85,11 +86,16 @@ def _write(batches, folder):
     store, path = _open(folder)
     task = TaskContext.get()
     name, attempt = f"part-{task.partitionId():05d}", f".{task.taskAttemptId()}"
-    lines, places, offset = [], [], 0
+    lines, places, offset, at, marks = [], [], 0, None, {}
     out = store.open_output_stream(f"{path}/{name}.warc.gz{attempt}")
     for b in batches:
         for page, url, key, payload, digest, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "key", "payload", "digest", "refers_to")), strict=True):
-            member = record(page, url, payload, digest, refers)
+            if at != (key, page):
+                at, marks = (key, page), {}
+            if payload is None:  # a mark: this page's record of that digest is a revisit
+                marks[digest] = refers
+                continue
+            member = record(page, url, payload, digest, marks.get(digest))
             out.write(member)
             lines.append(json.dumps([key, page, offset, len(member)]))
             offset += len(member)
@@ -123,25 +129,33 @@ def _read(batches, folder):
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if c in ("payload_digest", "record_type") else pa.int64()) for c in names], list(names))
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, key, payload, digest, refers_to. Only ids and digests of payloads that may repeat are grouped."""
+def with_marks(pages: DataFrame) -> DataFrame:
+    """page_id, url, key, payload, digest, refers_to: the pages, and marks without payload that name revisits and their response.
+
+    Only keys, ids and digests of payloads that may repeat are grouped and joined; payloads aren't.
+    """
+    keys = F.udf(url_key, "string", useArrow=False)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "digest")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", keys("url").alias("key"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    large = rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "key", "digest")
     group = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
-    seen = large.join(group, "digest").filter("page_id != response").select("page_id", "digest", F.col("response").alias("refers_to")).distinct()
-    return rows.join(seen, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    marks = large.join(group, "digest").filter("not page_id <=> response and response is not null")
+    nothing = F.lit(None)
+    marks = marks.select("page_id", nothing.cast("string").alias("url"), "key", nothing.cast("binary").alias("payload"), "digest", F.col("response").alias("refers_to"))
+    return rows.withColumn("refers_to", nothing.cast("long")).unionByName(marks)
 
 
 def write_archives(pages: DataFrame, folder: str, n_archives: int | None = None) -> DataFrame:
-    """Write the archives and their indexes under folder; the directory: archive, first_key, offset, length of each block."""
+    """Write the archives and their indexes under folder; the directory: archive, first_key, offset, length of each block.
+
+    Marks are dealt and sorted with the pages, just before theirs, so that payloads are shuffled once.
+    """
     spark = pages.sparkSession
-    keys = F.udf(url_key, "string", useArrow=False)
     n = n_archives or max(1, -(-pages.count() // PAGES_PER_ARCHIVE))
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
-    rows = with_revisits(pages.select("page_id", "url", "html")).withColumn("key", keys("url"))
-    rows = rows.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    rows = with_marks(pages.select("page_id", "url", "html")).repartitionByRange(n, "key", "page_id")
+    rows = rows.sortWithinPartitions("key", "page_id", F.col("payload").isNotNull())
     rows.mapInArrow(lambda bs: _write(bs, folder), "archive string, first_key string, offset long, length long").write.parquet(f"{folder}/directory")
     return spark.read.parquet(f"{folder}/directory")
 

@@ -61,14 +61,15 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     big, rows = "x" * 1000 + "é", [(1000, "http://a.b/c", None), (1001, None, ""), (1002, "http://a.b/c\r\nX: y", "z" * 2000)]
     rows += [(2000 + i, f"http://h.example/{i % 7}", big) for i in range(40)] + [(3000, "http://h.example/1", "x" * 999), (3001, "http://h.example/1", "x" * 999)]
+    rows += [(None, "http://h.example/1", big), (None, None, "q" * 1500), (3002, "http://h.example/1", big), (2000, "http://h.example/0", big)]
     pages = pages.unionByName(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string"), allowMissingColumns=True)
     directory = warc.write_archives(pages, str(tmp_path / "w"), 3)
     got = warc.read_archives(directory, str(tmp_path / "w")).collect()
     data = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
     last = defaultdict(int)
     for i, p in data:
-        last[p] = max(last[p], i)
-    want = Counter((i, len(p), hashlib.sha1(p).hexdigest(), *(("revisit", last[p]) if len(p) >= 1000 and i != last[p] else ("response", None))) for i, p in data)
+        last[p] = max(last[p], i or 0)
+    want = Counter((i, len(p), hashlib.sha1(p).hexdigest(), *(("revisit", last[p]) if len(p) >= 1000 and last[p] and i != last[p] else ("response", None))) for i, p in data)
     assert Counter(tuple(r) for r in got) == want
     found = warc.lookup(directory, str(tmp_path / "w"), "http://h.example/1")
     assert {r["page_id"] for r in found} == {r[0] for r in rows if r[1] == "http://h.example/1"}
