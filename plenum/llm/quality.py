@@ -28,8 +28,8 @@ COMMON_WORDS = {
     "nl": "de en van ik te dat die in een hij het niet zijn is was op aan met als voor had er maar om hem dan zou of wat mijn".split(),
 }
 ALL_WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-#: Character classes as Java patterns of what does NOT belong; the rest of the text is a class of its own.
-CLASSES = {"lower": r"\P{Ll}+", "upper": r"\P{Lu}+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+"}
+#: Character classes in the order of a histogram; the rest of the text is a class of its own.
+CLASSES = ("lower", "upper", "digit", "space")
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Distances are judged from so many characters and words on.
@@ -43,50 +43,62 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _repeated_words(words: str) -> Column:
-    """Words in 3-word windows that occur twice or more. Hashes find the few windows that can be repeated, the words themselves decide."""
-    n = F.size(words)
-    w = F.col(words)
+def _window_keys(words: str) -> Column:
+    """For each 3-word window the low half of its hash, and its place: one long each, without nulls, so that arrays of them sort as primitives."""
+    at = lambda i: F.get(F.col(words), i)
+    # the last two, of fewer than 3 words, equal no other window
+    return F.transform(words, lambda x, i: F.shiftleft(F.xxhash64(x, at(i + 1), at(i + 2)), 32).bitwiseOR(i.cast("bigint")))
 
-    def twins(keys: Column) -> Column:
-        """Places of the entries (key, at) of a sorted array whose key stands in it twice."""
-        same = lambda e, j: (F.get(keys, j - 1)["key"] == e["key"]) | (F.get(keys, j + 1)["key"] == e["key"])
-        return F.transform(F.filter(keys, lambda e, j: F.coalesce(same(e, j), F.lit(False)) | F.coalesce(F.get(keys, j + 1)["key"] == e["key"], F.lit(False))), lambda e: e["at"])
 
-    def exact(at: Column) -> Column:
+def _repeated_words(words: str, ordered: str) -> Column:
+    """Words in 3-word windows that occur twice or more. The ordered window keys find the few windows that can be repeated, the words themselves decide."""
+    w, keys = F.col(words), F.col(ordered)
+
+    def twins(entries: Column, key) -> Column:
+        """The entries of a sorted array whose key stands in it twice."""
+        return F.filter(entries, lambda e, j: (key(F.get(entries, j - 1)) == key(e)) | (key(F.get(entries, j + 1)) == key(e)))
+
+    def exact(found: Column) -> Column:
+        at = F.transform(found, lambda e: e.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
         texts = F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("key"), i.alias("at")))
-        return F.size(F.array_distinct(F.flatten(F.transform(_let(F.sort_array(texts), twins), lambda i: F.array(i, i + 1, i + 2)))))
+        inside = lambda e: F.array(e["at"], e["at"] + 1, e["at"] + 2)
+        return F.size(F.array_distinct(F.flatten(F.transform(_let(F.sort_array(texts), lambda t: twins(t, lambda e: e["key"])), inside))))
+
+    return _let(twins(keys, lambda e: F.shiftright(e, 32)), lambda found: F.when(F.size(found) > 0, exact(found)).otherwise(0)).cast("bigint")
+
+
+def _common_counts(words: Column) -> Column:
+    """How often each of ALL_WORDS stands in words: sorted together with one of each, their runs are as long as the counts and one."""
+    known = F.transform(F.filter(words, lambda x: F.lower(x).isin(ALL_WORDS)), F.lower)
 
-    def searched(hashes: Column) -> Column:
-        marked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("key"), i.alias("at"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(_let(marked, twins), exact))
+    def runs(row: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda i: (i == 0) | (F.get(row, i) != F.get(row, i - 1)))
+        return _let(starts, lambda s: F.transform(s, lambda at, j: F.coalesce(F.get(s, j + 1), F.size(row)) - at - 1))
 
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(n >= 4, _let(hashes, searched)).otherwise(0).cast("bigint")
+    return _let(F.sort_array(F.concat(known, F.array(*[F.lit(x) for x in ALL_WORDS]))), runs).cast("array<bigint>")
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """id, lang, the base counts, chars (histogram over CLASSES and the rest), common (over ALL_WORDS)."""
+    """id, lang, the base counts, n_chars, chars (histogram over CLASSES), common (over ALL_WORDS)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
     rows = rows.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    known = F.transform(F.filter("words", lambda x: F.lower(x).isin(ALL_WORDS)), F.lower)
-    rows = rows.withColumn("known", known)
-    rows = rows.withColumn("present", F.array_distinct("known"))
+    rows = rows.withColumn("joined", F.array_join("words", ""))
+    rows = rows.withColumns({"ordered": F.sort_array(_window_keys("words")), "rest": F.regexp_replace("joined", r"\p{Ll}+", "")})  # rest: all but spaces and small letters
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    size = F.length("text")
-    part = [F.length(F.regexp_replace("text", p, "")) for p in CLASSES.values()]
+    left = lambda other: F.length(F.regexp_replace("rest", other, ""))
+    size, word_chars = F.length("text"), F.length("joined")
     return rows.select(
         "id",
         "lang",
         F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
-        F.when(F.col("text").rlike(r"[#*$%&|<>]"), F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", ""))).otherwise(0).cast("bigint").alias("n_symbols"),
+        word_chars.cast("bigint").alias("word_chars"),
+        left(r"[^#*$%&|<>]+").cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        _repeated_words("words").alias("n_repeat_words"),
+        _repeated_words("words", "ordered").alias("n_repeat_words"),
         size.cast("bigint").alias("n_chars"),
-        F.array(*part, size).cast("array<bigint>").alias("chars"),
-        F.transform(F.array(*[F.lit(x) for x in ALL_WORDS]), lambda x: F.when(F.array_contains("present", x), F.size("known") - F.size(F.array_remove("known", x))).otherwise(0)).cast("array<bigint>").alias("common"),
+        F.array(word_chars - F.length("rest"), left(r"\P{Lu}+"), left(r"[^0-9]+"), size - word_chars).cast("array<bigint>").alias("chars"),
+        _common_counts(F.col("words")).alias("common"),
     )
 
 
