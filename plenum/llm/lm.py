@@ -2,7 +2,9 @@
 
 A network sees SIDE characters on either side of a masked one and predicts it; the document's score is the
 sum of the log-probabilities of all its characters. The alphabet are the ALPHABET most frequent characters of
-the corpus; others share one symbol, and the edges of a text have one of their own.
+the corpus; others share one symbol, and the edges of a text have one of their own. A character outside the
+alphabet has the symbol's probability times its own share of the symbol's occurrences in the whole corpus, so
+that every character is scored as itself; as context, those characters are alike.
 
 Training covers the whole corpus: every text's windows are counted, the counts are summed over all tasks, and
 the network is trained on the distinct windows, weighted by their counts. In each round, every task improves
@@ -10,7 +12,8 @@ the round's weights on its own windows by minibatch steps, and the tasks' weight
 they saw. Memory is that of one task's windows and the network.
 
 Defined cases: null and empty texts have no tokens, score 0 and a null mean; an empty corpus gives the uniform
-network; repeated rows are scored alike and count each in training; other columns are ignored.
+network; repeated rows are scored alike and count each in training; characters that the corpus of a given model
+lacks share one count more; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ ROUNDS, PASSES, LEAST_STEPS, BATCH, RATE = 3, 2, 80, 4_096, 0.01
 HELD, CHUNK, SHARDS = 1_000_000, 1_000_000, 12
 EDGE, OTHER, FIRST = 0, 1, 2
 SPAN = 2 * SIDE + 1
+UNICODE = 0x110000
 
 
 def _counted_chars(batches):
@@ -40,9 +44,31 @@ def _counted_chars(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["point", "count"])
 
 
-def alphabet(docs: DataFrame, size: int = ALPHABET) -> list[int]:
-    chars = docs.select("text").mapInArrow(_counted_chars, "point long, count long").groupBy("point").agg(F.sum("count").alias("count"))
-    return sorted(r.point for r in chars.orderBy(F.desc("count"), "point").limit(size).collect())
+def char_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of the corpus in order and how often they occur; Unicode bounds them."""
+    chars = docs.select("text").mapInArrow(_counted_chars, "point long, count long").groupBy("point").agg(F.sum("count").alias("count")).toArrow()
+    points, counts = (chars.column(c).to_numpy() for c in ("point", "count"))
+    order = np.argsort(points)
+    return points[order], counts[order]
+
+
+def alphabet(points: np.ndarray, counts: np.ndarray, size: int = ALPHABET) -> np.ndarray:
+    return np.sort(points[np.argsort(-counts, kind="stable")[:size]])
+
+
+def shares(points: np.ndarray, counts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The characters outside known, the logarithms of their shares, and that of any character which the corpus lacks."""
+    rest = ~np.isin(points, known)
+    total = counts[rest].sum() + 1
+    return points[rest], np.log(counts[rest] / total), -float(np.log(total) + np.log(UNICODE - len(points)))
+
+
+def own_share(raw: np.ndarray, others: tuple) -> np.ndarray:
+    points, logs, lacking = others
+    if not len(points):
+        return np.full(len(raw), lacking)
+    at = np.minimum(np.searchsorted(points, raw), len(points) - 1)
+    return np.where(points[at] == raw, logs[at], lacking)
 
 
 def windows(texts: list[str | None], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +176,9 @@ def _improved(batches, w, seed):
         yield pa.RecordBatch.from_arrays([pa.array([float(counts.sum())]), pa.array([flat.tobytes()], pa.binary())], ["weight", "flat"])
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The alphabet and the network. docs: text."""
-    points = np.array(alphabet(docs), np.int64)
+def train(docs: DataFrame, points: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The alphabet (points, if given) and the network. docs: text."""
+    points = alphabet(*char_counts(docs)) if points is None else points
     counted = docs.select("text").mapInArrow(lambda bs: _counted_windows(bs, points), "key long, count long")
     kept = cut(counted.groupBy("key").agg(F.sum("count").alias("count")).repartition(SHARDS, "key"))
     w = start(len(points) + FIRST)
@@ -168,13 +194,24 @@ def train(docs: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return points, w
 
 
-def _scored(batches, points, w):
+def learn(docs: DataFrame) -> tuple[np.ndarray, list[np.ndarray], tuple]:
+    """The alphabet, the network and the shares of the other characters. docs: text."""
+    found = char_counts(docs)
+    points, w = train(docs, alphabet(*found))
+    return points, w, shares(*found, points)
+
+
+def _scored(batches, points, w, others=None):
     for b in batches:
         totals, lengths = [], []
         for run in _parts(b.column("text").to_pylist(), CHUNK):
             key, n = windows(run, points)
             distinct, at = np.unique(key, return_inverse=True)
             each = np.append(log_probability(w, distinct)[at], 0.0)
+            other = np.flatnonzero((key >> (7 * SIDE)) & 127 == OTHER)
+            if others and len(other):
+                raw = np.frombuffer("".join(t or "" for t in run).encode("utf-32-le", "surrogatepass"), "<u4")
+                each[other] += own_share(raw[other], others)
             starts = np.cumsum(n) - n
             sums = np.add.reduceat(each, starts) if len(n) else np.empty(0)
             totals.append(np.where(n > 0, sums, 0.0))
@@ -184,10 +221,10 @@ def _scored(batches, points, w):
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple | None = None) -> DataFrame:
-    """For each row: id, n_tokens, log_likelihood, mean_log_likelihood."""
+    """For each row: id, n_tokens, log_likelihood, mean_log_likelihood. model: what learn gives; of train's alone, the others' symbol is scored."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    points, w = model or train(rows)
+    known = model or learn(rows)
     ids = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(lambda bs: _scored(bs, points, w), f"id {ids}, n_tokens long, log_likelihood double")
+    out = rows.mapInArrow(lambda bs: _scored(bs, *known), f"id {ids}, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))
