@@ -1,12 +1,14 @@
 """Quality rules by distribution divergence (operator 3, DataFrame functions only).
 
 Every text gets a histogram over character classes and one over the common words of each language. The
-references are the sums of these histograms over all rows of a language in the corpus. A document is
-judged by its Jensen-Shannon distance (base 2, 0 to 1) to the nearest language reference, for characters
-and for common words; each is judged only from a least length on.
-
-Defined cases: null and empty texts have no words and fail the base rule; rows of a null language or of
-one without a word list are judged like others, but add to no reference; if there are no references,
+references are the sums of these histograms over all rows of a language in the corpus. The languages of
+COMMON_WORDS have fixed word lists; for every other one, the LEARNED_WORDS most frequent words of all its
+rows are its list. A document is judged by its Jensen-Shannon distance (base 2, 0 to 1) to the nearest of the
+fixed languages' references and, if it has another language, that one's; for characters and for common
+words; each is judged only from a least length on.
+
+Defined cases: null and empty texts have no words and fail the base rule; rows of a null language add to no
+reference and are not rejected by words, as their own language has no reference; if there are no references,
 nothing is rejected by distance; repeated rows count each; extra columns are ignored.
 """
 
@@ -14,12 +16,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.common import cut
 
-#: Common words of the languages that have a reference.
+#: Common words of these languages; those of others are learned.
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
     "en": "the of and to in a is that for it as was with be by on not he his at are this but have from or had an they which".split(),
@@ -31,6 +33,9 @@ ALL_WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 #: Character classes in the order of a histogram; the rest of the text is a class of its own.
 CLASSES = ("lower", "upper", "digit", "space")
 
+#: Common words that are learned for each other language.
+LEARNED_WORDS = 30
+
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Distances are judged from so many characters and words on.
 GUARD_CHARS, GUARD_WORDS = 300, 60
@@ -67,22 +72,41 @@ def _repeated_words(words: str, ordered: str) -> Column:
     return _let(twins(keys, lambda e: F.shiftright(e, 32)), lambda found: F.when(F.size(found) > 0, exact(found)).otherwise(0)).cast("bigint")
 
 
-def _common_counts(words: Column) -> Column:
-    """How often each of ALL_WORDS stands in words: sorted together with one of each, their runs are as long as the counts and one."""
-    known = F.transform(F.filter(words, lambda x: F.lower(x).isin(ALL_WORDS)), F.lower)
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def _common_counts(words: Column, listed: Column | None = None) -> Column:
+    """How often each of ALL_WORDS (or of the sorted words listed) stands in words: sorted together with one of each, their runs are as long as the counts and one."""
+    every = F.array(*[F.lit(x) for x in ALL_WORDS]) if listed is None else listed
+    known = F.transform(F.filter(words, lambda x: F.lower(x).isin(ALL_WORDS) if listed is None else F.array_contains(listed, F.lower(x))), F.lower)
 
     def runs(row: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda i: (i == 0) | (F.get(row, i) != F.get(row, i - 1)))
         return _let(starts, lambda s: F.transform(s, lambda at, j: F.coalesce(F.get(s, j + 1), F.size(row)) - at - 1))
 
-    return _let(F.sort_array(F.concat(known, F.array(*[F.lit(x) for x in ALL_WORDS]))), runs).cast("array<bigint>")
+    return _let(F.sort_array(F.concat(known, every)), runs).cast("array<bigint>")
+
+
+def learned_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame | None:
+    """lang, listed: the sorted LEARNED_WORDS most frequent words of each language without a fixed list; None if there is no such language."""
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
+    if rows.select("lang").isEmpty():
+        return None
+    counts = rows.select("lang", F.explode(F.transform(_split(F.col("text")), F.lower)).alias("word")).groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    return cut(counts.withColumn("rank", rank).filter(F.col("rank") <= LEARNED_WORDS).groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("listed")))
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """id, lang, the base counts, n_chars, chars (histogram over CLASSES), common (over ALL_WORDS)."""
+def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learned: DataFrame | None = None) -> DataFrame:
+    """id, lang, the base counts, n_chars, chars (histogram over CLASSES), common (over ALL_WORDS); with learned also own, over its words of the row's language."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
-    rows = rows.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    own = []
+    if learned is not None:
+        rows = rows.join(learned, "lang", "left")
+        own = [F.when(F.col("listed").isNotNull(), _common_counts(F.col("words"), F.col("listed"))).alias("own")]
+    rows = rows.withColumn("words", _split(F.col("text")))
     rows = rows.withColumn("joined", F.array_join("words", ""))
     rows = rows.withColumns({"ordered": F.sort_array(_window_keys("words")), "rest": F.regexp_replace("joined", r"\p{Ll}+", "")})  # rest: all but spaces and small letters
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -99,6 +123,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         size.cast("bigint").alias("n_chars"),
         F.array(word_chars - F.length("rest"), left(r"\P{Lu}+"), left(r"[^0-9]+"), size - word_chars).cast("array<bigint>").alias("chars"),
         _common_counts(F.col("words")).alias("common"),
+        *own,
     )
 
 
@@ -122,9 +147,24 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
-def js_distance(counts: Column, total: Column, reference: list[float]) -> Column:
+def learned_references(rows: DataFrame) -> DataFrame:
+    """lang, own_chars and own_words: the shares of each language with a learned list, from all its rows."""
+    sums = rows.filter("own is not null").groupBy("lang").agg(
+        F.sum("n_words").alias("n_words"), F.sum("n_chars").alias("n_chars"), F.max(F.size("own")).alias("size"),
+        F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(len(CLASSES))]).alias("chars"),
+        F.array(*[F.coalesce(F.sum(F.get("own", F.lit(i))), F.lit(0)) for i in range(LEARNED_WORDS)]).alias("own"),
+    )
+
+    def shares(counts: Column, total: Column) -> Column:
+        rest = F.greatest(total - F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0))
+        return F.transform(F.concat(counts, F.array(rest)), lambda x: x / total)
+
+    return sums.select("lang", shares(F.col("chars"), F.col("n_chars")).alias("own_chars"), shares(F.slice("own", F.lit(1), F.col("size")), F.col("n_words")).alias("own_words"))
+
+
+def js_distance(counts: Column, total: Column, reference: list[float] | Column) -> Column:
     """Square root of the Jensen-Shannon divergence between counts (with the rest of total) and reference."""
-    ref = F.array(*[F.lit(float(q)) for q in reference])
+    ref = reference if isinstance(reference, Column) else F.array(*[F.lit(float(q)) for q in reference])
     rest = F.greatest(total - F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0))
     p = F.transform(F.concat(counts, F.array(rest)), lambda x: x / total)
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
@@ -134,15 +174,24 @@ def js_distance(counts: Column, total: Column, reference: list[float]) -> Column
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """For each row: id, base counts, base_failed, kept, char_distance and word_distance to the nearest reference (null without one)."""
-    rows = cut(features(docs, id_col, text_col, lang_col))
+    learned = learned_words(docs, text_col, lang_col)
+    rows = cut(features(docs, id_col, text_col, lang_col, learned))
     refs = references(rows)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     nothing = F.lit(None).cast("double")
     by_char = [js_distance(F.slice("chars", 1, len(CLASSES)), F.col("n_chars"), c) for c, _ in refs.values()]
     by_word = [js_distance(F.array(*[F.get("common", F.lit(ALL_WORDS.index(w))) for w in COMMON_WORDS[lang]]), F.col("n_words"), q) for lang, (_, q) in refs.items()]
+    referred = F.col("lang").isin(list(refs)) if refs else F.lit(False)
+    if learned is not None:
+        rows = rows.join(cut(learned_references(rows)), "lang", "left")
+        # null, and passed over by least, where the row's language isn't a learned one
+        own = F.col("own").isNotNull()
+        by_char.append(F.when(own, js_distance(F.slice("chars", 1, len(CLASSES)), F.col("n_chars"), F.col("own_chars"))))
+        by_word.append(F.when(own, js_distance(F.col("own"), F.col("n_words"), F.col("own_words"))))
+        referred = referred | own
     near = lambda xs, long: F.when(long, F.least(*xs) if len(xs) > 1 else xs[0]) if xs else nothing
     rows = rows.withColumn("char_distance", near(by_char, F.col("n_chars") >= GUARD_CHARS)).withColumn("word_distance", near(by_word, F.col("n_words") >= GUARD_WORDS))
-    far = F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
+    far = F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False)) | F.coalesce(referred & (F.col("word_distance") > max_word_distance), F.lit(False))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(F.col("id").alias(id_col), *counts, base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"), "char_distance", "word_distance")
 
