@@ -189,6 +189,15 @@ def upsert_longest(t):
     return merge_longest(old, new, "doc_id", "text").select("doc_id", F.length("text").alias("n"), "lang")
 
 
+@query("""WITH b AS (SELECT page_id AS doc_id, html AS text, nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '') AS source FROM pages)
+SELECT doc_id, md5(CASE WHEN length(coalesce(b.text, '')) > length(coalesce(a.text, '')) THEN b.text ELSE a.text END) AS hash, coalesce(b.source, a.source) AS source FROM documents a FULL JOIN b USING (doc_id)""")
+def upsert_pages(t):
+    """upsert_longest over whole tables: all pages, as fetched anew, into all documents, whole texts against each other."""
+    host = F.nullif(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), F.lit(""))
+    new = t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), host.alias("source"))
+    return merge_longest(t.documents.select("doc_id", "text", "source"), new, "doc_id", "text").select("doc_id", F.md5("text").alias("hash"), "source")
+
+
 @query("""WITH o AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3)
 SELECT k, p FROM o UNION ALL SELECT k, p FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = n.k AND o.p = n.p)""")
 def insert_ignore(t):
@@ -196,6 +205,14 @@ def insert_ignore(t):
     return insert_missing(pick("l_linenumber <= 2"), pick("l_linenumber between 2 and 3"), ["k", "p"])
 
 
+@query("""WITH o AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem), n AS (SELECT DISTINCT o_orderkey AS k, p_partkey AS p FROM orders JOIN part ON p_partkey = o_custkey)
+SELECT k, p FROM o UNION ALL SELECT k, p FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = n.k AND o.p = n.p)""")
+def insert_ignore_orders(t):
+    """insert_ignore over whole tables: every order's own part into all lines."""
+    new = t.orders.join(t.part, F.col("p_partkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("k"), F.col("p_partkey").alias("p"))
+    return insert_missing(t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p")), new, ["k", "p"])
+
+
 @query("SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)")
 def intersect_nations(t):
     return t.customer.select("c_nationkey").intersect(t.supplier.select("s_nationkey")).agg(F.count("*").alias("n"))
