@@ -53,11 +53,17 @@ def label_coverage(t):
     return t.labels.join(d, "doc_id", "left").groupBy("toxic", "quality").agg(F.count("*").alias("n"), F.count("there").alias("known"))
 
 
+def audited(chunks, docs):
+    """doc_id, chunk_index, match, words of every chunk as stored; one whose document isn't there is missing. docs: doc_id, text."""
+    both = chunks.join(docs, "doc_id", "left")
+    return both.select("doc_id", "chunk_index", attribution(F.col("content"), F.col("text")).alias("match"), F.size(word_set(F.col("content"))).alias("words"))
+
+
 @query()
 def attribution_audit(t):
-    """The class of each document's first chunk against its document."""
-    chunk = F.substring("text", 1, 300)
-    return t.documents.select("doc_id", attribution(chunk, F.col("text")).alias("match"), F.size(word_set(chunk)).alias("words"))
+    """The class of every chunk against the whole document that it names."""
+    docs = t.documents.select("doc_id", "text")
+    return audited(recursive_chunks(docs, "doc_id", "text"), docs)
 
 
 @query()
