@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,27 +16,45 @@ HELD_OUT_REMAINDER = 2
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where neither the session nor the context names one (tests), a temporary one is set.
+    Where neither the session nor the context names one, a single-machine session (tests) gets a temporary
+    one; on a cluster, whose executors couldn't see it, that is an error.
     """
     held = spark.sparkContext.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not held and not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="plenum-checkpoint-")
     if not held:
         spark.sparkContext.setCheckpointDir(named)
     return named or held
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder. What is written there goes when the JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)  # deleteOnExit takes only what exists
+    files.deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost
     executor costs a reread instead of a recomputation. The files go when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(df.sparkSession, "table")
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +72,9 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(r"[\p{IsUppercase}\p{IsTitlecase}&&[^A-Z]]"), F.translate(text, upper, lower)).otherwise(F.lower(text))
 
 
-def words_of(text: Column, pattern: str) -> Column:
-    """Pieces of text between matches of pattern, without the empty first and last piece; null text: no words."""
-    pieces = F.split(F.coalesce(text, F.lit("")), pattern)
-    return F.filter(pieces, lambda w: w != "")
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: within lambdas, expressions are computed at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def running_sums(values: Column, block: int = 256) -> Column:
@@ -71,8 +89,11 @@ def running_sums(values: Column, block: int = 256) -> Column:
         step = lambda acc, x: F.struct((acc["t"] + x).alias("t"), F.concat(acc["a"], F.array(acc["t"])).alias("a"))
         return F.aggregate(xs, start, step, lambda acc: acc["a"])
 
-    n_blocks = F.ceil(F.size(values) / F.lit(block)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(values, b * block + 1, F.lit(block)))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda t, x: t + x))
-    shifted = F.zip_with(blocks, scan(totals), lambda b, t: F.transform(scan(b), lambda s: s + t))
-    return F.when(F.size(values) > 0, F.flatten(shifted)).otherwise(F.slice(zero, 1, 0))
+    def summed(xs: Column) -> Column:
+        n_blocks = F.ceil(F.size(xs) / F.lit(block)).cast("int")
+        cut_up = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+        totals = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda t, x: t + x))
+        shifted = let(cut_up, lambda blocks: F.zip_with(blocks, scan(totals(blocks)), lambda b, t: F.transform(scan(b), lambda s: s + t)))
+        return F.when(F.size(xs) > 0, F.flatten(shifted)).otherwise(F.slice(zero, 1, 0))
+
+    return let(values, summed)
