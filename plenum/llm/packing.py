@@ -13,6 +13,7 @@ an empty table gives no pieces; sequences are numbered without order; other colu
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -29,10 +30,15 @@ from plenum.llm.common import cut
 
 LENGTH, CLOSING = 1024, 0
 #: In the linear program, lengths are rounded up to the least power of two that leaves so many sizes.
-MAX_SIZES, MAX_COLUMNS = 64, 4_000
-#: Ranks within a length are counted over so many salts, as one length may hold a third of all rows.
+MAX_SIZES = 64
+#: Columns after which the basis is inverted anew, against rounding errors.
+ANEW = 100
+#: Ranks within a length are counted over so many salts at least, as one length may hold a third of all rows.
 SALTS = 64
 SPECIAL = "<|endoftext|>"
+#: The ranks' encoder fails on runs of blanks ten times as long as this.
+LONG_BLANKS = 100_000
+BLANKS = re.compile(r"\s+")
 
 
 @lru_cache(2)
@@ -44,12 +50,18 @@ def _encoders(vocabulary: str, ranks: str):
 
 def token_ids(text: str | None, vocabulary: str, ranks: str) -> np.ndarray:
     """The vocabulary's ids and the closing one. The same vocabulary as ranks gives the same ids faster; texts
-    that hold the special token's string go through the tokenizer itself."""
+    that hold the special token's string or very long runs of blanks go through the tokenizer itself."""
     slow, fast = _encoders(vocabulary, ranks)
-    ids = slow.encode(text, add_special_tokens=False).ids if text and SPECIAL in text else fast.encode_ordinary(text or "")
+    ids = slow.encode(text, add_special_tokens=False).ids if text and _needs_tokenizer(text) else fast.encode_ordinary(text or "")
     return np.array([*ids, CLOSING], "<u4")
 
 
+def _needs_tokenizer(text: str) -> bool:
+    if SPECIAL in text:
+        return True
+    return len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in BLANKS.finditer(text))
+
+
 def _cut_texts(batches, vocabulary, ranks):
     """Pieces of each text; full ones have their sequence_id, unlike any other task's and any pattern's (these stay below 2^40)."""
     number = (TaskContext.get().partitionId() + 1) << 40
@@ -89,19 +101,21 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray
 
 
 def column_generation(demand: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and how often the linear program uses each: fewest patterns that meet the demand."""
+    """Patterns (columns) and how often the linear program uses each: fewest patterns that meet the demand.
+
+    It ends at the optimum, where no pattern is priced above one. The demand is raised by tiny, different amounts
+    meanwhile, so that no step is of length zero and none can come round again."""
     basis = np.diag((room // sizes).astype(float))
+    raised = demand * (1 + 1e-9) + 1e-6 * np.sqrt(np.arange(2, len(sizes) + 2))
     inverse = np.diag(1 / np.diag(basis))
-    used = inverse @ demand
-    for _ in range(MAX_COLUMNS):
+    used, n = inverse @ raised, 0
+    while True:
         prices = inverse.sum(axis=0)
         column = best_pattern(np.maximum(prices, 0), sizes, room).astype(float)
-        if prices @ column <= 1 + 1e-9:
-            break
+        if prices @ column <= 1 + 1e-7:
+            return basis, np.maximum(inverse @ demand, 0)
         step = inverse @ column
         at = np.flatnonzero(step > 1e-9)
-        if not len(at):
-            break
         out = at[np.argmin(used[at] / step[at])]
         rate = used[out] / step[out]
         used = np.maximum(used - rate * step, 0)
@@ -110,7 +124,10 @@ def column_generation(demand: np.ndarray, sizes: np.ndarray, room: int) -> tuple
         inverse -= np.outer(step, row)
         inverse[out] = row
         basis[:, out] = column
-    return basis, used
+        n += 1
+        if n % ANEW == 0:
+            inverse = np.linalg.inv(basis)
+            used = np.maximum(inverse @ raised, 0)
 
 
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, dict[int, int]]]:
@@ -187,20 +204,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     ids = docs.schema[id_col].dataType.simpleString()
     schema = f"id {ids}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long"
     pieces = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda bs: _cut_texts(bs, vocabulary, ranks), schema))
-    last = pieces.filter("sequence_id is null").withColumn("salt", F.pmod(F.xxhash64("id", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = last.groupBy("length", "salt").count().collect()  # 1023 lengths * SALTS rows at most
+    salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    last = pieces.filter("sequence_id is null").withColumn("salt", F.pmod(F.xxhash64("id", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = last.groupBy("length", "salt").count().collect()  # 1023 lengths * salts rows at most
     histogram: dict[int, int] = {}
     before = []
     for r in sorted(counts):
         before.append((r.length, r.salt, histogram.get(r.length, 0)))
         histogram[r.length] = histogram.get(r.length, 0) + r["count"]
-    where = places(plan(histogram))
+    by_length: dict[int, list] = {}
+    for length, lo, _, each, sequence, place in places(plan(histogram)):
+        by_length.setdefault(length, []).append((lo, each, sequence, place))
     before_df = spark.createDataFrame(before, "length long, salt int, before long")
-    where_df = spark.createDataFrame(where, "length long, lo long, hi long, each long, sequence long, place long")  # a few rows for each length
+    # a row for each length, with its places in order of their first ranks
+    where_df = spark.createDataFrame([(k, sorted(v)) for k, v in by_length.items()], "length long, places array<struct<lo:long,each:long,sequence:long,place:long>>")
     order = Window.partitionBy("length", "salt").orderBy("id", "ids_crc32", "start")
     ranked = last.join(F.broadcast(before_df), ["length", "salt"]).withColumn("rank", F.row_number().over(order) - 1 + F.col("before"))
-    put = ranked.join(F.broadcast(where_df), "length").filter("rank >= lo and rank < hi").withColumn("at", F.col("rank") - F.col("lo"))
-    put = put.withColumn("sequence_id", F.col("sequence") + F.floor(F.col("at") / F.col("each"))).withColumn("offset", F.col("place") + F.pmod("at", "each") * F.col("length"))
+    found = F.element_at(F.filter("places", lambda p: p["lo"] <= F.col("rank")), -1)
+    put = ranked.join(F.broadcast(where_df), "length").withColumn("p", found).withColumn("at", F.col("rank") - F.col("p.lo"))
+    put = put.withColumn("sequence_id", F.col("p.sequence") + F.floor(F.col("at") / F.col("p.each"))).withColumn("offset", F.col("p.place") + F.pmod("at", "p.each") * F.col("length"))
     columns = [F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset")]
     full = pieces.filter("sequence_id is not null").withColumn("offset", F.lit(0))
     return full.select(*columns).unionByName(put.select(*columns))
