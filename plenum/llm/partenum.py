@@ -5,11 +5,14 @@ Documents are sets of distinct word shingles; exact copies of a set are one clas
 
 1. Signatures. A band holds sets of about one size; a pair belongs to the band of its smaller set, so a set
    also signs in the bands below it that may hold partners. In a band, similar sets differ in k shingles at
-   most. The shingle domain is hashed into n1 partitions, each into n2 parts; a partition in which two sets
-   differ in at most k2 parts shares the signature of some n2 - k2 parts. With n1 = k // (k2 + 1) + 1 + slack,
-   slack + 1 partitions are such. Signatures of no shingle at all would be shared by strangers: they are left
-   out unless a set has more than slack partitions with one, so at least one signature is always shared.
-2. Groups. Classes with an equal signature form a group; groups of equal members are one.
+   most. The shingle domain is hashed into n1 partitions, each into n2 parts, and every subset of n2 - k2 parts
+   of a partition is a signature; a partition in which two sets differ in at most k2 parts shares one. With
+   n1 = k // (k2 + 1) + 1 + slack, slack + 1 partitions are such. Each band takes the shape of SHAPES with the
+   fewest signatures that hold enough shingles. Signatures of no shingle at all would be shared by strangers:
+   they are left out unless a set has more than slack partitions with one, so at least one is always shared.
+2. Groups. Classes with an equal signature form a group; groups of equal members are one. Signatures are first
+   put together in runs of ROWS_OUT: of classes that share one within a run, only the least and the largest key
+   meet those of other runs, so that neither copies nor a signature of very many classes fill a task.
 3. Hubs. Each group's members are verified exactly against the one that stands in most groups.
 4. The rest. In groups that hubs have not joined into one component, the members of different components are
    compared in blocks, all groups of a hub together, by sketches (one byte for each of many partitions; similar sets differ in k at most),
@@ -18,14 +21,16 @@ Documents are sets of distinct word shingles; exact copies of a set are one clas
 Shingles are 64-bit hashes of words; equal hashes count as equal shingles. Nothing is capped or sampled.
 
 Defined cases: null and empty texts and texts without words have no shingles and are their own component;
-fewer words than a shingle make one shingle; rows that repeat an id are one component by definition, and
-each keeps its own n_shingles; a null id keeps a null component; extra columns are ignored.
+fewer words than a shingle make one shingle; rows that repeat an id are documents of their own, each judged by
+its own text; a null id links as any other but is never the least, so such a row gets the least id that its
+links reach, or null if they reach none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +41,12 @@ from pyspark.sql import functions as F
 from plenum.llm.common import cut
 
 SHINGLE, PERCENT = 4, 85
-#: Bands grow by this factor; up to SMALL_K differences, parts of partitions are enumerated.
-GROWTH, SMALL_K = 1.4, 7
-BLOCK, SALTS, ROWS_OUT = 256, 16, 400_000
+#: Bands grow by this factor. Shapes are (n2, k2): parts of a partition, and how many of them may differ.
+GROWTH, SHAPES = 1.4, ((2, 1), (3, 1), (3, 2), (4, 2))
+#: Shingles that a signature of the smallest set should hold on average.
+LEAST_HELD = 2.0
+#: Classes of a block, members of a hub that are verified together at most, and signatures of a run.
+BLOCK, TOGETHER, ROWS_OUT = 256, 4_096, 1_000_000
 U = np.uint64
 ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
 
@@ -89,15 +97,23 @@ class Bands:
         return (100 - self.percent) * (a + b) // (100 + self.percent)
 
     @staticmethod
-    def _shape(low: int, k: int) -> tuple[int, int, int, int]:
-        n2, k2 = (3, 1) if 0 < k <= SMALL_K else (1, 0)
-        n1, slack = k // (k2 + 1) + 1, 0
-        while k and slack < 0.3 * n1 + 2:  # until sets with more partitions without a shingle are rare
-            empty = (n1 + slack) * (n2 if n2 > 1 else 1) * np.exp(-low * (n2 - k2) / n2 / (n1 + slack))
+    def _partitions(low: int, k: int, n2: int, k2: int) -> tuple[int, int]:
+        """n1 and slack: as many partitions more as make sets with more partitions that lack a shingle rare."""
+        least, slack = k // (k2 + 1) + 1, 0
+        while slack < 0.3 * least + 2:
+            empty = (least + slack) * comb(n2, k2) * np.exp(-low * (n2 - k2) / n2 / (least + slack))
             if empty + 4 * np.sqrt(empty) <= slack:
                 break
-            slack += max(1, n1 // 200)
-        return n1 + slack, n2, k2, slack
+            slack += max(1, least // 200)
+        return least + slack, slack
+
+    def _shape(self, low: int, k: int) -> tuple[int, int, int, int]:
+        """n1, n2, k2 and slack for sets of low shingles at least that differ in k at most: the fewest signatures, unless they hold too few shingles."""
+        if not k:
+            return 1, 1, 0, 0
+        found = [(*self._partitions(low, k, *x), *x) for x in SHAPES]
+        n1, slack, n2, k2 = min(found, key=lambda x: (max(0.0, LEAST_HELD - low * (x[2] - x[3]) / x[2] / x[0]), x[0] * comb(x[2], x[3])))
+        return n1, n2, k2, slack
 
     def of(self, n: int) -> list[int]:
         """Bands in which a set of n shingles signs."""
@@ -120,7 +136,7 @@ class Bands:
         for c, parts in enumerate(combinations(range(n2), n2 - k2)):
             sums.append(sum((total[first + p] * ODD[p] for p in parts), np.zeros(n1, U)))
             filled.append(sum(count[first + p] for p in parts) > 0)
-            names.append(np.arange(n1, dtype=np.int64) * 4 + c)
+            names.append(np.arange(n1, dtype=np.int64) * 8 + c)
         filled = np.array(filled)
         some = filled if (~filled).any(axis=0).sum() <= slack else np.ones_like(filled)
         out = mix(np.array(sums) + mix(np.array(names).astype(U) * ODD[1] + U(band)))
@@ -150,34 +166,54 @@ def _keyed(batches, size):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["id", "n", "key"])
 
 
+def _run(sigs: list, keys: list, bands_: list) -> pa.RecordBatch:
+    """sig, key, band, salt of a run of signatures, each (sig, key) once. A class that alone has a signature, and the
+    least and the largest key of those that share one, have salt 0; the others, which are known to share it, don't."""
+    sig, key, band = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (sigs, keys, bands_))
+    order = np.lexsort((key, sig))
+    s, k = sig[order], key[order]
+    first = np.append(True, s[1:] != s[:-1])[: len(s)]
+    last = np.append(s[1:] != s[:-1], True)[: len(s)]
+    fresh = first | np.append(True, k[1:] != k[:-1])[: len(s)]
+    # of equal (sig, key) the first stays, so the largest key's first row stands for the last one
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))
+    edge = first.copy()
+    edge[start[last]] = True
+    salt = np.where(edge, 0, 1 + (mix(k.view(U)) % U(1 << 20)).astype(np.int64)).astype(np.int32)
+    kept, salts = np.zeros(len(s), bool), np.zeros(len(s), np.int32)
+    kept[order], salts[order] = fresh, salt
+    return pa.RecordBatch.from_arrays([pa.array(sig[kept]), pa.array(key[kept]), pa.array(band[kept].astype(np.int32)), pa.array(salts[kept])], ["sig", "key", "band", "salt"])
+
+
 def _signed(batches, size, percent):
     own = bands(percent)
+    sigs, keys, of, total = [], [], [], 0
     for b in batches:
-        sigs, keys, of, total = [], [], [], 0
         for t in _bytes(b.column("text")):
             s = shingle_set(t, size)
+            key = set_key(s)
             for band in own.of(len(s)) if len(s) else []:
                 sigs.append(own.signatures(s, band))
-                keys.append(np.full(len(sigs[-1]), set_key(s)))
-                of.append(np.full(len(sigs[-1]), band, np.int32))
+                keys.append(np.full(len(sigs[-1]), key))
+                of.append(np.full(len(sigs[-1]), band))
                 total += len(sigs[-1])
             if total > ROWS_OUT:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, keys, of)], ["sig", "key", "band"])
+                yield _run(sigs, keys, of)
                 sigs, keys, of, total = [], [], [], 0
-        if sigs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, keys, of)], ["sig", "key", "band"])
+    yield _run(sigs, keys, of)
 
 
 def _described(batches, size, percent):
-    """key, set and sketches of the wanted classes' texts; another text under the same id has another key."""
+    """key, set and sketches of texts. Where a key is wanted, another text under the same id, which has another key, is passed over."""
     own = bands(percent)
     kind = pa.list_(pa.struct([("band", pa.int32()), ("sketch", pa.binary())]))
     for b in batches:
         rows = []
         for want, t in zip(b.column("key").to_pylist(), _bytes(b.column("text")), strict=True):
             s = shingle_set(t, size)
-            if set_key(s) == want:
-                rows.append((want, len(s), s.tobytes(), [{"band": i, "sketch": own.sketch(s, i)} for i in own.of(len(s))]))
+            key = set_key(s)
+            if want == key or want is None and len(s):
+                rows.append((key, len(s), s.tobytes(), [{"band": i, "sketch": own.sketch(s, i)} for i in own.of(len(s))]))
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], kind)], ["key", "n", "shingles", "sketches"])
 
@@ -246,41 +282,57 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (hub, key) that are similar. Members of a hub are dealt over salts, each with a copy of the hub's set."""
-    members = cut(pairs.distinct()).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    """Those of pairs (hub, key) that are similar. Members of a hub are dealt over salts, as many as their number asks for, each with a copy of the hub's set."""
+    members = cut(pairs.distinct())
+    salts = members.groupBy("hub").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
+    members = members.join(salts, "hub").select("hub", "key", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
     hubs = members.select("hub", "salt").distinct().select("hub", F.col("hub").alias("key"), "salt", F.lit(False).alias("member"))
     rows = hubs.unionByName(members.select("hub", "key", "salt", F.lit(True).alias("member"))).join(sets.select("key", "shingles"), "key")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
     return cut(rows.mapInArrow(lambda bs: _against_hub(bs, percent), "a long, b long"))
 
 
+def _groups(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """gid, band, key: the classes that share a signature, groups of equal members once."""
+    signed = texts.select("text").mapInArrow(lambda bs: _signed(bs, size, percent), "sig long, key long, band int, salt int")
+    met = Window.partitionBy("sig", "salt")  # two rows of each run at most have salt 0; others are spread by their keys
+    some = signed.withColumns({"lo": F.min("key").over(met), "hi": F.max("key").over(met)}).filter("lo != hi or salt != 0")
+    some = cut(some.select("sig", "band", "key").distinct())
+    each = some.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"))
+    named = each.select("sig", F.xxhash64("c", "x", "lo", "hi").alias("gid"))
+    return cut(some.join(named, "sig").select(F.xxhash64("gid", "band").alias("gid"), "band", "key").distinct())
+
+
+def _class_texts(texts: DataFrame, rows: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+    """key, n, shingles, sketches of the wanted classes, read from one text of each; classes that only rows without an id hold are read from these."""
+    kind = "key long, n long, shingles binary, sketches array<struct<band:int,sketch:binary>>"
+    one = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id")).join(wanted, "key", "left_semi")
+    asked = texts.join(one, "id").select("key", "text").unionByName(texts.filter("id is null").select(F.lit(None).cast("long").alias("key"), "text"))
+    found = asked.mapInArrow(lambda bs: _described(bs, size, percent), kind)
+    return cut(found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+
+
 def links_of_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, key) of every row and (key, comp) of the classes that link with another."""
     texts = docs.select("id", "text")
     rows = cut(texts.mapInArrow(lambda bs: _keyed(bs, size), "id long, n long, key long"))
-    signed = texts.select("text").mapInArrow(lambda bs: _signed(bs, size, percent), "sig long, key long, band int")
-    group = Window.partitionBy("sig")
-    some = signed.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group)}).filter("lo != hi")
-    some = some.withColumns({"c": F.count("*").over(group), "x": F.bit_xor(F.xxhash64("key")).over(group)})
-    groups = cut(some.select(F.xxhash64("band", "c", "x", "lo", "hi").alias("gid"), "band", "key").distinct())
-
-    wanted = groups.groupBy("key").agg(F.count("*").alias("weight"))
-    one = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(wanted.select("key"), "key")
-    found = texts.join(one, "id").select("key", "text")
-    sets = cut(found.mapInArrow(lambda bs: _described(bs, size, percent), "key long, n long, shingles binary, sketches array<struct<band:int,sketch:binary>>").dropDuplicates(["key"]))
-
-    by_weight = F.max(F.struct("weight", "key")).over(Window.partitionBy("gid"))["key"]
-    groups = cut(groups.join(wanted, "key").select("gid", "band", "key", by_weight.alias("hub")))
+    groups = _groups(texts, size, percent)
+    wanted = cut(groups.groupBy("key").agg(F.count("*").alias("weight")))
+    sets = _class_texts(texts, rows, wanted, size, percent)
+
+    # each group's hub is the member of most groups
+    hubs = groups.join(wanted, "key").groupBy("gid").agg(F.max(F.struct("weight", "key"))["key"].alias("hub"))
+    groups = cut(groups.join(hubs, "gid"))
     first = _verified(groups.filter("key != hub").select("key", "hub"), sets, percent)
     comps = components(first)
 
     sketch = sets.select("key", "n", F.explode("sketches").alias("s")).select("key", "n", "s.band", "s.sketch")
-    within = Window.partitionBy("gid")
-    member = groups.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    open_ = member.withColumns({"lo": F.min("comp").over(within), "hi": F.max("comp").over(within), "c": F.count("*").over(within)}).filter("lo != hi and c > 2")
+    member = cut(groups.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
+    open_ = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo != hi and c > 2")
     # groups of one hub share most members: together, each pair is met once
-    rest = open_.select("hub", "band", "key", "comp").distinct().withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("hub", "band")) / BLOCK).cast("int"))
-    rest = rest.join(sketch, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rest = cut(member.join(open_.select("gid"), "gid", "left_semi").select("hub", "band", "key", "comp").distinct())
+    blocks = rest.groupBy("hub", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(blocks, ["hub", "band"]).join(sketch, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "band", "key", "n", "comp", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rest = rest.repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j")
     near = rest.mapInArrow(lambda bs: _within_blocks(bs, percent), "a long, b long")
@@ -300,5 +352,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = cut(joined.join(least, "comp").select("key", "component", "size"))
     # a class in a component of its own needs no join; the rest is a part of the rows
     shared = named.filter("size > 1").select("key", "component")
-    out = rows.join(shared, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
-    return out
+    own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    return rows.join(shared, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

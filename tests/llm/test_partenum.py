@@ -16,8 +16,8 @@ def shingles(t, size=4):
     return frozenset(tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)) if len(ws) >= size else frozenset([tuple(ws)] if ws else [])
 
 
-def brute(rows, percent=85):
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows, percent=85, size=4):
+    sets = [(i, shingles(t, size)) for i, t in rows]
     top = list(range(len(sets)))
 
     def find(x):
@@ -33,7 +33,8 @@ def brute(rows, percent=85):
                 top[max(x, y)] = min(x, y)
     least = {}
     for a, (i, _) in enumerate(sets):
-        least[find(a)] = min(least.get(find(a), i), i)
+        known = [x for x in (least.get(find(a)), i) if x is not None]
+        least[find(a)] = min(known) if known else None
     return Counter((i, len(s), least[find(a)]) for a, (i, s) in enumerate(sets))
 
 
@@ -89,3 +90,34 @@ def test_similar_sets_share_a_signature():
                 band = own.of(min(len(a), len(b)))[0]
                 x, y = (np.frombuffer(own.sketch(s, band), np.uint8) for s in (a, b))
                 assert (x != y).sum() <= own.most(len(a), len(b))
+
+
+def test_repeated_and_null_ids(spark):
+    """Each row is judged by its own text; rows without an id link others, and get the least id that they reach."""
+    words = [f"v{i}" for i in range(120)]
+    a, b, c = " ".join(words), " ".join(words[:112]), " ".join(words[:104])
+    other, lone = " ".join(f"x{i}" for i in range(50)), " ".join(f"y{i}" for i in range(50))
+    rows = [(1, a), (None, b), (3, c), (2, other), (5, other + " z"), (5, lone), (5, lone), (None, lone + " q"), (None, "only here"), (None, None), (7, None), (7, "x y z")]
+    assert brute(rows)[(3, 101, 1)] == 1  # by the row without an id alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in partenum.jaccard_components(docs).collect()) == brute(rows)
+
+
+def test_copies_are_signed_once_a_run():
+    """Many copies, and many classes that share a signature, leave two rows of salt 0 for each signature of a run."""
+    copies = [np.arange(5), np.arange(5)] * 500
+    run = partenum._run(copies, [np.full(5, 7)] * 500 + [np.full(5, 9)] * 500, [np.zeros(5, np.int64)] * 1000).to_pydict()
+    assert Counter(zip(run["sig"], run["key"], strict=True)) == Counter({(s, k): 1 for s in range(5) for k in (7, 9)})
+    many = partenum._run([np.zeros(1, np.int64)] * 900, [np.array([i % 300]) for i in range(900)], [np.zeros(1, np.int64)] * 900).to_pydict()
+    assert sorted(many["key"]) == list(range(300))
+    assert {k for k, s in zip(many["key"], many["salt"], strict=True) if s == 0} == {0, 299}
+    assert partenum._run([], [], []).num_rows == 0
+
+
+def test_every_band_enumerates_subsets():
+    for percent in (85, 80):
+        own = partenum.bands(percent)
+        for low, high, reach, (n1, n2, k2, slack) in zip(own.low[:40], own.high, own.reach, own.shape, strict=False):
+            k = own.most(high, reach)
+            assert (k2 >= 1 and n1 >= k // (k2 + 1) + 1 + slack) if k else (n1, n2, k2) == (1, 1, 0)
+            assert low <= high
