@@ -1,20 +1,22 @@
 """Secret scan with corpus-wide ownership frequency (operator 1, DataFrame functions only).
 
 Each text is scanned once. Base kinds are always reported; *opaque* tokens (long, with capitals, small
-letters and digits) are only candidates. The hash of every candidate value is counted over distinct
-repositories and owners of the whole corpus: a value that MIN_OWNERS or more owners hold is a copied
-example, one that fewer hold looks live. Opaque candidates become spans when they look live.
-
-Defined cases: null and empty texts have no spans; a null owner counts as one owner of its own; repeated
-rows are scanned each for itself, but count once as a repository; extra columns are ignored.
+letters and digits, apart from base spans) are only candidates. The hash of every candidate value is counted
+over distinct repositories and owners of the whole corpus: a value that MIN_OWNERS owners or MIN_REPOS
+repositories hold is a copied example, one that fewer hold looks live. Opaque candidates become spans when
+they look live.
+
+Defined cases: null and empty texts have no spans; a null owner counts as one owner of its own, and so does a
+null repository; repeated rows are scanned each for itself, but count once as a repository; extra columns are
+ignored, and kept by redaction.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import cut, running_sums
+from plenum.llm.common import columns, cut, let, quoted, running_sums
 
 #: Fixed patterns: kind -> (pattern, group that holds the value, least length of that value).
 BASE_KINDS = {
@@ -24,33 +26,36 @@ BASE_KINDS = {
 }
 OPAQUE = r"[A-Za-z0-9_-]{20,}"
 KINDS = [*BASE_KINDS, "opaque"]
-#: A value with so many owners is a copied example.
-MIN_OWNERS = 3
-#: Join keys are dealt over so many salts, so that one value in a third of all rows isn't one task.
-SALTS = 16
+#: A value with so many owners, or in so many repositories, is a copied example.
+MIN_OWNERS, MIN_REPOS = 3, 25
 MASK = "[SECRET]"
+#: Code points of a block of a text from which redaction reads.
+PIECE = 2_048
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Array of (kind, start, end, value) of the pattern's leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    before = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.lit(None).cast("array<string>")
     length = lambda s: F.length(s).cast("bigint")
-    reach = running_sums(F.zip_with(before, found, lambda b, m: length(b) + length(m)))
-    start = F.zip_with(reach, before, lambda r, b: r + length(b))
-    parts = F.arrays_zip(start.alias("s"), found.alias("m"), values.alias("v"))
-    rows = F.transform(
-        F.filter(parts, lambda p: F.length(p["v"]) >= least),
-        lambda p: F.struct(p["s"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (p["s"] + length(p["m"])).alias("end"), p["v"].alias("value")),
-    )
-    return F.when(text.rlike(pattern), rows).otherwise(F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value:string>>)"))
+
+    def placed(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["pieces"], 1, F.size(x["found"])), x["found"], lambda b, m: F.struct(length(b).alias("b"), length(m).alias("m")))
+        return let(lengths, lambda ls: let(running_sums(F.transform(ls, lambda p: p["b"] + p["m"])), lambda reach: rows(x, ls, reach)))
+
+    def rows(x: Column, ls: Column, reach: Column) -> Column:
+        parts = F.arrays_zip(ls.alias("l"), reach.alias("r"), (x["values"] if group else x["found"]).alias("v"))
+        kept = F.filter(parts, lambda p: F.length(p["v"]) >= least)
+        start = lambda p: p["r"] + p["l"]["b"]
+        return F.transform(kept, lambda p: F.struct(start(p).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start(p) + p["l"]["m"]).alias("end"), p["v"].alias("value")))
+
+    found = let(F.struct(whole.alias("found"), values.alias("values"), F.split(text, pattern, -1).alias("pieces")), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value:string>>)"))
 
 
-def _opaque(text: Column, base: Column) -> Column:
+def _opaque(text: Column) -> Column:
     mixed = lambda v: v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
-    apart = lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
-    return F.filter(_spans(text, "opaque", OPAQUE, 0, 20), lambda p: mixed(p["value"]) & apart(p))
+    return F.filter(_spans(text, "opaque", OPAQUE, 0, 20), lambda p: mixed(p["value"]))
 
 
 def has_candidate(text: Column) -> Column:
@@ -59,9 +64,10 @@ def has_candidate(text: Column) -> Column:
 
 
 def _listed(spans: Column) -> Column:
+    """kind:start:end of spans in order."""
     names = F.array(*[F.lit(k) for k in KINDS])
     one = lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
-    return F.array_join(F.transform(F.sort_array(spans), one), ",")
+    return F.array_join(F.transform(spans, one), ",")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -72,64 +78,75 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
-def _judged(docs: DataFrame, text_col: str, repo_col: str, owner_col: str, min_owners: int, keep: list[Column]) -> DataFrame:
-    """keep's columns, base, spans (base ones and live opaque ones), n_live, n_copied for each row of docs."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    scan = docs.select(*keep, F.col(repo_col).cast("string").alias("_repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\x00")).alias("_owner"), F.when(has_candidate(text), text).otherwise("").alias("_text"))
-    scan = scan.withColumn("_base", F.flatten(F.array(*[_spans(F.col("_text"), k, *v) for k, v in BASE_KINDS.items()])))
-    scan = scan.withColumn("_more", _opaque(F.col("_text"), F.col("_base"))).drop("_text").withColumn("_row", F.monotonically_increasing_id())
-    scan = cut(scan)
-
-    each = scan.select("_row", "_repo", "_owner", F.explode(F.concat("_base", "_more")).alias("s"))
-    each = each.withColumn("hash", F.sha2("s.value", 256))
+def _judged(docs: DataFrame, text_col: str, repo_col: str, owner_col: str, min_owners: int, min_repos: int, keep: list[Column]) -> DataFrame:
+    """keep's columns, base, spans (base ones and live opaque ones) as (start, kind, end, before), n_live, n_copied for each
+    row of docs; before is the largest end of the spans before one."""
+    text, opaque = F.coalesce(F.col(quoted(text_col)), F.lit("")), KINDS.index("opaque")
+    known = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit("\x00"))
+    scan = docs.select(*keep, known(repo_col).alias("_repo"), known(owner_col).alias("_owner"), F.when(has_candidate(text), text).otherwise("").alias("_text"))
+    found = [*[_spans(F.col("_text"), k, *v) for k, v in BASE_KINDS.items()], _opaque(F.col("_text"))]
+    scan = cut(scan.withColumn("_spans", F.flatten(F.array(*found))).drop("_text").withColumn("_row", F.monotonically_increasing_id()))
+    some = F.size("_spans") > 0
+
+    # one row for each span; an opaque one goes if a base span that begins before its end reaches beyond its start
+    each = scan.filter(some).select("_row", "_repo", "_owner", F.explode("_spans").alias("s")).select("_row", "_repo", "_owner", "s.start", "s.kind", "s.end", F.sha2("s.value", 256).alias("hash"))
+    place = F.when(F.col("kind") == opaque, F.col("end")).otherwise(F.col("start"))
+    until = Window.partitionBy("_row").orderBy(place, F.col("kind") != opaque).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("kind") != opaque, F.col("end"))).over(until)
+    each = cut(each.withColumn("reach", F.coalesce(reach, F.lit(0))).filter((F.col("kind") != opaque) | (F.col("reach") <= F.col("start"))).drop("reach"))
+
+    # only values that look live, of which no group is large, meet their rows again
     count = ownership(each.select("hash", F.col("_repo").alias("repo"), F.col("_owner").alias("owner")))
-    salted = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    live = F.col("owners") < min_owners
-    told = (
-        each.withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["hash", "salt"])
-        .groupBy("_row")
-        .agg(
-            F.count_if(live).alias("n_live"),
-            F.count_if(~live).alias("n_copied"),
-            F.collect_list(F.when(live & (F.col("s.kind") == KINDS.index("opaque")), F.col("s"))).alias("_live"),
-        )
-    )
-    some = F.size("_base") + F.size("_more") > 0
-    names = [c for c in scan.columns if not c.startswith("_")]
-    with_any = scan.filter(some).join(told, "_row", "left").select(*names, "_base", F.concat("_base", F.coalesce("_live", F.slice("_base", 1, 0))).alias("_all"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
-    without = scan.filter(~some).select(*names, "_base", F.col("_base").alias("_all"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_copied"))
+    live = count.filter((F.col("owners") < min_owners) & (F.col("repos") < min_repos)).select("hash", F.lit(True).alias("live"))
+    told = each.join(live, "hash", "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    shown = told.filter((F.col("kind") != opaque) | F.col("live"))
+    before = F.max("end").over(Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    shown = shown.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "before"))).alias("_all"))
+    counted = told.groupBy("_row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
+
+    names = [F.col(quoted(c)) for c in scan.columns if c not in ("_repo", "_owner", "_spans", "_row")]
+    nothing = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,before:bigint>>)")
+    zero = F.lit(0).cast("bigint")
+    told = counted.join(shown, "_row", "left")
+    with_any = scan.filter(some).join(told, "_row", "left").select(*names, F.coalesce("_all", nothing).alias("_all"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
+    without = scan.filter(~some).select(*names, nothing.alias("_all"), zero.alias("n_live"), zero.alias("n_copied"))
     return with_any.unionByName(without)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
     """For each row: its id, counts of base kinds, sha256 over the base spans, all spans, and how many
-    of its values look live or are copied by min_owners owners or more."""
-    found = _judged(docs, text_col, repo_col, owner_col, min_owners, [F.col(id_col).alias("id")])
-    number = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("bigint")
+    of its values look live or are copied by min_owners owners, or in min_repos repositories, or more."""
+    found = _judged(docs, text_col, repo_col, owner_col, min_owners, min_repos, [F.col(quoted(id_col)).alias("id")])
+    number = lambda k: F.size(F.filter("_all", lambda s: s["kind"] == KINDS.index(k))).cast("bigint")
+    base = F.filter("_all", lambda s: s["kind"] != KINDS.index("opaque"))
     return found.select(
         F.col("id").alias(id_col),
         *[number(k).alias(f"n_{k}") for k in BASE_KINDS],
-        F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"),
+        F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("_all")).alias("spans"),
         "n_live",
         "n_copied",
     )
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
-    """docs with every span of scan_secrets replaced by MASK; texts without candidates aren't moved."""
-    hit = has_candidate(F.col(text_col))
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    found = _judged(docs.filter(hit), text_col, repo_col, owner_col, min_owners, [whole.alias("doc")])
-    text = F.col("doc")[text_col]
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def redact_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
+    """docs with every span of scan_secrets replaced by MASK, spans that overlap by one; texts without candidates aren't moved."""
+    hit = F.coalesce(has_candidate(F.col(quoted(text_col))), F.lit(False))
+    found = _judged(docs.filter(hit), text_col, repo_col, owner_col, min_owners, min_repos, [F.struct(*columns(docs)).alias("doc")])
+    text = F.col("doc").getField(text_col)
+
+    def masked(x: Column) -> Column:
+        """The pieces between spans that no earlier one reaches into, read from blocks of the text, so that a piece costs its own length."""
+
+        def piece(begin: Column, end: Column) -> Column:
+            blocks = F.slice(x["blocks"], (F.floor(begin / PIECE) + 1).cast("int"), (F.floor((end - 1) / PIECE) - F.floor(begin / PIECE) + 1).cast("int"))
+            return F.when(end > begin, F.substring(F.array_join(blocks, ""), (begin % PIECE + 1).cast("int"), (end - begin).cast("int"))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        upto = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], upto, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        first = F.filter(x["spans"], lambda s: s["start"] >= s["before"])
+        rest = piece(F.array_max(F.transform(x["spans"], lambda s: s["end"])), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(F.transform(first, lambda s: F.concat(piece(s["before"], s["start"]), F.lit(MASK))), ""), rest)
 
-    masked = F.aggregate(F.sort_array("_all"), begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    changed = found.select(*[(F.when(F.size("_all") > 0, masked).otherwise(text) if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
+    parts = F.struct(F.col("_all").alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("blocks"))
+    new = F.when(F.size("_all") > 0, let(parts, masked)).otherwise(text)
+    changed = found.select(*[(new if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
     return docs.filter(~hit).unionByName(changed)
