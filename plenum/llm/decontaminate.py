@@ -6,7 +6,7 @@ holds the window exactly when all its shingles stand at consecutive places, so t
 containment 1: of each window, ordered by rarity in the corpus, only the rarest shingle is the necessary
 prefix. The prefix joins the documents' shingle places; the place must leave room for the window before
 and after it (positional and length bounds); then all other shingles are verified at their places, word
-by word.
+by word. Places whose shingle's bucket no benchmark shingle has are passed over while the documents are read.
 
 Defined cases: null texts have no words; an item without words has no window; repeated document rows are
 judged each for itself; repeated item ids count as one item; extra columns are ignored.
@@ -22,8 +22,8 @@ from plenum.llm.common import cut, lower_ascii
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHINGLE = 4
-#: Benchmarks of at most so many shingles are broadcast as hashes.
-MAX_BROADCAST = 2_000_000
+#: Shingles fall into so many buckets. Those of the benchmark are broadcast, as single numbers: this bounds their size.
+BUCKETS = 1 << 22
 
 
 def words(text: Column) -> Column:
@@ -67,16 +67,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     items = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("ws"))
     wins = cut(_windows(items, window))
     sizes = sorted(r.k for r in wins.select("k").distinct().collect()) or [SHINGLE]  # at most SHINGLE values
-    known = wins.select("hash").distinct().withColumn("known", F.lit(True))
-    if wins.count() <= MAX_BROADCAST:  # 9 bytes a row; beyond it, Spark joins the hashes as it joins any large tables
-        known = F.broadcast(known)
+    bucket = F.pmod(F.col("hash"), F.lit(BUCKETS))
+    known = F.broadcast(wins.select(bucket.alias("bucket")).distinct().withColumn("known", F.lit(True)))  # BUCKETS rows of 9 bytes at most
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("ws"))
     rows = rows.select("id", "row", F.size("ws").alias("n"), F.explode_outer(_shingles("ws", sizes)).alias("s"))
     rows = rows.select("id", "row", "n", "s.pos", *[F.col(f"s.{c}") for c in SAME])
-    # places of shingles whose hash any window has (all later joins compare the words); besides, one row of every document, for its number of words
+    # places of shingles that a window may have (all later joins compare the words); besides, one row of every document, for its number of words
     first = F.coalesce((F.col("pos") == 0) & (F.col("k") == sizes[0]), F.col("pos").isNull() | (F.col("n") < sizes[0]))
-    places = cut(rows.join(known, "hash", "left").filter(F.col("known") | first).withColumn("first", first))
+    places = cut(rows.withColumn("bucket", bucket).join(known, "bucket", "left").filter(F.col("known") | first).withColumn("first", first).drop("bucket"))
     hits = places.filter("known").select("row", "n", "pos", *SAME)
 
     rare = hits.groupBy(*SAME).agg(F.count("*").alias("often"))
