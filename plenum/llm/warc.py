@@ -1,9 +1,10 @@
 """WARC archives with a two-level capture index (operator 6).
 
-Pages are sorted by their reversed-host URL key over the archives. Each archive holds gzip members, one for a
-record; beside it stands an index of (key, page, offset, length) lines in compressed blocks of BLOCK entries,
-and a sparse directory with each block's first key and place. A lookup searches the directory, reads one block
-by range, searches it and reads one record by range. Reading back walks the directory, block by block.
+Pages are sorted by their reversed-host URL key and page id over the archives. Each archive holds gzip members,
+one for a record; beside it stand an index of (key, page, offset, length) lines in compressed blocks of BLOCK
+entries, and a sparse directory with each block's first entry and place. Captures are asked for by key and page:
+a binary search over the archives' first entries (MAX_ARCHIVES at most) names the archive, one in its directory
+the block, one in the block the entries, and the records are read by range, neighbours together.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, that of the largest page id is the response,
 others are revisits of it without payload.
@@ -21,30 +22,31 @@ import hashlib
 import json
 import os
 import re
-import uuid
 import zlib
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from plenum.llm.common import shared_folder
+from plenum.llm.common import new_folder
 
-MIN_REVISIT, BLOCK, PAGES_PER_ARCHIVE = 1000, 256, 4_000
+MIN_REVISIT, BLOCK = 1000, 256
+#: Archives hold about so many pages, more where there would be more than MAX_ARCHIVES of them.
+PAGES_PER_ARCHIVE, MAX_ARCHIVES = 4_000, 20_000
+#: Bytes that a range read takes at most, unless a single record is longer.
+READ_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"  # a fixed date, as the pages have none
 
 
-def url_key(url: str | None) -> str:
-    """org,example,www)/path?query: sorts captures of one domain together."""
-    try:
-        parts = urlsplit(url or "")
-        host = (parts.hostname or "").rstrip(".")
-    except ValueError:
-        return url or ""
-    return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "") if host else url or ""
+def url_key(url: Column) -> Column:
+    """org,example,www)/path?query: sorts captures of one domain together. What is no URL is its own key."""
+    part = lambda name: F.try_parse_url(url, F.lit(name))
+    host, path, query = F.regexp_replace(F.lower(part("HOST")), r"\.+$", ""), part("PATH"), part("QUERY")
+    turned = F.array_join(F.reverse(F.split(host, r"\.")), ",")
+    whole = F.concat(turned, F.lit(")"), F.when(path != "", path).otherwise("/"), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(host != "", whole).otherwise(F.coalesce(url, F.lit("")))
 
 
 def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -105,28 +107,85 @@ def _write(batches, folder):
         for i in range(0, len(lines), BLOCK):
             block = zlib.compress("\n".join(lines[i : i + BLOCK]).encode())
             index.write(block)
-            places.append((json.loads(lines[i])[0], at, len(block)))
+            places.append([*json.loads(lines[i])[:2], at, len(block)])
             at += len(block)
-    for end in ("warc.gz", "cdx.gz"):
+    with store.open_output_stream(f"{path}/{name}.dir{attempt}") as sparse:
+        sparse.write("\n".join(map(json.dumps, places)).encode())
+    for end in ("warc.gz", "cdx.gz", "dir"):
         store.move(f"{path}/{name}.{end}{attempt}", f"{path}/{name}.{end}")
-    yield pa.RecordBatch.from_arrays([pa.array([name] * len(places)), pa.array([p[0] for p in places], pa.string()), *(pa.array([p[i] for p in places], pa.int64()) for i in (1, 2))], ["archive", "first_key", "offset", "length"])
-
-
-def _range(store, path: str, offset: int, length: int) -> bytes:
-    with store.open_input_file(path) as f:
-        return f.read_at(length, offset)
-
-
-def _read(batches, folder):
-    store, path = _open(folder)
+    if places:
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([places[0][0]], pa.string()), pa.array([places[0][1]], pa.int64()), pa.array([len(lines)], pa.int64())], ["archive", "first_key", "first_page", "records"])
+
+
+def _entry(key: str, page: int | None) -> tuple:
+    """The order of captures; a missing page id comes first."""
+    return key, page is not None, page or 0
+
+
+class Archives:
+    """Binary searches and range reads over archives. tops: (first key, first page, name) of each."""
+
+    def __init__(self, folder: str, tops: list[tuple]):
+        self.store, self.path = _open(folder)
+        found = sorted((_entry(k, p), name) for k, p, name in tops)
+        self.firsts, self.names = [e for e, _ in found], [n for _, n in found]
+        self.name, self.directory, self.at, self.block = None, [], None, []
+
+    def _bytes(self, end: str, offset: int | None = None, length: int | None = None) -> bytes:
+        with self.store.open_input_file(f"{self.path}/{self.name}.{end}") as f:
+            return f.read() if offset is None else f.read_at(length, offset)
+
+    def _enter(self, name: str) -> None:
+        if name != self.name:
+            self.name, self.at = name, None
+            self.directory = [(_entry(k, p), o, n) for k, p, o, n in map(json.loads, self._bytes("dir").decode().split("\n"))]
+
+    def _entries(self, i: int) -> list[tuple]:
+        if i != self.at:
+            _, offset, length = self.directory[i]
+            self.at = i
+            self.block = [(_entry(k, p), o, n) for k, p, o, n in map(json.loads, zlib.decompress(self._bytes("cdx.gz", offset, length)).decode().split("\n"))]
+        return self.block
+
+    def places(self, first: tuple, last: tuple):
+        """(archive, offset, length) of the records between two entries, both included."""
+        i = max(0, bisect.bisect_left(self.firsts, first) - 1)
+        while i < len(self.names) and self.firsts[i] <= last:
+            self._enter(self.names[i])
+            blocks = [e for e, _, _ in self.directory]
+            j = max(0, bisect.bisect_left(blocks, first) - 1)
+            while j < len(blocks) and blocks[j] <= last:
+                found = self._entries(j)
+                for _, offset, length in found[bisect.bisect_left(found, first, key=lambda e: e[0]) : bisect.bisect_right(found, last, key=lambda e: e[0])]:
+                    yield self.name, offset, length
+                j += 1
+            i += 1
+
+    def records(self, places):
+        """Lists of parsed records; those that stand together are read together."""
+        run: list[tuple] = []
+        for place in places:
+            name, offset, length = place
+            if run and (run[-1][0] != name or run[-1][1] + run[-1][2] != offset or offset + length - run[0][1] > READ_BYTES):
+                yield self._read(run)
+                run = []
+            run.append(place)
+        if run:
+            yield self._read(run)
+
+    def _read(self, run: list[tuple]) -> list[dict]:
+        begin = run[0][1]
+        with self.store.open_input_file(f"{self.path}/{run[0][0]}.warc.gz") as f:
+            whole = f.read_at(run[-1][1] + run[-1][2] - begin, begin)
+        return [parse(whole[o - begin : o - begin + n]) for _, o, n in run]
+
+
+def _found(batches, folder, tops):
+    own = Archives(folder, tops)
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    for b in batches:
-        for archive, at, size in zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
-            entries = [json.loads(x) for x in zlib.decompress(_range(store, f"{path}/{archive}.cdx.gz", at, size)).decode().split("\n")]
-            first, last = entries[0], entries[-1]
-            whole = _range(store, f"{path}/{archive}.warc.gz", first[2], last[2] + last[3] - first[2])  # a block's records stand together
-            rows = [parse(whole[o - first[2] : o - first[2] + n]) for _, _, o, n in entries]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if c in ("payload_digest", "record_type") else pa.int64()) for c in names], list(names))
+    asked = (_entry(k, p) for b in batches for k, p in zip(b.column("key").to_pylist(), b.column("page_id").to_pylist(), strict=True))
+    for rows in own.records(x for e in asked for x in own.places(e, e)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if c in ("payload_digest", "record_type") else pa.int64()) for c in names], list(names))
 
 
 def with_marks(pages: DataFrame) -> DataFrame:
@@ -134,9 +193,8 @@ def with_marks(pages: DataFrame) -> DataFrame:
 
     Only keys, ids and digests of payloads that may repeat are grouped and joined; payloads aren't.
     """
-    keys = F.udf(url_key, "string", useArrow=False)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", keys("url").alias("key"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("key"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "key", "digest")
     group = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
     marks = large.join(group, "digest").filter("not page_id <=> response and response is not null")
@@ -146,42 +204,42 @@ def with_marks(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, n_archives: int | None = None) -> DataFrame:
-    """Write the archives and their indexes under folder; the directory: archive, first_key, offset, length of each block.
+    """Write the archives with their indexes and directories under folder; a row for each: archive, first_key, first_page, records.
 
     Marks are dealt and sorted with the pages, just before theirs, so that payloads are shuffled once.
     """
     spark = pages.sparkSession
-    n = n_archives or max(1, -(-pages.count() // PAGES_PER_ARCHIVE))
+    n = n_archives or max(1, min(MAX_ARCHIVES, -(-pages.count() // PAGES_PER_ARCHIVE)))
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
     rows = with_marks(pages.select("page_id", "url", "html")).repartitionByRange(n, "key", "page_id")
     rows = rows.sortWithinPartitions("key", "page_id", F.col("payload").isNotNull())
-    rows.mapInArrow(lambda bs: _write(bs, folder), "archive string, first_key string, offset long, length long").write.parquet(f"{folder}/directory")
-    return spark.read.parquet(f"{folder}/directory")
+    rows.mapInArrow(lambda bs: _write(bs, folder), "archive string, first_key string, first_page long, records long").write.parquet(f"{folder}/archives")
+    return spark.read.parquet(f"{folder}/archives")
 
 
-def read_archives(directory: DataFrame, folder: str) -> DataFrame:
-    """Every record, by range reads of the directory's blocks, which are dealt over tasks."""
-    spread = directory.repartition(directory.sparkSession.sparkContext.defaultParallelism * 4, "archive", "offset")
-    return spread.mapInArrow(lambda bs: _read(bs, folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def tops(archives: DataFrame) -> list[tuple]:
+    """First key, first page and name of each archive: MAX_ARCHIVES rows at most."""
+    return [(r.first_key, r.first_page, r.archive) for r in archives.collect()]
 
 
-def lookup(directory: DataFrame, folder: str, url: str) -> list[dict]:
-    """All captures of a URL: binary search in the sparse directory (a row for each BLOCK entries), then in blocks."""
-    key = url_key(url)
-    blocks = directory.filter(F.col("first_key") == key).collect()
-    before = directory.filter(F.col("first_key") < key).orderBy(F.desc("first_key"), F.desc("archive"), F.desc("offset")).limit(1).collect()
-    store, path = _open(folder)
-    found = []
-    for b in {(x.archive, x.offset): x for x in [*before, *blocks]}.values():
-        entries = [json.loads(x) for x in zlib.decompress(_range(store, f"{path}/{b.archive}.cdx.gz", b.offset, b.length)).decode().split("\n")]
-        keys = [e[0] for e in entries]
-        for _, _, at, n in entries[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            found.append(parse(_range(store, f"{path}/{b.archive}.warc.gz", at, n)))
-    return found
+def read_captures(asked: DataFrame, archives: DataFrame, folder: str) -> DataFrame:
+    """The records of the captures asked for (key, page_id), each as often as it was written. Equal and neighbouring captures are dealt to one task, in order."""
+    first = tops(archives)
+    n = max(1, min(len(first), asked.sparkSession.sparkContext.defaultParallelism * 4))
+    rows = asked.select("key", "page_id").distinct().repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    return rows.mapInArrow(lambda bs: _found(bs, folder, first), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def lookup(archives: DataFrame, folder: str, url: str) -> list[dict]:
+    """All captures of a URL."""
+    key = archives.sparkSession.range(1).select(url_key(F.lit(url)).alias("key")).first().key
+    own = Archives(folder, tops(archives))
+    return [r for rows in own.records(own.places((key, False, 0), (key, True, 1 << 63))) for r in rows]
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages to archives in the shared folder and read every record back."""
-    folder = f"{shared_folder(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, folder), folder)
+    """Write pages to archives in the shared folder and read every page's record back through the index."""
+    folder = new_folder(pages.sparkSession, "warc")
+    asked = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
+    return read_captures(asked, write_archives(pages, folder), folder)
