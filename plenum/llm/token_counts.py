@@ -4,7 +4,8 @@ The pieces are a public byte vocabulary; a piece's log-probability follows Zipf'
 split into pre-tokens; its count is the number of pieces in the best segmentation of each pre-token. A task
 inserts its distinct pre-tokens in a trie, a node for each distinct prefix: the best score of a prefix is
 computed once, however many pre-tokens share it, and a pre-token's count is stored at its terminal node. The
-trie begins anew when it has MAX_NODES nodes, so a task's memory is bounded.
+trie begins anew when it has MAX_NODES nodes, and a pre-token has nodes for its first LONG bytes only, beyond
+which its own last scores are enough; so a task's memory is bounded whatever the texts are.
 
 Defined cases: null and empty texts have no tokens; ties go to fewer pieces; repeated rows are counted alike;
 other columns are ignored.
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_NODES = 1_500_000
+MAX_NODES, LONG = 1_500_000, 512
 
 
 @lru_cache(2)
@@ -34,57 +35,92 @@ def pieces(ranks: str) -> tuple[dict[bytes, float], int]:
     return {p: -math.log(r + 1) - total for p, r in table.items()}, max(map(len, table))
 
 
+@lru_cache(2)
+def lengths(ranks: str) -> dict[bytes, tuple[int, ...]]:
+    """The lengths of the pieces that end with two bytes, 1 among them: no others need a try where these end."""
+    found: dict[bytes, set[int]] = {}
+    for p in pieces(ranks)[0]:
+        if len(p) > 1:
+            found.setdefault(p[-2:], {1}).add(len(p))
+    return {end: tuple(sorted(ns)) for end, ns in found.items()}
+
+
 class Trie:
     """Nodes are numbers; a node keeps the best score of its prefix and the pieces in it."""
 
     def __init__(self, ranks: str):
         self.pieces, self.longest = pieces(ranks)
-        self.clear()
+        self.lengths = lengths(ranks)
+        self.child: dict[tuple[int, int], int] = {}
+        self.terminal: dict[str, int] = {}
+        self.score, self.count = [0.0], [0]
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, int], int] = {}
+        self.child.clear()
+        self.terminal.clear()
         self.score, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
+
+    def _best(self, raw: bytes, d: int, score: list, count: list, at) -> tuple[float, int]:
+        """Score and pieces of the best segmentation of raw's first d bytes; at: where the ones of shorter prefixes stand."""
+        best, n, get = -math.inf, 0, self.pieces.get
+        for size in self.lengths.get(raw[d - 2 : d] if d > 1 else b"", (1,)):
+            if size > d:
+                break
+            p = get(raw[d - size : d])
+            if p is not None:
+                j = at(d - size)
+                s = score[j] + p
+                if s > best or s == best and count[j] < n:
+                    best, n = s, count[j] + 1
+        return best, n
 
     def insert(self, token: str) -> int:
         """Number of pieces of the token's best segmentation."""
+        if len(self.score) > MAX_NODES:
+            self.clear()
         raw = token.encode("utf-8", "surrogatepass")
-        get, score, count, child = self.pieces.get, self.score, self.count, self.child
+        score, count, child = self.score, self.count, self.child
         path, node = [0], 0
-        for d, byte in enumerate(raw, 1):
+        for d, byte in enumerate(raw[:LONG], 1):
             step = (node, byte)
             node = child.get(step)
             if node is None:
-                best, n = -math.inf, 0
-                for j in range(max(0, d - self.longest), d):
-                    p = get(raw[j:d])
-                    if p is not None:
-                        at = path[j]
-                        s = score[at] + p
-                        if s > best or s == best and count[at] < n:
-                            best, n = s, count[at] + 1
+                best, n = self._best(raw, d, score, count, path.__getitem__)
                 node = child[step] = len(score)
                 score.append(best)
                 count.append(n)
             path.append(node)
+        if len(raw) > LONG:
+            return self._beyond(raw, [score[i] for i in path], [count[i] for i in path])
         self.terminal[token] = count[node]
         return count[node]
 
+    def _beyond(self, raw: bytes, score: list, count: list) -> int:
+        """The count of a long token, of whose prefixes only the last ones are kept."""
+        gone = 0
+        for d in range(LONG + 1, len(raw) + 1):
+            if len(score) > 64 * self.longest:
+                drop = len(score) - self.longest
+                del score[:drop], count[:drop]
+                gone += drop
+            best, n = self._best(raw, d, score, count, lambda j: j - gone)  # noqa: B023
+            score.append(best)
+            count.append(n)
+        return count[-1]
+
 
 def _counted(batches, ranks):
     trie, split = Trie(ranks), regex.compile(public_tokenizers.PATTERN)
+    known, insert = trie.terminal, trie.insert
     for b in batches:
         out = []
         for t in b.column("text").to_pylist():
-            known, insert = trie.terminal, trie.insert
             n = m = 0
             for x in split.findall(t or ""):
                 c = known.get(x)
                 n += insert(x) if c is None else c
                 m += 1
             out.append((m, n))
-            if len(trie.score) > MAX_NODES:
-                trie.clear()
         yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[i] for x in out], pa.int64()) for i in (0, 1))], ["id", "n_pretokens", "n_tokens"])
 
 
