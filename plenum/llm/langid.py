@@ -9,29 +9,28 @@ one is narrow, the answer is rejected (accepted = false), while lang_pred still
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and not accepted; if no language
 can be learned, all texts are `und`; ties go to the first language in order; null languages teach nothing;
-repeated rows are answered alike; other columns are ignored.
+repeated rows are answered alike, and teach once, by the least of their texts; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import cut, held_out, shared_folder
+from plenum.llm.common import cut, held_out, new_folder
 
 DOCS, DICT_BYTES, PIECE, LEVEL, GROUP = 96, 112_640, 8_192, 3, 64
 #: Bytes that halve (by e) the odds of a language, and the least share of saved bytes for an accepted answer.
 SCALE, MARGIN = 4.0, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Iterator[dict[str, bytes]]:
@@ -39,9 +38,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter("lang is not null and text is not null and text != ''").filter(~held_out(F.col("id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("lang", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DOCS)
+    chosen = rows.select("lang", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DOCS)
     share = DICT_BYTES // DOCS * 4
-    picked = cut(rows.drop("lang").join(cut(chosen), "id").select("lang", "rank", F.left("text", F.lit(share)).alias("text")))
+    begun = rows.select("id", "lang", F.left("text", F.lit(share)).alias("text")).join(cut(chosen), ["id", "lang"])
+    picked = cut(begun.groupBy("lang", "rank").agg(F.min("text").alias("text")))  # of rows that repeat an id, one text
     langs = sorted(r.lang for r in picked.select("lang").distinct().collect())
     for i in range(0, len(langs), GROUP):
         out: dict[str, bytes] = {}
@@ -107,7 +107,7 @@ def _load(path: str) -> dict[str, bytes]:
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """For each row: id, held_out, lang_pred, score, accepted."""
-    where = f"{shared_folder(docs.sparkSession).rstrip('/')}/dictionaries-{uuid.uuid4().hex}"
+    where = new_folder(docs.sparkSession, "dictionaries")
     names = []
     for group in learn(docs, id_col, text_col, lang_col):
         names.append(f"{where}/{len(names):06d}")
