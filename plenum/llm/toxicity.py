@@ -2,13 +2,14 @@
 
 A logistic regression over the presence of words and word beginnings. Training swaps identity terms of
 labelled texts for others of their kind and penalises the change of the score, so that naming a group is
-neutral. It reads at most MAX_TRAIN labelled texts, those with the least hashes of their ids: the only
-bounded sample; scores cover every whole text.
+neutral. It reads at most MAX_TRAIN labelled texts, those with the least hashes of their ids, one for each id:
+the only bounded sample; scores cover every whole text. On the driver a text is the numbers of its kept features,
+of which there are MAX_FEATURES and the identity terms at most.
 
 Defined cases: null and empty texts have no words and get the score of the bias; labels that are null or of
 unknown ids teach nothing, of repeated label rows the larger counts; with one class or no labels at all,
-every score is the share of toxic labels (0 without labels); repeated rows score alike; other columns are
-ignored.
+every score is the share of toxic labels (0 without labels); repeated rows score alike, and of rows that repeat
+an id the least text teaches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import held_out
+from plenum.llm.common import cut, held_out
 
 #: Bounds of the training sample and of the features that are kept.
 MAX_TRAIN, MAX_FEATURES = 20_000, 4_096
@@ -113,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_train)  # at most max_train rows of 12 bytes: their size is bounded
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    sample = cut(labelled.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     total = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
