@@ -8,7 +8,7 @@ fixed languages' references and, if it has another language, that one's; for cha
 words; each is judged only from a least length on.
 
 Defined cases: null and empty texts have no words and fail the base rule; rows of a null language add to no
-reference and are not rejected by words, as their own language has no reference; if there are no references,
+reference and are not rejected by distance, as their own language has no reference; if there are no references,
 nothing is rejected by distance; repeated rows count each; extra columns are ignored.
 """
 
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import cut
+from plenum.llm.common import cut, let
 
 #: Common words of these languages; those of others are learned.
 COMMON_WORDS = {
@@ -43,11 +43,6 @@ GUARD_CHARS, GUARD_WORDS = 300, 60
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.3
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _window_keys(words: str) -> Column:
     """For each 3-word window the low half of its hash, and its place: one long each, without nulls, so that arrays of them sort as primitives."""
     at = lambda i: F.get(F.col(words), i)
@@ -67,9 +62,9 @@ def _repeated_words(words: str, ordered: str) -> Column:
         at = F.transform(found, lambda e: e.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
         texts = F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("key"), i.alias("at")))
         inside = lambda e: F.array(e["at"], e["at"] + 1, e["at"] + 2)
-        return F.size(F.array_distinct(F.flatten(F.transform(_let(F.sort_array(texts), lambda t: twins(t, lambda e: e["key"])), inside))))
+        return F.size(F.array_distinct(F.flatten(F.transform(let(F.sort_array(texts), lambda t: twins(t, lambda e: e["key"])), inside))))
 
-    return _let(twins(keys, lambda e: F.shiftright(e, 32)), lambda found: F.when(F.size(found) > 0, exact(found)).otherwise(0)).cast("bigint")
+    return let(twins(keys, lambda e: F.shiftright(e, 32)), lambda found: F.when(F.size(found) > 0, exact(found)).otherwise(0)).cast("bigint")
 
 
 def _split(text: Column) -> Column:
@@ -83,9 +78,9 @@ def _common_counts(words: Column, listed: Column | None = None) -> Column:
 
     def runs(row: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda i: (i == 0) | (F.get(row, i) != F.get(row, i - 1)))
-        return _let(starts, lambda s: F.transform(s, lambda at, j: F.coalesce(F.get(s, j + 1), F.size(row)) - at - 1))
+        return let(starts, lambda s: F.transform(s, lambda at, j: F.coalesce(F.get(s, j + 1), F.size(row)) - at - 1))
 
-    return _let(F.sort_array(F.concat(known, every)), runs).cast("array<bigint>")
+    return let(F.sort_array(F.concat(known, every)), runs).cast("array<bigint>")
 
 
 def learned_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame | None:
@@ -118,7 +113,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learned
         F.size("words").cast("bigint").alias("n_words"),
         word_chars.cast("bigint").alias("word_chars"),
         left(r"[^#*$%&|<>]+").cast("bigint").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         _repeated_words("words", "ordered").alias("n_repeat_words"),
         size.cast("bigint").alias("n_chars"),
         F.array(word_chars - F.length("rest"), left(r"\P{Lu}+"), left(r"[^0-9]+"), size - word_chars).cast("array<bigint>").alias("chars"),
@@ -191,7 +186,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         referred = referred | own
     near = lambda xs, long: F.when(long, F.least(*xs) if len(xs) > 1 else xs[0]) if xs else nothing
     rows = rows.withColumn("char_distance", near(by_char, F.col("n_chars") >= GUARD_CHARS)).withColumn("word_distance", near(by_word, F.col("n_words") >= GUARD_WORDS))
-    far = F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False)) | F.coalesce(referred & (F.col("word_distance") > max_word_distance), F.lit(False))
+    far = F.coalesce(referred & (F.col("char_distance") > max_char_distance), F.lit(False)) | F.coalesce(referred & (F.col("word_distance") > max_word_distance), F.lit(False))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(F.col("id").alias(id_col), *counts, base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"), "char_distance", "word_distance")
 
