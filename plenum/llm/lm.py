@@ -9,7 +9,8 @@ that every character is scored as itself; as context, those characters are alike
 Training covers the whole corpus: every text's windows are counted, the counts are summed over all tasks, and
 the network is trained on the distinct windows, weighted by their counts. In each round, every task improves
 the round's weights on its own windows by minibatch steps, and the tasks' weights are averaged by the counts
-they saw. Memory is that of one task's windows and the network.
+they saw. Steps draw windows by their counts; a round takes as many draws as PASSES passes over the distinct ones
+would. Shards hold SHARD_ROWS windows at most, so memory is that of one shard and the network.
 
 Defined cases: null and empty texts have no tokens, score 0 and a null mean; an empty corpus gives the uniform
 network; repeated rows are scored alike and count each in training; characters that the corpus of a given model
@@ -28,7 +29,7 @@ from plenum.llm.common import cut
 ALPHABET, SIDE, WIDTH, HIDDEN = 93, 2, 8, 32
 ROUNDS, PASSES, LEAST_STEPS, BATCH, RATE = 3, 2, 80, 4_096, 0.01
 #: Distinct windows that a counting task holds before it hands them on, characters worked on at once, and shards of the training windows.
-HELD, CHUNK, SHARDS = 1_000_000, 1_000_000, 12
+HELD, CHUNK, SHARDS, SHARD_ROWS = 1_000_000, 1_000_000, 12, 1_000_000
 EDGE, OTHER, FIRST = 0, 1, 2
 SPAN = 2 * SIDE + 1
 UNICODE = 0x110000
@@ -172,25 +173,27 @@ def _improved(batches, w, seed):
         keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(keys)
         new = improve(w, keys[order], counts[order], seed)
-        flat = np.concatenate([x.ravel() for x in new])
-        yield pa.RecordBatch.from_arrays([pa.array([float(counts.sum())]), pa.array([flat.tobytes()], pa.binary())], ["weight", "flat"])
+        flat = np.append(np.concatenate([x.ravel() for x in new]), 1.0) * float(counts.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["place", "value"])
 
 
 def train(docs: DataFrame, points: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """The alphabet (points, if given) and the network. docs: text."""
     points = alphabet(*char_counts(docs)) if points is None else points
     counted = docs.select("text").mapInArrow(lambda bs: _counted_windows(bs, points), "key long, count long")
-    kept = cut(counted.groupBy("key").agg(F.sum("count").alias("count")).repartition(SHARDS, "key"))
+    kept = cut(counted.groupBy("key").agg(F.sum("count").alias("count")))
+    shards = max(SHARDS, -(-kept.count() // SHARD_ROWS))
     w = start(len(points) + FIRST)
     shapes = [x.shape for x in w]
     for r in range(ROUNDS):
         now = w
-        rows = kept.repartition(SHARDS, "key").mapInArrow(lambda bs: _improved(bs, now, r), "weight double, flat binary").collect()  # SHARDS rows
+        sums = kept.repartition(shards, "key").mapInArrow(lambda bs: _improved(bs, now, r), "place int, value double")
+        rows = sums.groupBy("place").agg(F.sum("value").alias("value")).collect()  # a row for each weight; the last is the windows' count
         if not rows:
             break
-        flat = sum(np.frombuffer(x.flat) * x.weight for x in sorted(rows)) / sum(x.weight for x in rows)
+        flat = np.array([x.value for x in sorted(rows)])
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-        w = [p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True)]
+        w = [p.reshape(s) for p, s in zip(np.split(flat[:-1] / flat[-1], cuts), shapes, strict=True)]
     return points, w
 
 
