@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plenum.llm import langid, lm, packing, token_counts, toxicity, warc
@@ -43,6 +44,20 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Scores are the logistic function of the learned weights of a text's features; repeated rows teach once; a very long text is scored whole."""
+    docs, labels = edge_docs(spark), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(-20, "calm words " * 200_000 + "idiots")], "doc_id long, text string"), allowMissingColumns=True)
+    weights, bias = toxicity.train(docs, labels)
+    again = toxicity.train(docs.union(docs), labels)
+    assert again[1] == pytest.approx(bias) and again[0].keys() == weights.keys()
+    for r, t in zip(toxicity.score_documents(docs, labels).orderBy("doc_id", "score").collect(), docs.orderBy("doc_id").collect(), strict=True):
+        if r.doc_id is not None and r.doc_id != -5:
+            words = {w for w in (x.strip(toxicity.EDGES) for x in (t.text or "").lower().split()) if w}
+            features = {f for w in words for f in ["=" + w, *(w[:k] for k in (3, 4, 5, 6) if len(w) >= k)]}
+            assert r.doc_id == t.doc_id and r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, bias + sum(weights.get(f, 0.0) for f in features))))))
+
+
 def test_toxicity_counterfactuals():
     """A group named in toxic texts only gets its weight from labels; the penalty takes it back."""
     texts = [("=women are awful", 1)] * 30 + [("awful day", 1)] * 10 + [("men walk", 0)] * 30 + [("fine day", 0)] * 30
@@ -63,18 +78,33 @@ def test_warc_round_trip(spark, tmp_path):
     rows += [(2000 + i, f"http://h.example/{i % 7}", big) for i in range(40)] + [(3000, "http://h.example/1", "x" * 999), (3001, "http://h.example/1", "x" * 999)]
     rows += [(None, "http://h.example/1", big), (None, None, "q" * 1500), (3002, "http://h.example/1", big), (2000, "http://h.example/0", big)]
     pages = pages.unionByName(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string"), allowMissingColumns=True)
-    directory = warc.write_archives(pages, str(tmp_path / "w"), 3)
-    got = warc.read_archives(directory, str(tmp_path / "w")).collect()
+    folder = str(tmp_path / "w")
+    archives = warc.write_archives(pages, folder, 3)
+    asked = pages.select(warc.url_key(F.col("url")).alias("key"), "page_id")
+    got = warc.read_captures(asked, archives, folder).collect()
     data = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
     last = defaultdict(int)
     for i, p in data:
         last[p] = max(last[p], i or 0)
     want = Counter((i, len(p), hashlib.sha1(p).hexdigest(), *(("revisit", last[p]) if len(p) >= 1000 and last[p] and i != last[p] else ("response", None))) for i, p in data)
     assert Counter(tuple(r) for r in got) == want
-    found = warc.lookup(directory, str(tmp_path / "w"), "http://h.example/1")
-    assert {r["page_id"] for r in found} == {r[0] for r in rows if r[1] == "http://h.example/1"}
+    found = warc.lookup(archives, folder, "http://h.example/1")
+    assert sorted(str(r["page_id"]) for r in found) == sorted(str(r[0]) for r in rows if r[1] == "http://h.example/1")
+    assert warc.lookup(archives, folder, "http://h.example/absent") == []
+    one = warc.read_captures(asked.filter("page_id = 2005"), archives, folder).collect()
+    assert [r.page_id for r in one] == [2005] and sum(r.records for r in archives.collect()) == len(data)
     assert warc.round_trip(pages.limit(0)).count() == 0
-    assert warc.url_key("https://www.Example.org/a?b#c") == "org,example,www)/a?b"
+    urls = {"https://www.Example.org/a?b#c": "org,example,www)/a?b", "http://h.example": "example,h)/", "no url": "no url", "": ""}
+    keys = spark.createDataFrame([(u,) for u in urls], "u string").select("u", warc.url_key(F.col("u")).alias("k")).collect()
+    assert {r.u: r.k for r in keys} == urls
+
+
+def test_warc_large_payloads(spark, tmp_path):
+    """Payloads of several megabytes are read by themselves, neighbours together."""
+    rows = [(i, "http://big.example/x", chr(97 + i) * (5_000_000 if i % 3 == 0 else 10)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.payload_bytes for r in warc.round_trip(pages).collect()}
+    assert got == {i: len(h) for i, _, h in rows}
 
 
 def test_pseudo_likelihood(spark):
@@ -115,6 +145,11 @@ def test_token_counts_brute_force(spark):
     want = Counter((r.doc_id, len(split.findall(r.text or "")), sum(best(x.encode()) for x in split.findall(r.text or ""))) for r in some)
     got = Counter(tuple(r) for r in token_counts.count_tokens(docs).collect() if r.doc_id is None or r.doc_id < 40)
     assert got == want
+    table_, raw = token_counts.Trie(public_tokenizers.path("byte_bpe_50k.tiktoken")), ("abandonedly" * 300).encode()
+    assert table_.insert(raw.decode()) == best(raw) and len(table_.score) <= token_counts.LONG + 1
+    long = spark.createDataFrame([(1, "a" * 300_000), (2, " " * 300_000)], "doc_id long, text string")
+    assert all(0 < r.n_tokens <= 300_000 for r in token_counts.count_tokens(long).collect())
+    assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
 def test_language(spark):
@@ -127,6 +162,32 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 and r.held_out == is_held_out(r.doc_id) for r in edge)
     assert {r.lang_pred for r in langid.predict(edge_docs(spark).drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
     assert langid.predict(docs.limit(0)).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ① 12", "de", 1)], "doc_id long, text string, lang string, rank int")
+    assert [r.lang_pred for r in langid.predict(docs.unionByName(signs, allowMissingColumns=True)).filter("doc_id = 1").collect() if r.score == 0] == ["und"]
+    assert langid.predict(edge_docs(spark).unionByName(spark.createDataFrame([(-9, "sehr lang " * 100_000, "de")], "doc_id long, text string, lang string"), allowMissingColumns=True)).filter("doc_id = -9").first().lang_pred == "de"
+
+
+def test_language_by_hand(spark):
+    """lang_pred and score recomputed from compressed sizes; a repeated id with two languages teaches each by its own text."""
+    rows = [(i, f"{w} " * 40 + str(i), lang) for i, (w, lang) in enumerate([("alpha beta", "aa"), ("gamma delta", "bb"), ("alpha beta", "aa"), ("gamma delta", "bb")] * 6)]
+    rows += [(100, "kappa mu nu " * 20, "aa"), (100, "sigma tau " * 20, "bb"), (100, "sigma tau " * 20, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    contents = {k: v for g in langid.learn(docs) for k, v in g.items()}
+    taught = {k: sorted({t for i, t, lang in rows if lang == k and not is_held_out(i)}) for k in ("aa", "bb")}
+    assert all(sum(contents[k].count(t.encode()) for t in ts) >= len(ts) for k, ts in taught.items())
+    if not is_held_out(100):
+        assert b"kappa" in contents["aa"] and b"kappa" not in contents["bb"] and contents["bb"].count(b"sigma tau " * 20) == 1
+    import zstandard
+
+    def size(lang, text):
+        d = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=langid.LEVEL)
+        return len(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.encode()))
+
+    for r, t in {(r, t) for r in langid.predict(docs).collect() for i, t, _ in rows if r.doc_id == i and i != 100}:
+        sizes = [size(k, t) for k in ("aa", "bb")]
+        assert r.lang_pred == ("aa", "bb")[sizes[1] < sizes[0]]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-abs(sizes[0] - sizes[1]) / langid.SCALE)))
 
 
 def test_packing(spark):
@@ -154,6 +215,26 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_very_long_texts(spark):
+    """Runs that the ranks' encoder can't take; ids are the tokenizer's."""
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "x" + "\n" * 1_200_000 + "y", "a" * 500_000, "\t " * 400_000, "é" * 200_000, "word " * 50_000 + " " * 99_999 + "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        got = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert got == [(s, len(ids[s : s + 1024]), zlib.crc32(ids[s : s + 1024].tobytes())) for s in range(0, len(ids), 1024)]
+
+
+def test_ids_are_the_tokenizers(spark):
+    own, draw = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(4)
+    signs = list("abcAB 12\n\t.'’é漢\u00a0\u0301🙂½_-") + ["'s", "<|", "|>"]
+    for _ in range(400):
+        t = "".join(draw.choice(signs, draw.integers(0, 60)))
+        assert packing.token_ids(t, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).tolist() == [*own.encode(t, add_special_tokens=False).ids, 0]
+
+
 @pytest.mark.parametrize("histogram", [{}, {1: 5}, {1023: 3, 1: 3}, {600: 10, 424: 10}, {i: 7 for i in range(1, 1024, 13)}, {512: 1000}])
 def test_plan_holds_every_piece_once(histogram):
     plan = packing.plan(dict(histogram))

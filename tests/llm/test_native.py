@@ -36,9 +36,10 @@ def base_spans(text):
 
 
 def test_secrets_brute_force(spark):
-    docs = small(spark)
+    many = [(i, "x aB3" + "zZ9_" * 8 + f" {i}", "en", "one", 1, "x", 1, 2) for i in range(5000, 5030)]  # one owner, many repositories
+    docs = small(spark).unionByName(spark.createDataFrame(many, SCHEMA), allowMissingColumns=True)
     rows = docs.select("doc_id", "text", "source").collect()
-    owners = defaultdict(set)
+    owners, repos = defaultdict(set), defaultdict(set)
     more = {}
     for at, r in enumerate(rows):
         t = r.text or ""
@@ -48,13 +49,14 @@ def test_secrets_brute_force(spark):
         more[at] = base, extra
         for s in base + extra:
             owners[s[4]].add(r.source)
+            repos[s[4]].add(r.doc_id)
     want = Counter()
     for at, r in enumerate(rows):
         base, extra = more[at]
         listed = lambda xs: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in sorted(xs))
-        kept = base + [e for e in extra if len(owners[e[4]]) < secrets.MIN_OWNERS]
+        kept = base + [e for e in extra if len(owners[e[4]]) < secrets.MIN_OWNERS and len(repos[e[4]]) < secrets.MIN_REPOS]
         n = Counter(s[3] for s in base)
-        live = sum(len(owners[s[4]]) < secrets.MIN_OWNERS for s in base + extra)
+        live = sum(len(owners[s[4]]) < secrets.MIN_OWNERS and len(repos[s[4]]) < secrets.MIN_REPOS for s in base + extra)
         want[(r.doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(kept), live, len(base + extra) - live)] += 1
     got = Counter(tuple(r) for r in secrets.scan_secrets(docs).collect())
     assert got == want
@@ -69,6 +71,11 @@ def test_secrets_long_and_redaction(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.filter("text like '%hunter2222%'").count() == 0
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+    one = "password=hunter2222 xY7" + "aB3_" * 6 + " "
+    long = spark.createDataFrame([(1, one * 10_000, "a", 3)], "doc_id long, text string, source string, `a.b` int")
+    r = secrets.scan_secrets(long).first()
+    assert (r.n_assign, r.n_live, r.spans.count(",")) == (10_000, 20_000, 19_999)
+    assert secrets.redact_secrets(long).first().text == "[SECRET] [SECRET] " * 10_000
 
 
 def item_windows(words, size=13):
@@ -126,6 +133,15 @@ def test_quality_brute_force(spark):
     got = quality.judge_quality(docs).collect()
     assert Counter((r.doc_id, *r[1:7]) for r in got) == Counter((r.doc_id, *brute_quality(r.text)) for r in docs.collect())
     assert not any(r.base_failed and r.kept for r in got)
+    lang = Counter((r.doc_id, r.lang) for r in docs.collect())
+    for r in got:  # the verdict follows from the distances, of rows whose own language has a reference
+        far = (r.char_distance or 0) > quality.MAX_CHAR_DISTANCE or (r.word_distance or 0) > quality.MAX_WORD_DISTANCE
+        if lang[(r.doc_id, None)] == 0:
+            assert r.kept == (not r.base_failed and not far)
+    chinese = " ".join("".join(chr(0x4E00 + (i * j) % 3000) for j in range(1, 16)) for i in range(1, 81))
+    more = docs.unionByName(spark.createDataFrame([(-1, chinese, None), (-2, "long text here " * 100_000, "en")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    told = {r.doc_id: r for r in quality.judge_quality(more).filter("doc_id < 0").collect()}
+    assert told[-1].kept and not told[-1].base_failed and told[-2].n_words == 300_000
     assert quality.judge_quality(docs.limit(0)).count() == 0
 
 
