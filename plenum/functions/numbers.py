@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 
 def dutch_number(raw: Column) -> Column:
-    """Text to double: € and % are dropped, mln and mrd scale, a dot before three digits groups, a comma is decimal."""
-    low = F.lower(F.trim(raw))
-    scale = F.when(low.rlike(r"\b(mrd|miljard)\b"), 1e9).when(low.rlike(r"\b(mln|miljoen)\b"), 1e6).otherwise(1.0)
-    x = F.regexp_replace(low, r"(mrd|miljard|mln|miljoen|[€%\s ])", "")
-    grouped = F.regexp_replace(F.regexp_replace(x, r"\.", ""), ",", ".")
-    plain = F.when(x.contains(",") | x.rlike(r"^-?\d{1,3}(\.\d{3})+$"), grouped).otherwise(x)
-    return plain.try_cast("double") * scale
+    """Text to double: blanks, €, $ and a last % are dropped; mln, mlj, miljoen, mrd and miljard scale what stands before them;
+    a comma is decimal; dots group thousands beside a comma, before three last digits, or if there are several."""
+    x = F.lower(F.regexp_replace(F.regexp_replace(raw, r"[€$\s\u00a0]", ""), "%$", ""))
+    million, billion = r"(ml[nj]|miljoen).*$", r"(mrd|miljard).*$"
+    scale = F.when(x.rlike(million), 1e6).when(x.rlike(billion), 1e9).otherwise(1.0)
+    x = F.when(x.rlike(million), F.regexp_replace(x, million, "")).otherwise(F.regexp_replace(x, billion, ""))
+    no_dots = F.replace(x, F.lit("."), F.lit(""))
+    grouped = x.contains(",") | x.rlike(r"^[^.]*\.[^.]{3}$") | x.rlike(r"\..*\.")
+    plain = F.when(grouped, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(x)
+    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double")) * scale
+
+
+def has_number(cell: Column) -> Column:
+    """Whether a cell holds a digit."""
+    return F.coalesce(cell.rlike(r"\d"), F.lit(False))
 
 
 def euro_amount(raw: Column, multiplier: Column | None = None) -> Column:
     """Text to decimal(18,2), half-even: parentheses, a leading or trailing minus are negative; a hundred billion and more is no amount."""
-    x = F.regexp_replace(raw, r"[€\s ]", "")
+    x = F.regexp_replace(raw, r"[€\s\u00a0]", "")
     negative = x.rlike(r"^\(.*\)$") | x.startswith("-") | x.endswith("-")
     digits = F.regexp_replace(x, r"[()\-]", "")
     plain = F.when(digits.contains(","), F.regexp_replace(F.regexp_replace(digits, r"\.", ""), ",", ".")).when(digits.rlike(r"^\d{1,3}(\.\d{3})+$"), F.regexp_replace(digits, r"\.", "")).otherwise(digits)
