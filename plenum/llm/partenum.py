@@ -13,10 +13,11 @@ Documents are sets of distinct word shingles; exact copies of a set are one clas
 2. Groups. Classes with an equal signature form a group; groups of equal members are one. Signatures are first
    put together in runs of ROWS_OUT: of classes that share one within a run, only the least and the largest key
    meet those of other runs, so that neither copies nor a signature of very many classes fill a task.
-3. Hubs. Each group's members are verified exactly against the one that stands in most groups.
+3. Hubs. Each group's members are held against the one that stands in most groups: by sketches (one byte for each
+   of many partitions; similar sets differ in k at most), and those that pass are verified exactly.
 4. The rest. In groups that hubs have not joined into one component, the members of different components are
-   compared in blocks, all groups of a hub together, by sketches (one byte for each of many partitions; similar sets differ in k at most),
-   and pairs that pass are verified exactly. No pair within a component needs a test.
+   compared in blocks, all groups of a hub together, by sketches, and pairs that pass are verified exactly. No
+   pair within a component needs a test.
 
 Shingles are 64-bit hashes of words; equal hashes count as equal shingles. Nothing is capped or sampled.
 
@@ -42,11 +43,11 @@ from plenum.llm.common import cut
 
 SHINGLE, PERCENT = 4, 85
 #: Bands grow by this factor. Shapes are (n2, k2): parts of a partition, and how many of them may differ.
-GROWTH, SHAPES = 1.4, ((2, 1), (3, 1), (3, 2), (4, 2))
+GROWTH, SHAPES = 1.2, ((2, 1), (3, 1), (3, 2), (4, 2))
 #: Shingles that a signature of the smallest set should hold on average.
 LEAST_HELD = 2.0
 #: Classes of a block, members of a hub that are verified together at most, and signatures of a run.
-BLOCK, TOGETHER, ROWS_OUT = 256, 4_096, 1_000_000
+BLOCK, TOGETHER, ROWS_OUT = 256, 4_096, 200_000
 U = np.uint64
 ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
 
@@ -102,7 +103,7 @@ class Bands:
         least, slack = k // (k2 + 1) + 1, 0
         while slack < 0.3 * least + 2:
             empty = (least + slack) * comb(n2, k2) * np.exp(-low * (n2 - k2) / n2 / (least + slack))
-            if empty + 4 * np.sqrt(empty) <= slack:
+            if empty + 3 * np.sqrt(empty) <= slack:
                 break
             slack += max(1, least // 200)
         return least + slack, slack
@@ -239,6 +240,17 @@ def _against_hub(batches, percent):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _passed(batches, percent):
+    """(hub, key) of the rows whose sizes and sketches allow them to be similar."""
+    for b in batches:
+        out = []
+        for hub, key, n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("hub", "key", "n", "m", "sketch", "hub_sketch")), strict=True):
+            if min(n, m) * 100 >= percent * max(n, m):
+                if (np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)).sum() <= (100 - percent) * (n + m) // (100 + percent):
+                    out.append((hub, key))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["hub", "key"])
+
+
 def _compared(rows, percent, i, j):
     """Pairs of different components in two blocks of a group whose sketches differ in k parts at most."""
     n, comp, key, block = (np.array([r[x] for r in rows]) for x in range(4))
@@ -323,10 +335,13 @@ def links_of_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFram
     # each group's hub is the member of most groups
     hubs = groups.join(wanted, "key").groupBy("gid").agg(F.max(F.struct("weight", "key"))["key"].alias("hub"))
     groups = cut(groups.join(hubs, "gid"))
-    first = _verified(groups.filter("key != hub").select("key", "hub"), sets, percent)
+    sketch = sets.select("key", "n", F.explode("sketches").alias("s")).select("key", "n", "s.band", "s.sketch")
+    hub_sketch = sketch.select(F.col("key").alias("hub"), F.col("n").alias("m"), "band", F.col("sketch").alias("hub_sketch"))
+    pairs = groups.filter("key != hub").select("key", "hub", "band").distinct()
+    both = pairs.join(sketch, ["key", "band"]).join(hub_sketch, ["hub", "band"])
+    first = _verified(both.mapInArrow(lambda bs: _passed(bs, percent), "hub long, key long"), sets, percent)
     comps = components(first)
 
-    sketch = sets.select("key", "n", F.explode("sketches").alias("s")).select("key", "n", "s.band", "s.sketch")
     member = cut(groups.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
     open_ = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo != hi and c > 2")
     # groups of one hub share most members: together, each pair is met once
