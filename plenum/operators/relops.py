@@ -24,10 +24,12 @@ def all_of(df: DataFrame, conditions: list[Column | None]) -> DataFrame:
     return reduce(lambda d, c: d.filter(c), [c for c in conditions if c is not None], df)
 
 
-def either_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], key: str) -> DataFrame:
-    """(left key, right's columns) that match by any of the pairs: a union of equi joins instead of OR, each match once."""
+def either_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], key: str, how: str = "inner") -> DataFrame:
+    """(left key, right's columns) that match by any of the pairs: a union of equi joins instead of OR, each match once.
+    how="left" keeps the left keys without a match."""
     found = [left.select(key, F.col(a).alias("_on")).join(right.withColumn("_on", F.col(b)), "_on").drop("_on") for a, b in pairs]
-    return reduce(DataFrame.unionByName, found).distinct()
+    matched = reduce(DataFrame.unionByName, found).distinct()
+    return matched if how == "inner" else left.select(key).join(matched, key, how)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, within: float, order: str) -> DataFrame:

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from plenum.plans import finance, graph, monitoring, relational, search, texts, transcripts, values  # noqa: F401
+    from plenum.plans import finance, graph, linking, monitoring, predicates, profiles, relational, search, texts, transcripts, values  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
