@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the cluster has cores, where its scan has fewer: for heavy work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group of keys by order; null keys are equal."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
