@@ -47,7 +47,7 @@ GROWTH, SHAPES = 1.2, ((2, 1), (3, 1), (3, 2), (4, 2))
 #: Shingles that a signature of the smallest set should hold on average.
 LEAST_HELD = 2.0
 #: Classes of a block, members of a hub that are verified together at most, and signatures of a run.
-BLOCK, TOGETHER, ROWS_OUT = 256, 4_096, 200_000
+BLOCK, TOGETHER, ROWS_OUT = 256, 4_096, 100_000
 U = np.uint64
 ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
 

@@ -31,7 +31,7 @@ THRESHOLD, STEPS, RATE, RIDGE, SWAP_WEIGHT = 0.3, 200, 0.1, 1e-4, 1.0
 BEGINNINGS = (3, 4, 5, 6)
 #: Features with a smaller chi-squared statistic are left out.
 LEAST_CHI = 15.0
-CACHE = 500_000
+CACHE = 100_000
 #: Identity terms by kind; a swap takes the next term of the kind.
 IDENTITY = [
     "women men girls boys frauen männer mujeres hombres femmes hommes".split(),
