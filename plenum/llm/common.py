@@ -58,7 +58,9 @@ def columns(df: DataFrame) -> list[Column]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; dealt over as many tasks as the cluster has cores where its scan has fewer, as the work on each row is heavy."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ def test_stages(spark):
     scored = toxicity.score_documents(docs, labels)
     assert ids(one) == ids(scored.filter("predicted = 0")) and one.columns == docs.columns
     two = steps["near copies"](spark, one, SMALL)
-    assert ids(two) == sorted({r[2] for r in brute([(r.doc_id, r.text) for r in one.collect()], 80, 5)}) and two.columns == docs.columns
+    assert ids(two) == sorted({r[2] for r in brute([(r.doc_id, r.text) for r in one.collect()], corpus_pipeline.PERCENT, corpus_pipeline.WORDS)}) and two.columns == docs.columns
     three = steps["decontamination"](spark, two, SMALL)
     judged = brute_contamination([(r.doc_id, r.text) for r in two.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert ids(three) == sorted(r[0] for r in judged if not r[5])
