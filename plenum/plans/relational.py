@@ -19,11 +19,11 @@ j AS (SELECT o_orderkey, o_custkey, o_orderdate, n_parts, n_a, n_other, preview
 SELECT o_orderkey, o_custkey, o_orderdate, n_parts, n_a, n_other, preview FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY n_parts DESC, o_orderkey) rk FROM j) WHERE rk = 1""")
 def meeting_listing(t):
     """Meetings with filtered distinct counts, those with documents only, a preview of five items, richest of equal ones."""
-    key = lambda c: F.count_distinct(F.when(c, F.col("l_partkey")))
     flag = F.col("l_returnflag")
-    counts = t.lineitem.groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("n_parts"), key(flag == "A").alias("n_a"), key(flag.isNull() | ~flag.isin("A", "R")).alias("n_other")).filter("n_parts > 0")
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    five = top_n(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey")], 5)
+    parts = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(flag == "A").alias("a"), F.bool_or(flag.isNull() | ~flag.isin("A", "R")).alias("other"))
+    counts = parts.groupBy("l_orderkey").agg(F.count("*").alias("n_parts"), F.count_if("a").alias("n_a"), F.count_if("other").alias("n_other"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    five = top_n(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey")], 5).join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     preview = five.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "p_name"))), lambda x: x["p_name"]), "; ").alias("preview"))
     found = t.orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey").join(preview, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     best = distinct_on(found, ["o_custkey", "o_orderdate"], [F.desc("n_parts"), F.col("o_orderkey")])
@@ -91,15 +91,15 @@ def temporal_band_join(t):
     return t.orders.join(t.lineitem, (F.col("l_orderkey") == F.col("o_orderkey")) & (near | F.col("l_shipdate").isNull())).groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS van, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS tot FROM orders)
-SELECT event_id, o_orderkey FROM events JOIN r ON user_id = o_custkey AND TIMESTAMP '2001-01-01' >= van AND (tot IS NULL OR TIMESTAMP '2001-01-01' < tot)""")
+@query("""WITH s AS (SELECT user_id, event_id, ts AS van, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tot FROM events WHERE event_type = 'view'), e AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'view'),
+c AS (SELECT e.event_id, s.event_id AS speaker FROM e JOIN s ON s.user_id = e.user_id AND s.van <= e.ts AND (s.tot IS NULL OR e.ts < s.tot)) SELECT e.event_id, c.speaker FROM e LEFT JOIN c USING (event_id)""")
 def interval_containment_join(t):
-    """The order (role) that is current for each event's user on a date; an open end is current."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    roles = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("van"), F.lead("o_orderdate").over(w).alias("tot"))
-    day = F.lit("2001-01-01").cast("timestamp")
-    current = roles.filter((F.col("van") <= day) & (F.col("tot").isNull() | (day < F.col("tot"))))
-    return t.events.join(current, F.col("user_id") == F.col("o_custkey")).select("event_id", "o_orderkey")
+    """Each event with the view of its user whose interval, up to the next view, holds its time; null before the first."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    views = t.events.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("speaker"), F.col("ts").alias("van"), F.lead("ts").over(w).alias("tot"))
+    e = t.events.filter("event_type <> 'view'").select("event_id", "user_id", "ts")
+    inside = (F.col("e.user_id") == F.col("v.user_id")) & (F.col("van") <= F.col("ts")) & (F.col("tot").isNull() | (F.col("ts") < F.col("tot")))
+    return e.alias("e").join(views.alias("v"), inside, "left").select("event_id", "speaker")
 
 
 @query("""WITH e AS (SELECT * FROM events WHERE event_type = 'error'), p AS (SELECT event_id AS pid, user_id, ts AS pts FROM events WHERE event_type = 'purchase'),

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from plenum.operators.relops import merge_longest
+from plenum import sinks
+from plenum.operators.relops import distinct_on, merge_longest
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
@@ -31,9 +32,13 @@ def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def admitted(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """event_id, admitted: an event passes if fewer than limit *admitted* ones of its user lie in the seconds before it.
 
-    Whether one passes depends on those that passed before, so the times of admitted events (limit at most) are state."""
+    Whether one passes depends on those that passed before, so the times of admitted events (limit at most) are state; that of a user who is
+    silent for longer than the seconds goes."""
 
     def judge(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -43,20 +48,46 @@ def admitted(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
             out.append((i, len(times) < limit))
             times += [at] * out[-1][1]
         state.update((times,))
+        state.setTimeoutDuration(max(seconds, 60) * 1000)
         yield pd.DataFrame(out, columns=["event_id", "admitted"])
 
-    return events.groupBy("user_id").applyInPandasWithState(judge, "event_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(judge, "event_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def cooled(alerts: DataFrame, seconds: int) -> DataFrame:
+    """event_id, sent: an alert is sent unless one of its rule was sent in the seconds before it. alerts: event_id, ts, rule."""
+
+    def judge(key, frames, state):
+        last = state.get[0] if state.exists else float("-inf")
+        out = []
+        for i, ts in pd.concat(list(frames)).sort_values(["ts", "event_id"])[["event_id", "ts"]].itertuples(index=False):
+            sent = ts.timestamp() - last >= seconds
+            last = ts.timestamp() if sent else last
+            out.append((i, sent))
+        state.update((last,))
+        state.setTimeoutDuration(seconds * 1000)  # a rule that is silent for longer needs no state
+        yield pd.DataFrame(out, columns=["event_id", "sent"])
+
+    def kept(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            yield from judge(key, frames, state)
+
+    return alerts.groupBy("rule").applyInPandasWithState(kept, "event_id long, sent boolean", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert_sink(folder: str, key: str, text: str):
-    """A foreachBatch function that merges each batch into folder, the longest text of a key winning.
+    """A foreachBatch function that merges each batch into folder, the longest text of a key winning (the least of equally long ones).
 
-    A batch writes the folder's next version under its own number, so a repeated batch writes the same again."""
+    A batch writes the folder's next version under its own number, so a repeated batch writes the same again; versions before the last two go."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.orderBy(F.desc(F.length(text))).dropDuplicates([key])
-        out = merge_longest(spark.read.parquet(f"{folder}/v{number - 1}"), newest, key, text) if number else newest
+        newest = distinct_on(batch, [key], [F.desc(F.length(text)), F.col(text)])
+        before = [v for v in sinks.versions(spark, folder) if v < number]
+        out = merge_longest(spark.read.parquet(f"{folder}/v{before[-1]}"), newest, key, text) if before else newest
         out.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        sinks.prune(spark, folder)
 
     return merge

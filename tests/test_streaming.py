@@ -37,3 +37,19 @@ def test_upsert_sink(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "docs/v1"))
     assert got.count() == d.count()
     assert got.filter("doc_id >= 50").join(d, ["doc_id", "text"]).count() == d.filter("doc_id >= 50").count()
+
+
+def test_alerts_cool_down(spark, tmp_path):
+    events = jobs.event_stream(spark, SMALL).withColumn("rule", F.col("event_type"))
+    got = {r.event_id: r.sent for r in run(jobs.cooled(events, 7200), "cooled", "append", tmp_path).collect()}
+    last = {}
+    for r in spark.read.parquet(f"{SMALL}/events.parquet").orderBy("ts", "event_id").collect():
+        sent = r.ts.timestamp() - last.get(r.event_type, float("-inf")) >= 7200
+        assert got[r.event_id] == sent
+        last[r.event_type] = r.ts.timestamp() if sent else last.get(r.event_type, float("-inf"))
+
+
+def test_each_event_once(spark, tmp_path):
+    twice = jobs.event_stream(spark, SMALL)
+    got = run(jobs.once(twice.union(twice)), "once", "append", tmp_path)
+    assert got.count() == got.select("event_id").distinct().count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
