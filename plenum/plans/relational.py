@@ -218,9 +218,10 @@ def intersect_nations(t):
     return t.customer.select("c_nationkey").intersect(t.supplier.select("s_nationkey")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT n_nationkey FROM nation EXCEPT SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
 def except_nations(t):
-    return t.nation.select("n_nationkey").subtract(t.supplier.select(F.col("s_nationkey").alias("n_nationkey")))
+    gone = t.nation.join(t.region.filter(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t.nation.select("n_nationkey").subtract(gone.select("n_nationkey"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

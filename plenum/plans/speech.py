@@ -277,6 +277,6 @@ def fragments_per_source(t):
 
 
 @query("""SELECT conv_id, arg_min(text, turn) AS opening, count(*) AS n FROM conversations GROUP BY 1""")
-def opening_turns(t):
+def first_turns(t):
     first = distinct_on(t.conversations, ["conv_id"], [F.col("turn")]).select("conv_id", F.col("text").alias("opening"))
     return first.join(t.conversations.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id")
