@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Documents whose crc32(doc_id as text) mod 4 has this value are held out of training.
@@ -99,3 +99,20 @@ def running_sums(values: Column, block: int = 256) -> Column:
         return F.when(F.size(xs) > 0, F.flatten(shifted)).otherwise(F.slice(zero, 1, 0))
 
     return let(values, summed)
+
+
+def ranked(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """df with place (bigint, from 0, by order) of each row in its group, and members, the group's rows; no group is gathered.
+
+    Rows are dealt and sorted by ranges of group and order, numbered within a partition, and shifted by what earlier
+    partitions hold of their group. The table is written once, so that every reader sees the same places.
+    """
+    keys = [F.col(group).asc_nulls_first(), *order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = cut(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    runs = rows.groupBy("_part", group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    each = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(each.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(each).alias("members"))
+    joined = rows.join(runs, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_p", "_g", "_shift")
