@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plenum.functions.text import let
+
 #: The first pattern that a lowered name has gives its type.
 DOC_TYPES = [
     ("motie", "motie"), ("amendement", "amendement"), ("raadsvoorstel", "raadsvoorstel"), ("notulen", "notulen"), ("verslag", "verslag"), ("besluitenlijst", "besluitenlijst"),
@@ -23,7 +25,7 @@ FINANCIAL = (
 #: What a document's name says of its layout.
 FINANCIAL_NAME = r"begroting|jaarstuk|jaarrekening|voorjaarsnota|10.?maands"
 TABLE_NAME = r"bestemmingsplan|mer\b|deelrapport|milieu.?effect|havenbestemmings|bijlage.*rapport|verslag.*hoorzitting|toelichting|rapportage"
-TABLE_LENGTH = 50_000
+TABLE_LENGTH = 100_000
 
 
 def substantive(number: Column, name: Column, meeting: Column) -> Column:
@@ -51,24 +53,28 @@ def garbled(text: Column) -> Column:
     prose = text
     for rx in (r"(?i)https?://\S+", r"(?i)\S+\.(?:pdf|docx?|xlsx?|txt|xml|json|csv|png|jpg)\b", r"(?<!\w)/[\w/.\-]{15,}", r"\b(?:[A-Z]{2,}[\-_]){2,}[A-Z0-9]+\b|\b[A-Z0-9]{20,}\b"):
         prose = F.regexp_replace(prose, rx, " ")
-    prose = F.regexp_replace(prose, r"^\s+|\s+$", "")
-    size = F.length(prose)
-    spaces = (size - F.length(F.replace(prose, F.lit(" "), F.lit("")))) / size
-    run = F.length(F.array_join(F.regexp_extract_all(prose, F.lit(r"[^\s]{35,}"), F.lit(0)), "")) / size
-    long = (F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) >= 50) & (size >= 20)
-    return F.coalesce(F.when(long, ((spaces < 0.06) & (run > 0.05)) | (run > 0.20) | ((spaces < 0.10) & (run > 0.10))), F.lit(False))
+    words = let(F.regexp_replace(prose, r"^\s+|\s+$", ""), lambda x: F.struct(
+        F.length(x).alias("size"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).alias("blanks"), F.length(F.array_join(F.regexp_extract_all(x, F.lit(r"[^\s]{35,}"), F.lit(0)), "")).alias("runs"),
+    ))
+
+    def judged(x: Column) -> Column:
+        spaces, run = x["blanks"] / x["size"], x["runs"] / x["size"]
+        return (x["size"] >= 20) & (((spaces < 0.06) & (run > 0.05)) | (run > 0.20) | ((spaces < 0.10) & (run > 0.10)))
+
+    long = F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) >= 50
+    return F.coalesce(F.when(long, let(words, judged)), F.lit(False))
 
 
 def layout(doc_id: Column, name: Column, content: Column) -> Column:
     """Which of seven ways a document is read; garbled texts are known by their first 5,000 characters."""
     money, tables = F.lower(name).rlike(FINANCIAL_NAME), F.lower(name).rlike(TABLE_NAME) & (F.length(content) > TABLE_LENGTH)
-    broken = garbled(F.substring(content, 1, 5000))
-    return (
+    kinds = lambda broken: (
         F.when(doc_id.startswith("transcript_"), "transcript")
         .when(money & tables, "financial_table_rich").when(money, "financial")
         .when(broken & tables, "garbled_table_rich").when(broken, "garbled_ocr")
         .when(tables, "table_rich").otherwise("regular")
     )
+    return let(garbled(F.substring(content, 1, 5000)), kinds)
 
 
 def damage(text: Column, term: str) -> Column:

@@ -10,6 +10,11 @@ MONTHS = "januari februari maart april mei juni juli augustus september oktober
 NUMBER_WORDS = "een twee drie vier vijf zes zeven acht negen tien".split()
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: an expression that is used several times is else written out as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalised(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
@@ -285,11 +290,19 @@ def surname_key(name: Column) -> Column:
     return F.nullif(F.get(F.split(F.try_element_at(words, F.lit(-1)), "-"), F.lit(0)), F.lit(""))
 
 
+#: Words that are no names even with a capital.
+FUNCTION_WORDS = """de het een van in op voor met door aan uit over bij naar tot als om dat die dit deze er ook maar nog wel niet geen wat dan meer zeer alle andere wordt worden werd
+zijn was heeft hebben kan moet zal zou na te is en of zo""".split()
+
+
 def facts(sentence: Column) -> Column:
-    """Numbers and capitalised words that don't begin the sentence."""
-    numbers = F.regexp_extract_all(sentence, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0))
-    names = F.regexp_extract_all(sentence, F.lit(r"(?<=\s)\p{Lu}[\p{L}-]+"), F.lit(0))
-    return F.array_union(numbers, names)
+    """What can be held against a source, lowered: numbers, dates, and words with a capital that neither begin the sentence nor are function words."""
+    low = F.lower(sentence)
+    numbers = F.regexp_extract_all(low, F.lit(r"\d[\d.,]*\d|\d+"), F.lit(0))
+    dates = F.regexp_extract_all(low, F.lit(r"\d{1,2}\s+(?:" + "|".join(MONTHS) + r")\s+\d{4}"), F.lit(0))
+    words = F.transform(F.split(F.trim(sentence), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_-]", ""))
+    names = F.filter(words, lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(FUNCTION_WORDS))
+    return F.array_union(F.array_union(numbers, dates), F.transform(names, F.lower))
 
 
 def grounded_share(sentence: Column, corpus: Column) -> Column:

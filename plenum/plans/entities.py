@@ -62,7 +62,7 @@ def query_expansion(t):
 
 
 ROUNDS = 3
-LABELS = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity > 48), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), l0 AS (SELECT DISTINCT a AS node, a AS label FROM u)" + "".join(
+LABELS = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), l0 AS (SELECT DISTINCT a AS node, a AS label FROM u)" + "".join(
     f", n{i} AS (SELECT u.a AS node, l.label, count(*) AS c FROM u JOIN l{i} l ON l.node = u.b GROUP BY 1, 2), l{i + 1} AS (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c DESC, label) rn FROM n{i}) WHERE rn = 1)" for i in range(ROUNDS)
 )
 
@@ -71,7 +71,7 @@ LABELS = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FRO
 def communities(t):
     """Label propagation: in each of a few rounds, a node takes the label that most of its neighbours have, the least one on ties."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = t.lineitem.filter("l_quantity > 48").select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b")).distinct()
+    e = t.lineitem.select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b")).distinct()
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     for _ in range(ROUNDS):

@@ -20,13 +20,15 @@ def series_by_label(t):
     return lines(t).groupBy("label", "jaar").agg(F.sum("amount").cast("double").alias("total"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT label, jaar, CAST(sum(amount) AS DOUBLE) AS total FROM lines WHERE jaar <> 1998 GROUP BY 1, 2), g AS (SELECT label, y AS jaar FROM (SELECT DISTINCT label FROM lines), unnest([1996, 1997, 1998, 1999]) AS u(y)),
+@query(f"""WITH {LINES}, s AS (SELECT label, jaar, CAST(sum(amount) AS DOUBLE) AS total FROM lines WHERE jaar <> 1998 GROUP BY 1, 2), g AS (SELECT label, y AS jaar FROM (SELECT DISTINCT label FROM lines), (SELECT unnest(range(min(jaar), max(jaar) + 1)) AS y FROM lines)),
 j AS (SELECT g.label, g.jaar, total, lag(total) OVER (PARTITION BY g.label ORDER BY g.jaar) AS before FROM g LEFT JOIN s ON s.label = g.label AND s.jaar = g.jaar)
 SELECT label, jaar, total, round(total - before, 2) AS delta, CASE WHEN before <> 0 THEN round(100 * (total - before) / before, 2) END AS pct FROM j""")
 def year_over_year(t):
-    """Deltas against the previous requested year; a missing year (1998 here) resets it."""
+    """Deltas against the year before, for all years from the first to the last; a missing year (1998 here) resets it."""
     sums = lines(t).filter("jaar != 1998").groupBy("label", "jaar").agg(F.sum("amount").cast("double").alias("total"))
-    spine = lines(t).select("label").distinct().select("label", F.explode(F.array(*[F.lit(y) for y in (1996, 1997, 1998, 1999)])).alias("jaar"))
+    years = lines(t).groupBy("label", "jaar").count().groupBy("label").agg(F.min("jaar").alias("own_first"), F.max("jaar").alias("own_last"))
+    ends = years.agg(F.min("own_first").alias("first"), F.max("own_last").alias("last"))  # one row
+    spine = years.select("label").join(F.broadcast(ends)).select("label", F.explode(F.sequence("first", "last")).alias("jaar"))
     j = spine.join(sums, ["label", "jaar"], "left").withColumn("before", F.lag("total").over(Window.partitionBy("label").orderBy("jaar")))
     return j.select("label", "jaar", "total", F.round(F.col("total") - F.col("before"), 2).alias("delta"), F.when(F.col("before") != 0, F.round(100 * (F.col("total") - F.col("before")) / F.col("before"), 2)).alias("pct"))
 

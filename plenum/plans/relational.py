@@ -179,14 +179,12 @@ def longest_document_wins(t):
     return distinct_on(docs, ["source", "lang"], [F.desc("n"), F.desc("doc_id")]).select("doc_id", "source", "n")
 
 
-@query("""WITH a AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, substr(text, 1, 500) AS text, CASE WHEN doc_id % 2 = 0 THEN upper(lang) END AS lang FROM documents WHERE doc_id % 3 <> 1)
-SELECT doc_id, length(CASE WHEN length(coalesce(b.text, '')) > length(coalesce(a.text, '')) THEN b.text ELSE a.text END) AS n, coalesce(b.lang, a.lang) AS lang FROM a FULL JOIN b USING (doc_id)""")
+@query("""WITH b AS (SELECT conv_id AS doc_id, arg_max(text, (length(text), turn)) AS text, arg_max(role, (length(text), turn)) AS lang FROM conversations GROUP BY 1)
+SELECT doc_id, length(CASE WHEN length(coalesce(b.text, '')) > length(coalesce(a.text, '')) THEN b.text ELSE a.text END) AS n, coalesce(b.lang, a.lang) AS lang FROM documents a FULL JOIN b USING (doc_id)""")
 def upsert_longest(t):
-    """Upsert sink semantics: longest text wins, other columns take the new value where there is one."""
-    d = t.documents
-    old = d.filter("doc_id % 3 <> 0").select("doc_id", "text", "lang")
-    new = d.filter("doc_id % 3 <> 1").select("doc_id", F.substring("text", 1, 500).alias("text"), F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).alias("lang"))
-    return merge_longest(old, new, "doc_id", "text").select("doc_id", F.length("text").alias("n"), "lang")
+    """Upsert sink semantics: longest text wins, other columns take the new value where there is one. New are each conversation's longest turns."""
+    new = distinct_on(t.conversations.withColumnsRenamed({"conv_id": "doc_id", "role": "lang"}), ["doc_id"], [F.desc(F.length("text")), F.desc("turn")])
+    return merge_longest(t.documents.select("doc_id", "text", "lang"), new.select("doc_id", "text", "lang"), "doc_id", "text").select("doc_id", F.length("text").alias("n"), "lang")
 
 
 @query("""WITH b AS (SELECT page_id AS doc_id, html AS text, nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '') AS source FROM pages)
@@ -198,11 +196,12 @@ def upsert_pages(t):
     return merge_longest(t.documents.select("doc_id", "text", "source"), new, "doc_id", "text").select("doc_id", F.md5("text").alias("hash"), "source")
 
 
-@query("""WITH o AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3)
+@query("""WITH n AS (SELECT DISTINCT user_id AS k, event_type AS p FROM events), o AS (SELECT o_custkey AS k, o_orderpriority AS p FROM orders UNION ALL SELECT o_custkey, 'click' FROM orders WHERE o_orderstatus = 'P')
 SELECT k, p FROM o UNION ALL SELECT k, p FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = n.k AND o.p = n.p)""")
 def insert_ignore(t):
-    pick = lambda c: t.lineitem.filter(c).select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"))
-    return insert_missing(pick("l_linenumber <= 2"), pick("l_linenumber between 2 and 3"), ["k", "p"])
+    """All kinds of events of users into their orders' priorities and clicks; what is there already stays as it is."""
+    there = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p")).unionByName(t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"), F.lit("click").alias("p")))
+    return insert_missing(there, t.events.select(F.col("user_id").alias("k"), F.col("event_type").alias("p")), ["k", "p"])
 
 
 @query("""WITH o AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem), n AS (SELECT DISTINCT o_orderkey AS k, p_partkey AS p FROM orders JOIN part ON p_partkey = o_custkey)

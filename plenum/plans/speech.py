@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions import speech
-from plenum.functions.text import word_set
+from plenum.functions.text import FUNCTION_WORDS, MONTHS, word_set
 from plenum.operators.relops import distinct_on
 from plenum.plans.registry import query
+from plenum.plans.values import sql_list
 
 #: Segments follow each other; a user's turn comes after 40 seconds of silence.
 SEGMENTS = """t AS (SELECT conv_id, turn, role, text, length(text) / 15.0 AS lasts, CASE WHEN role = 'user' THEN 40 ELSE 1 END AS gap FROM conversations),
@@ -113,15 +114,16 @@ def boundaries(rows, least=LEAST_SEGMENTS, silence=SILENCE):
     return each.select("conv_id", F.explode(kept).alias("b")).select("conv_id", F.col("b.i").alias("i"), F.col("b.reason").alias("reason"))
 
 
-@query(f"""WITH RECURSIVE {SEGMENTS}, d AS (SELECT CAST(conv_id % 4 AS BIGINT) AS conv_id, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id % 4) AS n, role, lag(role) OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS p, start - lag(stop) OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS silent FROM s),
-c AS (SELECT conv_id, i, CASE WHEN i = 0 THEN 'start' WHEN silent >= 30 AND role <> p THEN 'silence' END AS reason FROM d WHERE n >= 10), q AS (SELECT * FROM c WHERE reason IS NOT NULL),
-b AS (SELECT conv_id, i, reason FROM q WHERE i = 0 UNION ALL SELECT conv_id, i, reason FROM (SELECT q.conv_id, q.i, q.reason, row_number() OVER (PARTITION BY q.conv_id ORDER BY q.i) AS rn FROM b JOIN q ON q.conv_id = b.conv_id AND q.i >= b.i + 5) WHERE rn = 1)
+@query(f"""WITH RECURSIVE {SEGMENTS}, x AS (SELECT *, CASE WHEN length(text) % 5 = 0 THEN 'Dan komen we bij ' || text ELSE text END AS said FROM s),
+d AS (SELECT conv_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, role, said, lag(role) OVER w AS p, start - lag(stop) OVER w AS silent FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT conv_id, i, CASE WHEN i = 0 THEN 'start' WHEN regexp_matches(said, '(?i){speech.TRANSITION}') THEN 'phrase' WHEN silent >= 30 AND role <> p THEN 'silence' END AS reason FROM d WHERE n >= 4), q AS (SELECT * FROM c WHERE reason IS NOT NULL),
+b AS (SELECT conv_id, i, reason FROM q WHERE i = 0 UNION ALL SELECT conv_id, i, reason FROM (SELECT q.conv_id, q.i, q.reason, row_number() OVER (PARTITION BY q.conv_id ORDER BY q.i) AS rn FROM b JOIN q ON q.conv_id = b.conv_id AND q.i >= b.i + 2) WHERE rn = 1)
 SELECT conv_id, i, reason FROM b""")
 def agenda_boundaries(t):
-    """Where agenda items begin in four long meetings that conversations make up."""
-    w = Window.partitionBy(F.col("conv_id") % 4).orderBy("conv_id", "turn")
-    rows = segments(t).select((F.col("conv_id") % 4).alias("c"), F.row_number().over(w).alias("turn"), "role", F.lit("tekst").alias("text"), "start", "stop").withColumnRenamed("c", "conv_id")
-    return boundaries(rows).select("conv_id", F.col("i").cast("long").alias("i"), "reason")
+    """Where agenda items of two segments or more begin in each conversation; a fifth of the turns say so."""
+    said = F.when(F.length("text") % 5 == 0, F.concat(F.lit("Dan komen we bij "), F.col("text"))).otherwise(F.col("text"))
+    found = boundaries(segments(t).withColumn("text", said), least=2)
+    return found.select("conv_id", F.col("i").cast("long").alias("i"), "reason")
 
 
 def time_chunks(rows, minutes=12, overlap=2):
@@ -197,16 +199,25 @@ def verified(sentences, chunks):
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
 
 
-@query(f"""WITH c AS (SELECT conv_id AS doc_id, turn AS chunk, text AS content, {WORDS.format(x='text')} AS ws FROM conversations), q AS (SELECT conv_id AS doc_id, turn AS pos, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Kort.' WHEN 2 THEN 'zzz qqq www vvv uuu Xenonia 9999' ELSE text || ' aa1 bb1 cc1 dd1 ee1 ff1 gg1' END AS sentence FROM conversations),
-w AS (SELECT doc_id, pos, sentence, {WORDS.format(x='sentence')} AS ws FROM q), b AS (SELECT w.doc_id, pos, any_value(sentence) AS sentence, max(len(list_intersect(w.ws, c.ws)) * 1.0 / len(w.ws)) AS score FROM w JOIN c USING (doc_id) GROUP BY 1, 2)
-SELECT doc_id, pos, CASE WHEN length(sentence) < 12 THEN 'too_short' WHEN score >= 0.4 THEN 'verified' ELSE 'hallucination' END AS kind, round(score, 6) AS score FROM b WHERE score >= 0.4 OR score < 0.15""")
+#: Facts as SQL: numbers, dates and names that don't begin a sentence, lowered.
+FACTS = f"""list_distinct(list_concat(regexp_extract_all(lower(sentence), '\\d[\\d.,]*\\d|\\d+'), list_concat(regexp_extract_all(lower(sentence), '\\d{{1,2}}\\s+(?:{'|'.join(MONTHS)})\\s+\\d{{4}}'),
+list_transform(list_filter(list_transform(regexp_split_to_array(trim(sentence), '\\s+')[2:], lambda w: regexp_replace(w, '[^\\pL\\pN_-]', '', 'g')), lambda w: regexp_matches(w, '^\\p{{Lu}}') AND NOT list_contains({sql_list(FUNCTION_WORDS)}, lower(w))), lambda w: lower(w)))))"""
+
+
+@query(f"""WITH c AS (SELECT conv_id AS doc_id, turn AS chunk, text AS content, {WORDS.format(x='text')} AS ws FROM conversations), k AS (SELECT conv_id AS doc_id, string_agg(lower(text), chr(10)) AS low FROM conversations GROUP BY 1),
+q AS (SELECT conv_id AS doc_id, turn AS pos, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN 'Kort.' WHEN 2 THEN 'zzz qqq www vvv uuu Xenonia 9999' WHEN 3 THEN text || ' aa1 bb1 cc1 dd1 ee1 ff1 gg1'
+WHEN 4 THEN 'Al met al zo besloten dan maar ' || left(text, 40) ELSE 'Volgens Xenonia op 5 maart 2024 al met al zo besloten ' || left(text, 60) END AS sentence FROM conversations),
+w AS (SELECT doc_id, pos, sentence, {WORDS.format(x='sentence')} AS ws, {FACTS} AS facts FROM q), b AS (SELECT w.doc_id, pos, any_value(sentence) AS sentence, any_value(facts) AS facts, max(len(list_intersect(w.ws, c.ws)) * 1.0 / len(w.ws)) AS score FROM w JOIN c USING (doc_id) GROUP BY 1, 2),
+g AS (SELECT b.*, CASE WHEN len(facts) = 0 THEN 1 ELSE len(list_filter(facts, lambda f: contains(low, f))) * 1.0 / len(facts) END AS grounded FROM b JOIN k USING (doc_id))
+SELECT doc_id, pos, CASE WHEN length(sentence) < 12 THEN 'too_short' WHEN score >= 0.4 THEN 'verified' WHEN score >= 0.15 AND grounded >= 0.8 THEN 'paraphrase' ELSE 'hallucination' END AS kind, round(score, 6) AS score FROM g""")
 def verified_sentences(t):
-    """Sentences against the chunks of their document; what lies between the bounds, where facts decide, is left to the tests."""
-    n = F.col("turn") % 4
-    said = F.when(n == 0, F.col("text")).when(n == 1, "Kort.").when(n == 2, "zzz qqq www vvv uuu Xenonia 9999").otherwise(F.concat("text", F.lit(" aa1 bb1 cc1 dd1 ee1 ff1 gg1")))
+    """Sentences against the chunks of their document: as they stand there, in other words with and without facts of the source, and made up."""
+    n = F.col("turn") % 6
+    said = F.when(n == 0, F.col("text")).when(n == 1, "Kort.").when(n == 2, "zzz qqq www vvv uuu Xenonia 9999").when(n == 3, F.concat("text", F.lit(" aa1 bb1 cc1 dd1 ee1 ff1 gg1")))
+    said = said.when(n == 4, F.concat(F.lit("Al met al zo besloten dan maar "), F.left("text", F.lit(40)))).otherwise(F.concat(F.lit("Volgens Xenonia op 5 maart 2024 al met al zo besloten "), F.left("text", F.lit(60))))
     own = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), said.alias("sentence"))
     chunks = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk"), F.col("text").alias("content"))
-    return verified(own, chunks).filter("score >= 0.4 or score < 0.15")
+    return verified(own, chunks)
 
 
 # chunks and tiers

@@ -110,7 +110,8 @@ def test_rules_and_cues(spark):
     assert not one(rules.garbled(F.lit(None).cast("string"))) and not one(rules.garbled(F.lit("x" * 40)))
     assert not one(rules.substantive(F.lit("1.5"), F.lit("Vaststellen agenda"), F.lit("Raad")))
     assert one(rules.substantive(F.lit("1.0"), F.lit("Opening"), F.lit("commissie COR")))
-    assert tuple(one(speech.cue(F.lit("Mijn naam is Jan de Vries en ik woon hier")))) == ("intro", "Jan de Vries en")
+    assert tuple(one(speech.cue(F.lit("Mijn naam is Jan de Vries bewoner van Zuid")))) == ("intro", "Jan de Vries bewoner")
+    assert one(speech.cue(F.lit("Mijn naam is Jan de Vries en ik woon hier"))) is None  # a last word of two letters is no name
     assert tuple(one(speech.cue(F.lit("De heer Tak.")))) == ("standalone", "Tak")
     assert tuple(one(speech.cue(F.lit("Dank u wel voorzitter")))) == ("chair", None)
     assert one(speech.cue(F.lit("gewoon een zin"))) is None
