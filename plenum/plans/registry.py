@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from plenum.plans import budgets, entities, finance, graph, linking, monitoring, predicates, profiles, relational, search, speech, texts, transcripts, values  # noqa: F401
+    from plenum.plans import budgets, entities, finance, fulltext, graph, linking, monitoring, predicates, profiles, relational, search, speech, texts, transcripts, values  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
