@@ -61,7 +61,7 @@ def merge_longest(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFr
     n = new.select(*[F.col(c).alias(f"_new_{c}") if c != key else F.col(c) for c in new.columns])
     both = old.join(n, key, "full_outer")
     length = lambda c: F.length(F.coalesce(c, F.lit("")))
-    pick = lambda c: F.when(length(F.col(f"_new_{c}")) > length(F.col(c)), F.col(f"_new_{c}")).otherwise(F.col(c)) if c == text else F.coalesce(f"_new_{c}", c)
+    pick = lambda c: F.when(length(F.col(f"_new_{c}")) > length(F.col(c)), F.col(f"_new_{c}")).otherwise(F.coalesce(c, f"_new_{c}")) if c == text else F.coalesce(f"_new_{c}", c)
     return both.select(key, *[pick(c).alias(c) for c in old.columns if c != key])
 
 

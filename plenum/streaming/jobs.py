@@ -77,17 +77,38 @@ def cooled(alerts: DataFrame, seconds: int) -> DataFrame:
     return alerts.groupBy("rule").applyInPandasWithState(kept, "event_id long, sent boolean", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def upsert_sink(folder: str, key: str, text: str):
+def upsert_sink(folder: str, key: str, text: str, buckets: int = 64, keep: int = 2):
     """A foreachBatch function that merges each batch into folder, the longest text of a key winning (the least of equally long ones).
 
-    A batch writes the folder's next version under its own number, so a repeated batch writes the same again; versions before the last two go."""
+    The table remembers the last batch of each query: one that is repeated after a failure changes nothing. A query with a new checkpoint is another
+    one, whose batches begin at 0 again; rows that it reads once more say nothing new, and so write nothing. A batch rewrites only the
+    buckets of keys whose rows it changes."""
+
+    def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+        there = old.select(key, F.coalesce(F.length(text), F.lit(0)).alias("_length"), F.struct(*[c for c in new.columns if c not in (key, text)], F.lit(0)).alias("_rest"))
+        rest = F.struct(*[F.coalesce(F.col(c), F.col("_rest").getField(c)).alias(c) for c in new.columns if c not in (key, text)], F.lit(0))
+        longer = F.coalesce(F.length(text), F.lit(0)) > F.col("_length")
+        return new.join(there, key, "left").filter(F.col("_length").isNull() | longer | ~rest.eqNullSafe(F.col("_rest"))).select(new.columns)
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = distinct_on(batch, [key], [F.desc(F.length(text)), F.col(text)])
-        before = [v for v in sinks.versions(spark, folder) if v < number]
-        out = merge_longest(spark.read.parquet(f"{folder}/v{before[-1]}"), newest, key, text) if before else newest
-        out.write.mode("overwrite").parquet(f"{folder}/v{number}")
-        sinks.prune(spark, folder)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        newest = distinct_on(batch.filter(F.col(key).isNotNull()), [key], [F.desc(F.length(text)), F.col(text)])
+        sinks.upsert(newest, folder, key, changed, lambda old, new: merge_longest(old, new, key, text), buckets, (query, number))
+        sinks.prune(batch.sparkSession, folder, keep)
 
     return merge
+
+
+def ingest(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, key: str, text: str, buckets: int = 64):
+    """Incremental ingest: new JSON files of source are merged into the table of folder; files that the checkpoint knows aren't read again.
+
+    The query runs until all files there are in the table, and may be started again at any time."""
+    rows = spark.readStream.schema(schema).json(source)
+    return rows.writeStream.foreachBatch(upsert_sink(folder, key, text, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_fetch(listed: DataFrame, table: DataFrame, key: str, text: str, url: str, least: int = 100) -> DataFrame:
+    """Of the listed documents, those that the table lacks, and those with an address whose stored text is shorter than least."""
+    there = table.select(key, F.coalesce(F.length(text), F.lit(0)).alias("_length"))
+    found = listed.join(there, key, "left")
+    return found.filter(F.col("_length").isNull() | (F.col(url).isNotNull() & (F.col(url) != "") & (F.col("_length") < least))).select(listed.columns)
