@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plenum.functions.text import let
+
 
 def dutch_number(raw: Column) -> Column:
     """Text to double: blanks, €, $ and a last % are dropped; mln, mlj, miljoen, mrd and miljard scale what stands before them;
@@ -26,14 +28,13 @@ def has_number(cell: Column) -> Column:
 
 def euro_amount(raw: Column, multiplier: Column | None = None) -> Column:
     """Text to decimal(18,2), half-even: parentheses, a leading or trailing minus are negative; a hundred billion and more is no amount."""
-    x = F.regexp_replace(raw, r"[€\s\u00a0]", "")
-    negative = x.rlike(r"^\(.*\)$") | x.startswith("-") | x.endswith("-")
-    digits = F.regexp_replace(x, r"[()\-]", "")
-    plain = F.when(digits.contains(","), F.regexp_replace(F.regexp_replace(digits, r"\.", ""), ",", ".")).when(digits.rlike(r"^\d{1,3}(\.\d{3})+$"), F.regexp_replace(digits, r"\.", "")).otherwise(digits)
-    value = F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.try_cast("decimal(30,6)"))
-    scaled = value * (multiplier if multiplier is not None else F.lit(1)).cast("decimal(12,0)")
-    amount = F.bround(F.when(negative, -scaled).otherwise(scaled), 2)
-    return F.when(F.abs(amount) < F.lit("100000000000").cast("decimal(18,2)"), amount).try_cast("decimal(18,2)")
+    factor = (multiplier if multiplier is not None else F.lit(1)).cast("decimal(12,0)")
+    in_full = lambda d: F.when(d.contains(","), F.regexp_replace(F.regexp_replace(d, r"\.", ""), ",", ".")).when(d.rlike(r"^\d{1,3}(\.\d{3})+$"), F.regexp_replace(d, r"\.", "")).otherwise(d)
+    value = lambda p: F.when(p.rlike(r"^\d+(\.\d+)?$"), p.try_cast("decimal(30,6)")) * factor
+    signed = lambda x, v: F.bround(F.when(x.rlike(r"^\(.*\)$") | x.startswith("-") | x.endswith("-"), -v).otherwise(v), 2)
+    bounded = lambda a: F.when(F.abs(a) < F.lit("100000000000").cast("decimal(18,2)"), a).try_cast("decimal(18,2)")
+    digits = lambda x: let(F.regexp_replace(x, r"[()\-]", ""), lambda d: let(in_full(d), value))
+    return let(F.regexp_replace(raw, r"[€\s\u00a0]", ""), lambda x: let(digits(x), lambda v: let(signed(x, v), bounded)))
 
 
 def multiplier(header: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.operators.shared import written
+
 
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as the cluster has cores, where its scan has fewer: for heavy work on each row."""
@@ -70,3 +72,41 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     a, b = old.alias("a"), new.dropDuplicates(keys).alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys])
     return old.unionByName(b.join(a, same, "left_anti"))
+
+
+def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    """left's rows whose key isn't among right's, as NOT IN means it: a null among them leaves nothing, a null key stays only where there are none.
+
+    Keys are made distinct and meet by an anti join of any size; Spark's own null-aware anti join broadcasts all of them."""
+    told = right.agg(F.count("*").alias("_all"), F.count_if(F.col(other).isNull()).alias("_nulls"))  # one row
+    kept = left.join(right.select(F.col(other).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_anti")
+    return kept.join(F.broadcast(told)).filter((F.col("_nulls") == 0) & ((F.col("_all") == 0) | F.col(key).isNotNull())).select(left.columns)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """df with place (from 0, by order) of each row in its group and members, the group's rows, however large a group is.
+
+    Rows are dealt and sorted by ranges of keys and order and numbered within a partition; what earlier partitions hold of a group is added."""
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    runs = rows.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    each = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(each.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = runs.withColumn("_shift", before - F.col("_first")).withColumn("members", F.sum("_n").over(each)).alias("s")
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ["_part", *keys]])
+    placed = rows.alias("r").join(shifts, same).withColumn("place", F.col("_at") + F.col("_shift"))
+    return placed.select(*[F.col(f"r.{c}") for c in df.columns], "place", "members")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each share: exact percentiles, by line between the two nearest values. Null values don't count."""
+    rows = ranked(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, [F.col(value)])
+    at = {name: (F.col("members") - 1) * F.lit(p) for name, p in shares.items()}
+    near = reduce(lambda x, y: x | y, [(F.col("place") == F.floor(x)) | (F.col("place") == F.ceil(x)) for x in at.values()])
+
+    def between(x: Column) -> Column:
+        low, high = F.max(F.when(F.col("place") == F.floor(x), F.col(value))), F.max(F.when(F.col("place") == F.ceil(x), F.col(value)))
+        return low + (high - low) * F.max(x - F.floor(x))
+
+    return rows.filter(near).groupBy(*keys).agg(*[between(x).alias(name) for name, x in at.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions.text import normalised
+from plenum.operators.intervals import as_of
 from plenum.operators.relops import distinct_on, either_join
 from plenum.plans.registry import query
 from plenum.plans.values import sql_list
@@ -44,13 +45,10 @@ l AS (SELECT l_orderkey, l_linenumber, l_shipdate, o_custkey AS person FROM line
 SELECT l.l_orderkey, l.l_linenumber, l.l_shipdate < v.first_van AS before, r.role FROM l JOIN (SELECT person, min(van) AS first_van FROM r GROUP BY 1) v USING (person) LEFT JOIN r ON r.person = l.person AND r.van <= l.l_shipdate AND (r.tot IS NULL OR l.l_shipdate < r.tot)""")
 def role_at_time(t):
     """The role that each person held when a line was shipped: half-open intervals, the last one open."""
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    roles = t.orders.select(F.col("o_custkey").alias("person"), F.col("o_orderdate").alias("van"), F.lead("o_orderdate").over(by).alias("tot"), F.col("o_orderkey").alias("role"))
+    roles = t.orders.select(F.col("o_custkey").alias("person"), F.col("o_orderdate").alias("van"), F.col("o_orderkey").alias("role"))
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_shipdate", F.col("o_custkey").alias("person"))
-    first = roles.groupBy("person").agg(F.min("van").alias("first_van"))
-    inside = (F.col("r.person") == F.col("l.person")) & (F.col("van") <= F.col("l_shipdate")) & (F.col("tot").isNull() | (F.col("l_shipdate") < F.col("tot")))
-    both = lines.join(first, "person").alias("l").join(roles.alias("r"), inside, "left")
-    return both.select("l_orderkey", "l_linenumber", (F.col("l_shipdate") < F.col("first_van")).alias("before"), "role")
+    held = as_of(lines, roles, ["person"], "l_shipdate", "van", ["role"])  # roles follow each other, so the last one begun holds
+    return held.select("l_orderkey", "l_linenumber", F.col("role").isNull().alias("before"), "role")
 
 
 @query("""SELECT o_custkey, CAST(min(o_orderdate) AS DATE)::VARCHAR AS van, CASE WHEN bool_or(o_orderstatus = 'O') THEN NULL ELSE CAST(max(o_orderdate) AS DATE)::VARCHAR END AS tot, count(DISTINCT o_orderstatus) AS roles FROM orders GROUP BY 1""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plenum.operators.relops import distinct_on, either_join, insert_missing, islands, merge_longest, nearest, top_n
+from plenum.operators.intervals import as_of
+from plenum.operators.relops import distinct_on, either_join, insert_missing, islands, merge_longest, nearest, not_in, quantiles
 from plenum.plans.registry import query
 
 money = lambda c: F.col(c).cast("decimal(18,2)")
@@ -20,12 +21,15 @@ SELECT o_orderkey, o_custkey, o_orderdate, n_parts, n_a, n_other, preview FROM (
 def meeting_listing(t):
     """Meetings with filtered distinct counts, those with documents only, a preview of five items, richest of equal ones."""
     flag = F.col("l_returnflag")
-    parts = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(flag == "A").alias("a"), F.bool_or(flag.isNull() | ~flag.isin("A", "R")).alias("other"))
-    counts = parts.groupBy("l_orderkey").agg(F.count("*").alias("n_parts"), F.count_if("a").alias("n_a"), F.count_if("other").alias("n_other"))
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    five = top_n(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey")], 5).join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    preview = five.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "p_name"))), lambda x: x["p_name"]), "; ").alias("preview"))
-    found = t.orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey").join(preview, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    different = lambda test: F.size(F.collect_set(F.when(test, F.col("l_partkey")))).cast("bigint")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), 1, 5)
+    whole = t.lineitem.groupBy("l_orderkey").agg(
+        different(F.lit(True)).alias("n_parts"), different(flag == "A").alias("n_a"), different(flag.isNull() | ~flag.isin("A", "R")).alias("n_other"), first.alias("five"),
+    ).filter("n_parts > 0")
+    named = whole.select("l_orderkey", "n_parts", "n_a", "n_other", F.posexplode_outer("five").alias("i", "x")).join(t.part.select("p_partkey", "p_name"), F.col("x.l_partkey") == F.col("p_partkey"), "left")
+    shown = F.array_sort(F.collect_list(F.when(F.col("p_name").isNotNull(), F.struct("i", "p_name"))))
+    counts = named.groupBy("l_orderkey", "n_parts", "n_a", "n_other").agg(F.nullif(F.array_join(F.transform(shown, lambda x: x["p_name"]), "; "), F.lit("")).alias("preview"))
+    found = t.orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"))
     best = distinct_on(found, ["o_custkey", "o_orderdate"], [F.desc("n_parts"), F.col("o_orderkey")])
     return best.select("o_orderkey", "o_custkey", "o_orderdate", "n_parts", "n_a", "n_other", "preview")
 
@@ -59,9 +63,7 @@ def orders_with_returns(t):
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def not_in_null_aware(t):
     """NOT IN keeps its null semantics: a null in the list leaves nothing."""
-    t.part.createOrReplaceTempView("_na_part")
-    t.lineitem.createOrReplaceTempView("_na_line")
-    return t.part.sparkSession.sql("SELECT p_partkey FROM _na_part WHERE p_partkey NOT IN (SELECT l_partkey FROM _na_line WHERE l_quantity > 45)")
+    return not_in(t.part.select("p_partkey"), "p_partkey", t.lineitem.filter("l_quantity > 45"), "l_partkey")
 
 
 @query("SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey OR c_custkey = s_suppkey")
@@ -95,11 +97,9 @@ def temporal_band_join(t):
 c AS (SELECT e.event_id, s.event_id AS speaker FROM e JOIN s ON s.user_id = e.user_id AND s.van <= e.ts AND (s.tot IS NULL OR e.ts < s.tot)) SELECT e.event_id, c.speaker FROM e LEFT JOIN c USING (event_id)""")
 def interval_containment_join(t):
     """Each event with the view of its user whose interval, up to the next view, holds its time; null before the first."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    views = t.events.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("speaker"), F.col("ts").alias("van"), F.lead("ts").over(w).alias("tot"))
+    views = t.events.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("speaker"), F.col("ts").alias("van"))
     e = t.events.filter("event_type <> 'view'").select("event_id", "user_id", "ts")
-    inside = (F.col("e.user_id") == F.col("v.user_id")) & (F.col("van") <= F.col("ts")) & (F.col("tot").isNull() | (F.col("ts") < F.col("tot")))
-    return e.alias("e").join(views.alias("v"), inside, "left").select("event_id", "speaker")
+    return as_of(e, views, ["user_id"], "ts", "van", ["speaker"]).select("event_id", "speaker")
 
 
 @query("""WITH e AS (SELECT * FROM events WHERE event_type = 'error'), p AS (SELECT event_id AS pid, user_id, ts AS pts FROM events WHERE event_type = 'purchase'),
@@ -129,7 +129,8 @@ def duplicate_groups(t):
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 2) AS p50, round(quantile_cont(o_totalprice, 0.9), 2) AS p90 FROM orders GROUP BY 1")
 def percentiles(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 2).alias("p50"), F.round(F.percentile("o_totalprice", 0.9), 2).alias("p90"))
+    found = quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"p50": 0.5, "p90": 0.9})
+    return found.select("o_orderpriority", F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"))
 
 
 @query("""WITH y AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders), g AS (SELECT o_custkey, y, y - row_number() OVER (PARTITION BY o_custkey ORDER BY y) AS k FROM y),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions.text import jaccard, word_set
-from plenum.operators.relops import distinct_on, spread, top_n
+from plenum.operators.relops import distinct_on, ranked, spread, top_n
 from plenum.plans.registry import query
 
 QUERY_WORDS = ["the", "of", "and"]  # terms of the example question
@@ -207,10 +207,12 @@ def fragment_batch(t):
     return top_n(t.conversations, ["conv_id"], [F.col("turn")], 3).join(n, "conv_id").select("conv_id", "turn", F.substring("text", 1, 300).alias("shown"), "n")
 
 
-@query("""SELECT year(o_orderdate) AS y, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS listed FROM orders GROUP BY 1""")
+@query("""SELECT year(o_orderdate) AS y, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER (PARTITION BY year(o_orderdate)) AS n, o_orderkey, left(o_orderpriority || ' ' || o_custkey, 300) AS shown FROM orders""")
 def timeline_groups(t):
-    row = F.struct("o_orderdate", "o_orderkey")
-    return t.orders.groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["o_orderkey"].cast("string")), ",").alias("listed"))
+    """What happened in each year in order, with the beginning of its text: a row for each, as a year may hold a third of all."""
+    rows = t.orders.select(F.year("o_orderdate").cast("long").alias("y"), "o_orderdate", "o_orderkey", F.left(F.concat_ws(" ", "o_orderpriority", F.col("o_custkey").cast("string")), F.lit(300)).alias("shown"))
+    placed = ranked(rows, ["y"], [F.col("o_orderdate"), F.col("o_orderkey")])
+    return placed.select("y", (F.col("place") + 1).alias("place"), F.col("members").alias("n"), "o_orderkey", "shown")
 
 
 @query("""WITH m AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS bb, o_orderdate FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(bb, -o_orderkey - 1) ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM m)
