@@ -48,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(batches, rows: int = 512):
+    """The same rows in smaller batches: what a task makes of one is in memory all at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def quoted(name: str) -> str:
     """A column's name as Spark reads it, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

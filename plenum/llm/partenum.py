@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import cut
+from plenum.llm.common import cut, small
 
 SHINGLE, PERCENT = 4, 85
 #: Bands grow by this factor. Shapes are (n2, k2): parts of a partition, and how many of them may differ.
@@ -162,7 +162,7 @@ def _bytes(column: pa.ChunkedArray | pa.Array):
 
 
 def _keyed(batches, size):
-    for b in batches:
+    for b in small(batches):
         sets = [shingle_set(t, size) for t in _bytes(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["id", "n", "key"])
 
@@ -189,7 +189,7 @@ def _run(sigs: list, keys: list, bands_: list) -> pa.RecordBatch:
 def _signed(batches, size, percent):
     own = bands(percent)
     sigs, keys, of, total = [], [], [], 0
-    for b in batches:
+    for b in small(batches):
         for t in _bytes(b.column("text")):
             s = shingle_set(t, size)
             key = set_key(s)
@@ -208,7 +208,7 @@ def _described(batches, size, percent):
     """key, set and sketches of texts. Where a key is wanted, another text under the same id, which has another key, is passed over."""
     own = bands(percent)
     kind = pa.list_(pa.struct([("band", pa.int32()), ("sketch", pa.binary())]))
-    for b in batches:
+    for b in small(batches):
         rows = []
         for want, t in zip(b.column("key").to_pylist(), _bytes(b.column("text")), strict=True):
             s = shingle_set(t, size)
@@ -229,7 +229,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _against_hub(batches, percent):
     """Rows sorted by (hub, salt, member): the hub's own row comes first, the others are verified against it."""
     at, hub_set = None, None
-    for b in batches:
+    for b in small(batches):
         links = []
         for hub, salt, member, key, raw in zip(*(b.column(c).to_pylist() for c in ("hub", "salt", "member", "key", "shingles")), strict=True):
             s = np.frombuffer(raw, U)
@@ -242,7 +242,7 @@ def _against_hub(batches, percent):
 
 def _passed(batches, percent):
     """(hub, key) of the rows whose sizes and sketches allow them to be similar."""
-    for b in batches:
+    for b in small(batches):
         out = []
         for hub, key, n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("hub", "key", "n", "m", "sketch", "hub_sketch")), strict=True):
             if min(n, m) * 100 >= percent * max(n, m):

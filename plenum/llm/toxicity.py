@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import cut, held_out
+from plenum.llm.common import cut, held_out, small
 
 #: Bounds of the training sample and of the features that are kept.
 MAX_TRAIN, MAX_FEATURES = 20_000, 4_096
@@ -31,7 +31,8 @@ THRESHOLD, STEPS, RATE, RIDGE, SWAP_WEIGHT = 0.3, 200, 0.1, 1e-4, 1.0
 BEGINNINGS = (3, 4, 5, 6)
 #: Features with a smaller chi-squared statistic are left out.
 LEAST_CHI = 15.0
-CACHE = 100_000
+#: Words whose features a task remembers, and features that it counts before it hands them on.
+CACHE, HELD = 50_000, 100_000
 #: Identity terms by kind; a swap takes the next term of the kind.
 IDENTITY = [
     "women men girls boys frauen männer mujeres hombres femmes hommes".split(),
@@ -66,20 +67,27 @@ def swapped(words: set[str]) -> set[str]:
 def _counted(batches):
     """feature, toxic texts, other texts of a task's sample."""
     by = Counter(), Counter()
-    for b in batches:
+
+    def handed():
+        names = list(by[0].keys() | by[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in (by[1], by[0]))], ["feature", "pos", "neg"])
+        for c in by:
+            c.clear()
+        return out
+
+    for b in small(batches):
         for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = distinct_words(t)
             by[y].update(text_features(words | swapped(words)))
-    names = list(by[0].keys() | by[1].keys())
-    for i in range(0, len(names), 100_000):
-        part = names[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[x] for x in part], pa.int64()) for c in (by[1], by[0]))], ["feature", "pos", "neg"])
+            if len(by[0]) + len(by[1]) > HELD:
+                yield handed()
+    yield handed()
 
 
 def _indexed(batches, index):
     """The kept features of each text, and those of its counterfactual where it has identity terms."""
     at = lambda words: sorted(index[f] for f in text_features(words) if f in index)
-    for b in batches:
+    for b in small(batches, 128):
         words = [distinct_words(t) for t in b.column("text").to_pylist()]
         other = [swapped(w) for w in words]
         kind = pa.list_(pa.int32())
@@ -155,7 +163,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def scored(batches):
         cache: dict = {}
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), _scores(b.column("text"), weights, bias, cache)], ["id", "score"])
 
     ids = docs.schema[id_col].dataType.simpleString()
@@ -169,7 +177,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def kept(batches):
         cache: dict = {}
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.compute.less(_scores(b.column(text_col), weights, bias, cache), THRESHOLD))
 
     return docs.mapInArrow(kept, docs.schema)
