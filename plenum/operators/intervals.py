@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.operators.shared import written
+
 FAR = "9999-12-31"
 
 
@@ -81,3 +83,19 @@ def audited_offices(register: DataFrame, evidence: DataFrame, name: str = "name"
     overlap = twice.groupBy(name, F.col("begin").alias("day")).agg(F.nullif(F.max(F.least(_end("end"), F.col("_before"))), F.lit(FAR).cast("date")).alias("until"), F.count("*").cast("int").alias("days"))
     overlap = overlap.select(name, F.lit("overlap").alias("finding"), "day", "until", "days")
     return missing.unionByName(late).unionByName(silent).unionByName(overlap)
+
+
+def aligned(segments: DataFrame, speakers: DataFrame, keys: list[str], speaker: str, begin: str = "start", end: str = "stop", width: float = 60.0, least: float = 1.0) -> DataFrame:
+    """segments with speaker: the first of speakers whose time holds a segment's begin, else the one of most overlap if that is `least` seconds or more.
+
+    Times are dealt into stretches of `width` seconds; a segment meets the speakers of its own stretches only. Speakers are in order of their begins, then names."""
+    stretch = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b, a) / width))).alias("_at")
+    own = written(segments.withColumn("_id", F.monotonically_increasing_id()))  # both sides of the last join need the same numbers
+    mine = own.select("_id", *keys, F.col(begin).alias("_a"), F.col(end).alias("_b"), stretch(F.col(begin), F.col(end)))
+    theirs = speakers.select(*keys, F.col(begin).alias("_c"), F.col(end).alias("_d"), F.col(speaker).alias("_who"), stretch(F.col(begin), F.col(end)))
+    met = mine.join(theirs, [*keys, "_at"]).select("_id", "_a", "_b", "_c", "_d", "_who").distinct()
+    overlap = F.least("_b", "_d") - F.greatest("_a", "_c")
+    holds = (F.col("_c") <= F.col("_a")) & (F.col("_a") < F.col("_d"))
+    order = F.struct(F.when(holds, 0).otherwise(1).alias("x"), F.when(holds, 0.0).otherwise(-overlap).alias("y"), F.col("_c"), F.col("_who"))
+    best = met.filter(holds | (overlap >= least)).groupBy("_id").agg(F.min_by("_who", order).alias(speaker))
+    return own.join(best, "_id", "left").drop("_id")

@@ -39,11 +39,12 @@ def week_deltas(t):
     return t.events.groupBy("event_type").agg(F.count_if(F.col("ts") > now - day).alias("this_week"), F.count_if((F.col("ts") <= now - day) & (F.col("ts") > now - day - day)).alias("last_week"))
 
 
-WINDOWS = "w AS (SELECT event_id, user_id, ts, {five} AS total, {errors} AS errors, {fifteen} AS recent, {hour} AS hour_, {before} AS before FROM events)".format(
+WINDOWS = "w AS (SELECT event_id, user_id, ts, {five} AS total, {errors} AS errors, {fifteen} AS recent, {hour} AS hour_, {before} AS before, {p95} AS p95 FROM events)".format(
     five="count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 18000 PRECEDING AND CURRENT ROW)",
     errors="count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 18000 PRECEDING AND CURRENT ROW)",
     fifteen="count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 54000 PRECEDING AND 1 PRECEDING)",
     hour="count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 234000 PRECEDING AND 18001 PRECEDING)",
+    p95="round(quantile_cont(value * 50, 0.95) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 18000 PRECEDING AND CURRENT ROW), 4)",
     before="count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 270000 PRECEDING AND 54001 PRECEDING)",
 )
 
@@ -52,20 +53,21 @@ def trailing(events, unit=3600):
     """event_id and what the last 5 and 15 units, and the 60 before each, hold of its user's events. A unit is a minute in production, an hour here."""
     by = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double"))
     n = lambda a, b: F.count("*").over(by.rangeBetween(a, b))
+    p95 = F.round(F.percentile(F.col("value") * 50, 0.95).over(by.rangeBetween(-5 * unit, 0)), 4)
     bad = F.count(F.when(error(), 1)).over(by.rangeBetween(-5 * unit, 0))
-    return events.select("event_id", "user_id", n(-5 * unit, 0).alias("total"), bad.alias("errors"), n(-15 * unit, -1).alias("recent"), n(-65 * unit, -5 * unit - 1).alias("hour_"), n(-75 * unit, -15 * unit - 1).alias("before"))
+    return events.select("event_id", "user_id", n(-5 * unit, 0).alias("total"), bad.alias("errors"), n(-15 * unit, -1).alias("recent"), n(-65 * unit, -5 * unit - 1).alias("hour_"), n(-75 * unit, -15 * unit - 1).alias("before"), p95.alias("p95"))
 
 
-@query(f"WITH {WINDOWS} SELECT event_id, user_id, total, errors, recent, hour_, before FROM w")
+@query(f"WITH {WINDOWS} SELECT event_id, user_id, total, errors, recent, hour_, before, p95 FROM w")
 def trailing_windows(t):
     return trailing(t.events)
 
 
-@query(f"""WITH {WINDOWS} SELECT event_id, CASE WHEN total >= 5 AND errors * 1.0 / total > 0.10 THEN 'error_rate' WHEN hour_ > 0 AND total >= 5 AND total >= 3 * hour_ / 12.0 THEN 'traffic_spike' WHEN recent = 0 AND before >= 10 THEN 'silence' ELSE 'ok' END AS alert FROM w""")
+@query(f"""WITH {WINDOWS} SELECT event_id, CASE WHEN total >= 5 AND errors * 1.0 / total > 0.10 THEN 'error_rate' WHEN p95 > 10000 THEN 'latency' WHEN hour_ > 0 AND total >= 5 AND total >= 3 * hour_ / 12.0 THEN 'traffic_spike' WHEN recent = 0 AND before >= 10 THEN 'silence' ELSE 'ok' END AS alert FROM w""")
 def alert_rules(t):
-    """The first rule that fires as of each event: over 10 % errors of five calls or more, three times the hour's usual traffic, or nothing since ten calls in the hour before."""
+    """The first rule that fires as of each event: over 10 % errors of five calls or more, a p95 of more than ten seconds, three times the hour's usual traffic, or nothing since ten calls in the hour before."""
     total, base = F.col("total"), F.col("hour_") / 12.0
-    rule = F.when((total >= 5) & (F.col("errors") / total > 0.10), "error_rate").when((base > 0) & (total >= 5) & (total >= 3 * base), "traffic_spike").when((F.col("recent") == 0) & (F.col("before") >= 10), "silence").otherwise("ok")
+    rule = F.when((total >= 5) & (F.col("errors") / total > 0.10), "error_rate").when(F.col("p95") > 10_000, "latency").when((base > 0) & (total >= 5) & (total >= 3 * base), "traffic_spike").when((F.col("recent") == 0) & (F.col("before") >= 10), "silence").otherwise("ok")
     return trailing(t.events).select("event_id", rule.alias("alert"))
 
 

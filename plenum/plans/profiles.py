@@ -249,16 +249,35 @@ def verdict_rollup(t):
     return m.select(F.round(long, 6).alias("long"), F.round(named, 6).alias("named"), F.round("size", 6).alias("size"), verdict.alias("verdict"), F.get(F.array(F.lit("green"), F.lit("yellow"), F.lit("red")), worst).alias("status"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS person, o_orderstatus AS role, CAST(o_orderdate AS DATE) AS van, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) + 60 END AS tot FROM orders), x AS (SELECT id, person, role, van, coalesce(tot, DATE '2002-01-01') AS tot FROM r)
-SELECT a.id AS a, b.id AS b, CASE WHEN a.role = b.role THEN 'same_role' ELSE 'cross_role' END AS kind, least(a.tot, b.tot) - greatest(a.van, b.van) AS days FROM x a JOIN x b ON a.person = b.person AND a.id < b.id WHERE least(a.tot, b.tot) - greatest(a.van, b.van) > 1""")
+@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS person, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS role, CAST(o_orderdate AS DATE) AS van, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 50 = 1 THEN -5 ELSE 60 END END AS tot FROM orders),
+x AS (SELECT id, person, role, van, coalesce(tot, DATE '2002-01-01') AS tot FROM r), days AS (SELECT DISTINCT person, role, id, unnest(generate_series(van, tot - 1, INTERVAL 1 DAY))::DATE AS day FROM x WHERE tot > van),
+busy AS (SELECT person, day, count(*) AS n, count(DISTINCT role) AS roles FROM days GROUP BY 1, 2 HAVING count(*) > 1), runs AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY person ORDER BY day) AS INTEGER) AS run FROM busy)
+SELECT person, 'overlap' AS kind, NULL AS role, CAST(min(day) AS VARCHAR) AS van, CAST(max(day) AS VARCHAR) AS tot, CAST(max(n) AS BIGINT) AS n, bool_or(roles > 1) AS mixed FROM runs GROUP BY person, run HAVING count(*) > 1
+UNION ALL SELECT person, 'invalid_dates', role, CAST(van AS VARCHAR), CAST(tot AS VARCHAR), 1, false FROM r WHERE van > tot
+UNION ALL SELECT person, 'duplicate', role, CAST(van AS VARCHAR), NULL, count(*), false FROM r GROUP BY person, role, van HAVING count(*) > 1""")
 def role_overlaps(t):
-    """Roles of one person that overlap by more than a day; an open end is a given day."""
+    """What is inconsistent in the register: stretches of more than a day in which a person holds several roles (how many at once, and whether of several
+    kinds), roles that end before they begin, roles that stand there twice. An open end is a given day. A sweep over begins and ends: roles don't meet in pairs."""
     van = F.to_date("o_orderdate")
-    r = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.col("o_orderstatus").alias("role"), van.alias("van"), F.when(F.col("o_orderstatus") == "P", F.lit("2002-01-01").cast("date")).otherwise(F.date_add(van, 60)).alias("tot"))
-    a, b = r.alias("a"), r.alias("b")
-    days = F.datediff(F.least("a.tot", "b.tot"), F.greatest("a.van", "b.van"))
-    both = a.join(b, (F.col("a.person") == F.col("b.person")) & (F.col("a.id") < F.col("b.id"))).withColumn("days", days.cast("long")).filter("days > 1")
-    return both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.when(F.col("a.role") == F.col("b.role"), "same_role").otherwise("cross_role").alias("kind"), "days")
+    role = F.when(F.col("o_orderkey") % 3 == 0, "F").otherwise(F.col("o_orderstatus"))
+    length = F.when(F.col("o_orderkey") % 50 == 1, -5).otherwise(60)
+    r = t.orders.select(F.col("o_custkey").alias("person"), role.alias("role"), van.alias("van"), F.when(F.col("o_orderstatus") != "P", F.date_add(van, length)).alias("tot"))
+    x = r.withColumn("tot", F.coalesce("tot", F.lit("2002-01-01").cast("date"))).filter("tot > van")
+    steps = x.select("person", "role", F.col("van").alias("day"), F.lit(1).alias("step")).unionByName(x.select("person", "role", F.col("tot").alias("day"), F.lit(-1).alias("step")))
+    own, person = Window.partitionBy("person", "role").orderBy("day"), Window.partitionBy("person").orderBy("day")
+    each = steps.groupBy("person", "role", "day").agg(F.sum("step").alias("step")).withColumn("held", F.sum("step").over(own))
+    kinds = each.withColumn("was", F.coalesce(F.lag("held").over(own), F.lit(0))).withColumn("more", (F.col("held") > 0).cast("int") - (F.col("was") > 0).cast("int"))
+    state = kinds.groupBy("person", "day").agg(F.sum("step").alias("step"), F.sum("more").alias("more"))
+    state = state.select("person", "day", F.sum("step").over(person).alias("n"), F.sum("more").over(person).alias("roles"), F.lead("day").over(person).alias("next")).filter("n > 1 and next > day")
+    fresh = F.when(F.lag("next").over(person) == F.col("day"), 0).otherwise(1)
+    runs = state.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(person))
+    last = F.date_sub(F.max("next"), 1)
+    busy = runs.groupBy("person", "run").agg(F.min("day").alias("van"), last.alias("tot"), F.max("n").alias("n"), F.bool_or(F.col("roles") > 1).alias("mixed")).filter("tot > van")
+    text, none = (lambda c: F.col(c).cast("string").alias(c)), F.lit(None).cast("string")
+    row = lambda df, kind, role, tot, n, mixed: df.select("person", F.lit(kind).alias("kind"), role.alias("role"), text("van"), tot.alias("tot"), n.cast("long").alias("n"), mixed.alias("mixed"))
+    wrong = row(r.filter("van > tot"), "invalid_dates", F.col("role"), text("tot"), F.lit(1), F.lit(False))
+    twice = row(r.groupBy("person", "role", "van").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate", F.col("role"), none, F.col("n"), F.lit(False))
+    return row(busy, "overlap", none, text("tot"), F.col("n"), F.col("mixed")).unionByName(wrong).unionByName(twice)
 
 
 @query("""WITH s AS (SELECT l_orderkey, count(*) AS stored FROM lineitem GROUP BY 1), v AS (SELECT l_orderkey, count(*) AS indexed FROM lineitem WHERE l_quantity > 3 GROUP BY 1), c AS (SELECT o_orderkey, coalesce(stored, 0) AS stored, coalesce(indexed, 0) AS indexed FROM orders LEFT JOIN s ON s.l_orderkey = o_orderkey LEFT JOIN v ON v.l_orderkey = o_orderkey)
@@ -271,12 +290,20 @@ def count_reconciliation(t):
     return rows.select("o_orderkey", "stored", "indexed", F.round(gap, 6).alias("gap"), (gap > 0.05).alias("flagged"))
 
 
-@query("""SELECT o.o_orderkey, o.o_orderpriority IS NOT DISTINCT FROM nullif(o.o_orderpriority, '5-LOW') AS name_same, c.c_custkey IS NOT NULL AS known, coalesce(s.mk, 'geen') AS segment FROM orders o LEFT JOIN customer c ON c_custkey = o_custkey LEFT JOIN (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS mk FROM customer) s ON s.c_custkey = o_custkey""")
+@query("""WITH staged AS (SELECT conv_id AS id, max(turn) AS turns, arg_max(role, turn) AS last_role, md5(string_agg(text, chr(10) ORDER BY turn)) AS hash FROM conversations GROUP BY 1), published AS (SELECT doc_id AS id, n_chars % 8 AS turns, CASE WHEN lang = 'en' THEN NULL WHEN lang = 'de' THEN 'user' ELSE 'assistant' END AS last_role, md5(text) AS hash FROM documents)
+SELECT coalesce(s.id, p.id) AS id, CASE WHEN p.id IS NULL THEN 'unpublished' WHEN s.id IS NULL THEN 'unstaged' WHEN s.turns = p.turns AND s.last_role IS NOT DISTINCT FROM p.last_role THEN 'same' ELSE 'differs' END AS state,
+s.turns IS NOT DISTINCT FROM p.turns AS turns_same, s.last_role IS NOT DISTINCT FROM p.last_role AS role_same, s.hash IS NOT DISTINCT FROM p.hash AS text_same FROM staged s FULL JOIN published p ON s.id = p.id""")
 def metadata_consistency(t):
-    """Fields of a staged row against the published one, nulls being equal."""
-    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("there"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("mk"))
-    same = F.col("o_orderpriority").eqNullSafe(F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")))
-    return t.orders.join(c, "o_custkey", "left").select("o_orderkey", same.alias("name_same"), F.coalesce("there", F.lit(False)).alias("known"), F.coalesce("mk", F.lit("geen")).alias("segment"))
+    """Fields of staged rows (conversations) against published ones (documents) of the same number, nulls being equal; either may lack the other."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))  # the turns of one conversation
+    staged = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("turns"), F.max_by("role", "turn").alias("last_role"), F.md5(F.array_join(F.transform(turns, lambda x: x["text"]), "\n")).alias("hash"), F.lit(1).alias("there"))
+    role = F.when(F.col("lang") == "de", "user").when(F.coalesce(F.col("lang") != "en", F.lit(True)), "assistant")
+    published = t.documents.select(F.col("doc_id").alias("id"), (F.col("n_chars") % 8).alias("turns"), role.alias("last_role"), F.md5("text").alias("hash"), F.lit(1).alias("there"))
+    s, p = staged.alias("s"), published.alias("p")
+    same = lambda c: F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}"))
+    state = F.when(F.col("p.there").isNull(), "unpublished").when(F.col("s.there").isNull(), "unstaged").when(same("turns") & same("last_role"), "same").otherwise("differs")
+    both = s.join(p, F.col("s.id") == F.col("p.id"), "full_outer")
+    return both.select(F.coalesce("s.id", "p.id").alias("id"), state.alias("state"), same("turns").alias("turns_same"), same("last_role").alias("role_same"), same("hash").alias("text_same"))
 
 
 @query("""SELECT o_custkey % 97 AS meeting, count(*) AS points, round(avg(CASE WHEN nullif(o_orderpriority, '5-LOW') IS NULL THEN 1.0 ELSE 0.0 END), 6) AS no_name, round(avg(CASE WHEN o_totalprice < 100000 THEN 1.0 ELSE 0.0 END), 6) AS small FROM orders GROUP BY 1""")

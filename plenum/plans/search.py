@@ -109,12 +109,12 @@ def placed(best, key):
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1).select(F.col(key).alias("id"), "place")
 
 
-@query(f"WITH k AS (SELECT vec_id, label, CASE WHEN vec_id % 50 = 7 THEN NULL ELSE score END AS score FROM ({KNN})), n AS (SELECT *, (SELECT count(*) FROM k WHERE score >= 0.15) AS strong FROM k) SELECT vec_id, label, score FROM n WHERE score IS NULL OR score >= CASE WHEN strong >= 3 THEN 0.15 ELSE 0.10 END")
+@query(f"WITH k AS (SELECT vec_id, label, CASE WHEN vec_id % 50 = 7 THEN NULL ELSE score END AS score FROM ({KNN})), n AS (SELECT *, (SELECT count(*) FROM k WHERE score >= 0.15) AS strong FROM k) SELECT vec_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC NULLS LAST, vec_id) AS rn FROM n WHERE score IS NULL OR score >= CASE WHEN strong >= 3 THEN 0.15 ELSE 0.10 END) WHERE rn = 1")
 def relaxed_quality_floor(t):
-    """A floor of 0.15; where under three rows pass, 0.10. Rows without a score pass."""
+    """A floor of 0.15; where under three rows pass, 0.10. Rows without a score pass. Of a document (a label) the best row stays."""
     score = F.round(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in _vector(t)])), 5)
     rows = t.embeddings.select("vec_id", "label", F.when(F.col("vec_id") % 50 != 7, score).alias("score"))
-    return floored(rows)
+    return distinct_on(floored(rows), ["label"], [F.col("score").desc_nulls_last(), F.col("vec_id")])
 
 
 def floored(rows, floor=0.15, lower=0.10, least=3):
@@ -232,12 +232,12 @@ def demoted_scores(t):
     return t.documents.select("doc_id", "lang", F.round(F.length("text") / 20000.0 - F.when(low, 0.2).otherwise(0.0), 6).alias("score")).orderBy(F.desc("score"), F.desc("doc_id")).limit(40)
 
 
-@query("""WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents), p AS (SELECT *, floor(i * 5.0 / n) AS slot FROM c) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, slot ORDER BY i) rn FROM p) WHERE rn = 1""")
+@query("""WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents), p AS (SELECT *, floor(i * 1.0 * least(n, 100) / n) AS slot FROM c) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, slot ORDER BY i) rn FROM p) WHERE rn = 1""")
 def stride_sample(t):
-    """At most five documents of each source, evenly spaced: a sampling operator."""
-    by = Window.partitionBy("source")
-    c = t.documents.select("doc_id", "source", (F.row_number().over(by.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(by).alias("n")).withColumn("slot", F.floor(F.col("i") * 5.0 / F.col("n")))
-    return distinct_on(c, ["source", "slot"], [F.col("i")]).select("source", "doc_id")
+    """At most 100 documents of each source, evenly spaced: a sampling operator. A source of any size is numbered by ranges."""
+    slot = lambda i: F.floor(i * F.least("members", F.lit(100)) / F.col("members"))
+    c = ranked(t.documents.select("doc_id", "source"), ["source"], [F.col("doc_id")])
+    return c.filter((F.col("place") == 0) | (slot(F.col("place")) != slot(F.col("place") - 1))).select("source", "doc_id")
 
 
 @query("""WITH r AS (SELECT event_id, user_id, event_type IN ('purchase', 'signup') AS yes, value FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY yes DESC, value DESC, event_id) AS rn FROM r) SELECT user_id, event_id FROM k WHERE yes OR rn <= 5""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions import speech
 from plenum.functions.text import FUNCTION_WORDS, MONTHS, word_set
+from plenum.operators.intervals import aligned
 from plenum.operators.relops import distinct_on
 from plenum.plans.registry import query
 from plenum.plans.values import sql_list
@@ -291,3 +292,14 @@ def fragments_per_source(t):
 def first_turns(t):
     first = distinct_on(t.conversations, ["conv_id"], [F.col("turn")]).select("conv_id", F.col("text").alias("opening"))
     return first.join(t.conversations.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id")
+
+
+@query(f"""WITH {SEGMENTS}, spoken AS (SELECT conv_id, role || turn AS speaker, start + 2.5 AS start, stop - CASE WHEN turn % 2 = 0 THEN 6 ELSE 0 END AS stop FROM s WHERE turn % 3 <> 2),
+met AS (SELECT s.conv_id, s.turn, p.speaker, p.start, p.start <= s.start AND s.start < p.stop AS holds, least(s.stop, p.stop) - greatest(s.start, p.start) AS overlap FROM s JOIN spoken p ON p.conv_id = s.conv_id),
+best AS (SELECT conv_id, turn, arg_min(speaker, (CASE WHEN holds THEN 0 ELSE 1 END, CASE WHEN holds THEN 0 ELSE -overlap END, start, speaker)) AS speaker FROM met WHERE holds OR overlap >= 1 GROUP BY 1, 2)
+SELECT s.conv_id, s.turn, b.speaker FROM s LEFT JOIN best b ON b.conv_id = s.conv_id AND b.turn = s.turn""")
+def aligned_speakers(t):
+    """Captions against speakers that a portal has, which begin later and end earlier: who holds a caption's begin, else who overlaps most."""
+    s = segments(t).select("conv_id", "turn", "role", "start", "stop")
+    spoken = s.filter("turn % 3 != 2").select("conv_id", F.concat("role", F.col("turn").cast("string")).alias("speaker"), (F.col("start") + 2.5).alias("start"), (F.col("stop") - F.when(F.col("turn") % 2 == 0, 6).otherwise(0)).alias("stop"))
+    return aligned(s, spoken, ["conv_id"], "speaker").select("conv_id", "turn", "speaker")

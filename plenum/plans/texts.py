@@ -30,10 +30,15 @@ def type_shares(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.count("*") / F.lit(total), 6).alias("share"))
 
 
-@query("""WITH d AS (SELECT lang, length(text) AS n, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS alpha FROM documents) SELECT lang, round(avg(CASE WHEN n < 50 OR alpha < 0.5 * n THEN 1.0 ELSE 0 END), 6) AS rate FROM d GROUP BY 1""")
+@query("""WITH d AS (SELECT doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents), w AS (SELECT doc_id, count(DISTINCT w) AS words FROM (SELECT doc_id, unnest(regexp_extract_all(lower(x), '[\\pL\\pN_]+')) AS w FROM d) WHERE length(w) >= 3 GROUP BY 1),
+n AS (SELECT lang, length(x) AS n, length(regexp_replace(x, '[^\\pL]', '', 'g')) AS alpha, coalesce(words, 0) AS words FROM d LEFT JOIN w USING (doc_id)) SELECT lang, round(avg(CASE WHEN n < 50 OR alpha < 0.5 * n OR words < 8 THEN 1.0 ELSE 0 END), 6) AS rate FROM n GROUP BY 1""")
 def boilerplate_rate(t):
-    n, alpha = F.length("text"), F.length(F.regexp_replace("text", "[^a-zA-Z]", ""))
-    return t.documents.groupBy("lang").agg(F.round(F.avg(F.when((n < 50) | (alpha < 0.5 * n), 1.0).otherwise(0.0)), 6).alias("rate"))
+    """The share of texts that say nothing: short ones, those with few letters, and those of fewer than eight different words of three characters or more."""
+    x = F.regexp_replace("text", r"^\s+|\s+$", "")
+    n, alpha = F.length("x"), F.length(F.regexp_replace("x", r"[^\p{L}]", ""))
+    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower("x"), F.lit(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]{3,}"), F.lit(0))))
+    rows = t.documents.select("lang", x.alias("x")).select("lang", F.when((n < 50) | (alpha < 0.5 * n) | (words < 8), 1.0).otherwise(0.0).alias("empty"))
+    return rows.groupBy("lang").agg(F.round(F.avg("empty"), 6).alias("rate"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, regexp_extract(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+') AS mail FROM documents")
