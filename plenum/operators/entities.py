@@ -29,7 +29,7 @@ def dictionary_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame
     """key, n, at, name of every place where an entry of dictionary (term, name) stands in a text."""
     entries = dictionary.select(F.array_join(word_array(F.col("term")), " ").alias("gram"), "name").filter("gram != ''")
     entries = entries.groupBy("gram").agg(F.min("name").alias("name"))
-    return ngrams(texts.select(key, text), word_array(F.col(text)), longest).join(entries, "gram").select(key, "n", "at", "name")
+    return ngrams(texts.select(key, F.col(text).alias("_text")), word_array(F.col("_text")), longest).join(entries, "gram").select(key, "n", "at", "name")
 
 
 def names_in_order(hits: DataFrame, key: str) -> DataFrame:

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from plenum.plans import audits, budgets, entities, finance, fulltext, graph, linking, monitoring, pages, predicates, profiles, relational, retrieval, search, speech, texts, transcripts, values  # noqa: F401
+    from plenum.plans import audits, budgets, dossiers, entities, finance, fulltext, graph, linking, monitoring, pages, predicates, profiles, relational, retrieval, search, speech, texts, transcripts, values  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
