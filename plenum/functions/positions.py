@@ -47,3 +47,29 @@ def positions(minutes: DataFrame, key: str, text: str) -> DataFrame:
     found.append(F.struct(F.lit("stemming").alias("kind"), F.transform(votes, lambda v: row(F.left(v["t"], F.lit(VOTE_LENGTH)), F.upper(v["d"]))).alias("rows")))
     each = minutes.select(key, F.explode(F.array(*found)).alias("f")).select(key, "f.kind", F.posexplode("f.rows").alias("place", "x"))
     return each.select(key, "kind", (F.col("place") + 1).cast("long").alias("place"), "x.direction", "x.said", area(F.col("x.said")).alias("area"))
+
+
+#: Parties that a position is held against; what shows the kind of evidence and the position, the first that is found.
+PARTY = r"(?i)groenlinks|pvda|partij van de arbeid"
+EVIDENCE = [("wethouder_respons", "wethouder|reactie|antwoord|zegt|stelt"), ("stemgedrag", "stemming|voor|tegen|onthouden|aangenomen|verworpen"), ("begroting", "budget|miljoen|€|begroting|geld")]
+STANCES = [("College kiest voor marktmechanismen in ", "markt"), ("College investeert in ", "investeringen|budget"), ("College benadrukt duurzaamheid in ", "duurzaam|groen"), ("College heeft reserveringen over GL-PvdA voorstellen in ", "tegen|bezwaar")]
+OTHERWISE = "College positie inferred op "
+#: Areas that are looked for, all but the last of AREAS.
+IMPLIED = list(AREAS)[:-1]
+
+
+def context(text: Column, word: str) -> Column:
+    """From 50 characters before the first word that begins with word to 150 after it; where that is 20 characters or less, the text's first 200."""
+    found = F.regexp_extract(text, rf"(?is)(.{{0,50}}?\b{word}\w{{0,50}}.{{0,150}})", 1)
+    return F.when(F.length(found) > 20, found).otherwise(F.left(text, F.lit(200)))
+
+
+def implied(minutes: DataFrame, key: str, text: str) -> DataFrame:
+    """key, area, evidence, position, context, strength: what the executive's position on an area may be, for each area that a text with the parties names."""
+    whole, low = F.col(text), F.lower(F.col(text))
+    first = lambda table, other: F.coalesce(*[F.when(low.rlike(words), name) for name, words in table], F.lit(other))
+    each = F.array_compact(F.array(*[F.when(low.contains(a), F.struct(F.lit(a).alias("area"), context(whole, a).alias("context"))) for a in IMPLIED]))
+    rows = minutes.filter(whole.rlike(PARTY)).select(key, first(EVIDENCE, "uitspraak").alias("evidence"), first(STANCES, OTHERWISE).alias("stance"), F.explode(each).alias("x"))
+    n = F.length("x.context")
+    strength = F.when(n > 200, "STERK").when(n > 100, "MATIG").otherwise("ZWAK")
+    return rows.select(key, F.initcap("x.area").alias("area"), "evidence", F.concat("stance", "x.area").alias("position"), F.left("x.context", F.lit(150)).alias("context"), strength.alias("strength"))

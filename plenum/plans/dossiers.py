@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plenum.functions.positions import AREAS, SPANS, VOTES, positions
+from plenum.functions.positions import AREAS, EVIDENCE, IMPLIED, OTHERWISE, PARTY, SPANS, STANCES, VOTES, implied, positions
 from plenum.functions.text import motion_number, section_topic, title_outcome, vote_counts, vote_outcome
 from plenum.operators.entities import dictionary_hits, names_in_order
 from plenum.operators.relops import spread, top_n
@@ -68,6 +68,17 @@ def proposals_by_area(t):
     return p.join(n, "area").select("k", "soort", "area", who.alias("submitter"), same.alias("same_area"), F.when(same > 0, 0.5).otherwise(0.0).alias("alignment"))
 
 
+FIRST = lambda table, other: "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{rx}') THEN '{name}'" for name, rx in table) + f" ELSE '{other}' END"
+
+
+@query(f"""WITH {MINUTES}, a AS (SELECT unnest({sql_list(IMPLIED)}) AS area), f AS (SELECT k, text, area, regexp_extract(text, '(?is)(.{{0,50}}?\\b' || area || '\\w{{0,50}}.{{0,150}})', 1) AS c FROM m, a WHERE contains(lower(text), area) AND regexp_matches(text, '{PARTY}')),
+s AS (SELECT *, CASE WHEN length(c) > 20 THEN c ELSE left(text, 200) END AS snippet FROM f)
+SELECT k, upper(left(area, 1)) || substr(area, 2) AS area, {FIRST(EVIDENCE, 'uitspraak')} AS evidence, {FIRST(STANCES, OTHERWISE)} || area AS position, left(snippet, 150) AS context, CASE WHEN length(snippet) > 200 THEN 'STERK' WHEN length(snippet) > 100 THEN 'MATIG' ELSE 'ZWAK' END AS strength FROM s""")
+def implied_positions(t):
+    """Positions of the executive that minutes imply, for each area that they name together with the parties."""
+    return implied(spread(minutes(t)), "k", "text")
+
+
 #: A chunk is an order; its document's name and text say what the order's columns do.
 CHUNKS = """c AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Motie over ' || p_type || ' ' || p_brand WHEN 1 THEN 'Notulen raad ' || p_type ELSE 'Brief ' || p_brand END AS name, o_orderkey % 3 AS v, o_orderstatus AS s, o_custkey AS a, p_size AS b, p_type, p_brand, o_orderkey % 4 AS w
 FROM orders LEFT JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part))"""
