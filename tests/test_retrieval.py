@@ -172,3 +172,31 @@ def test_summaries_of_communities(spark):
     for c in {r.community for r in got}:
         want = sorted((n for n in labels if labels[n] == c and inside[n]), key=lambda n: (-inside[n], n))[:20]
         assert [r.node for r in sorted(got, key=lambda r: r["rank"]) if r.community == c] == want
+
+
+@pytest.mark.parametrize("sizes", [(4096, 512), (7, 3)])
+def test_nearest_of_many_questions(spark, monkeypatch, sizes):
+    """Blocks of any size give what every pair gives; ties go by ids, floors and nulls hold."""
+    from plenum.operators import vectors
+
+    monkeypatch.setattr(vectors, "VECTORS", sizes[0])
+    monkeypatch.setattr(vectors, "QUESTIONS", sizes[1])
+    pick = random.Random(8)
+    own = [(i, [pick.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(60)] + [(None, [1.0] * 4), (99, None)]
+    asked = [(f"q{j}", [pick.choice([-1.0, 0.0, 0.5]) for _ in range(4)]) for j in range(20)] + [("none", None)]
+    got = defaultdict(list)
+    rows = vectors.nearest_batched(spark.createDataFrame(own, "id long, v array<float>"), "id", "v", spark.createDataFrame(asked, "q string, vector array<float>"), 5, 0.5)
+    for r in rows.orderBy("q", "rank").collect():
+        got[r.q].append((r.id, r.score))
+    for q, y in asked:
+        scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, x in own if x and y and i is not None)
+        assert got[q] == [(i, -s) for s, i in scores if -s >= 0.5][:5]
+
+
+def test_fusion_by_question(spark):
+    from plenum.operators.vectors import fused
+
+    one = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1)], "q long, id long, rank int")
+    two = spark.createDataFrame([(1, 12, 1), (1, 11, 2), (2, 9, 1)], "q long, id long, rank int")
+    got = [(r.q, r.id, r["rank"]) for r in fused([one, two], "id").orderBy("q", "rank").collect()]
+    assert got == [(1, 11, 1), (1, 10, 2), (1, 12, 3), (2, 10, 1), (2, 9, 2)]
