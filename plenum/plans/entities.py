@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenum.operators.relops import distinct_on, spread
+from plenum.operators.shared import written
 from plenum.plans.registry import query
 
 #: Least lengths of compounds and their parts, and what may stand between two parts, in order.
@@ -72,7 +73,7 @@ def communities(t):
     """Label propagation: in each of a few rounds, a node takes the label that most of its neighbours have, the least one on ties."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     e = t.lineitem.select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b")).distinct()
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     for _ in range(ROUNDS):
         votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.count("*").alias("c"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plenum.functions.text import normalised
 from plenum.operators.intervals import as_of
 from plenum.operators.relops import distinct_on, either_join
+from plenum.operators.shared import written
 from plenum.plans.registry import query
 from plenum.plans.values import sql_list
 
@@ -145,6 +146,7 @@ def parents(items, group, pos, number, name):
     """Each item without a number with its parent: the numbered item that shares most keywords (a single one only up to three places
     away; the nearest on ties, then the first); else the last numbered item before it; else none. Items of a group only meet each other by a word they share."""
     rows = items.select(F.col(group).alias("g"), F.col(pos).alias("pos"), F.coalesce(F.length(F.trim(number)) > 0, F.lit(False)).alias("lead"), keywords(name).alias("ws"))
+    rows = written(rows)  # read three times below
     words = rows.select("g", "pos", "lead", F.explode("ws").alias("w"))
     sub, lead = words.filter("not lead").select("g", "pos", "w"), words.filter("lead").select("g", F.col("pos").alias("parent"), "w")
     score = sub.join(lead, ["g", "w"]).groupBy("g", "pos", "parent").agg(F.count("*").alias("score")).withColumn("far", F.abs(F.col("pos") - F.col("parent")))
@@ -180,7 +182,7 @@ r AS (SELECT k.g, k.pos, CAST(k.pos AS VARCHAR) || coalesce('[' || subs || ']',
 SELECT o_orderkey, o_orderpriority, coalesce(string_agg(node, ' ' ORDER BY pos), '') AS tree, count(node) AS roots FROM orders LEFT JOIN r ON g = o_orderkey GROUP BY 1, 2""")
 def meeting_tree(t):
     """Each meeting with its agenda as a tree: lead items with their sub items, and sub items without a lead."""
-    items = agenda(t)
+    items = written(agenda(t))
     subs = parents(items, "g", "pos", F.col("number"), F.col("name"))
     under = subs.filter("parent is not null").groupBy("g", F.col("parent").alias("pos")).agg(F.array_sort(F.collect_list("pos")).alias("subs"))
     roots = items.filter("number is not null").select("g", "pos").unionByName(subs.filter("parent is null").select("g", "pos"))
@@ -194,7 +196,7 @@ SELECT e.g, e.item, count(*) AS docs, count(DISTINCT i.pk) AS parts FROM e JOIN
 def item_documents(t):
     """A lead item's own documents and those of its sub items."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    items = agenda(t)
+    items = written(agenda(t))
     subs = parents(items, "g", "pos", F.col("number"), F.col("name")).filter("parent is not null")
     own = items.filter("number is not null").select("g", F.col("pos").alias("item"), "pos").unionByName(subs.select("g", F.col("parent").alias("item"), "pos"))
     docs = t.lineitem.join(t.part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("g"), F.row_number().over(order).alias("pos"), "l_partkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions.text import jaccard, word_set
 from plenum.operators.relops import distinct_on, ranked, spread, top_n
+from plenum.operators.shared import written
 from plenum.plans.registry import query
 
 QUERY_WORDS = ["the", "of", "and"]  # terms of the example question
@@ -59,7 +60,7 @@ def postings(docs, terms):
 
 def bm25(docs, terms, k1=1.2, b=0.75):
     """doc_id, score of the terms. Only the terms' postings leave a document, so nothing else is shuffled."""
-    rows = postings(docs, terms).persist()
+    rows = written(postings(docs, terms))
     total = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
     posts = rows.select("doc_id", "n", F.explode("hit").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
     df = {r.term: r.df for r in posts.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
