@@ -206,20 +206,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     pieces = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda bs: _cut_texts(bs, vocabulary, ranks), schema))
     salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     last = pieces.filter("sequence_id is null").withColumn("salt", F.pmod(F.xxhash64("id", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = last.groupBy("length", "salt").count().collect()  # 1023 lengths * salts rows at most
-    histogram: dict[int, int] = {}
-    before = []
-    for r in sorted(counts):
-        before.append((r.length, r.salt, histogram.get(r.length, 0)))
-        histogram[r.length] = histogram.get(r.length, 0) + r["count"]
+    counts = cut(last.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()}  # 1023 rows at most
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     by_length: dict[int, list] = {}
     for length, lo, _, each, sequence, place in places(plan(histogram)):
         by_length.setdefault(length, []).append((lo, each, sequence, place))
-    before_df = spark.createDataFrame(before, "length long, salt int, before long")
     # a row for each length, with its places in order of their first ranks
     where_df = spark.createDataFrame([(k, sorted(v)) for k, v in by_length.items()], "length long, places array<struct<lo:long,each:long,sequence:long,place:long>>")
     order = Window.partitionBy("length", "salt").orderBy("id", "ids_crc32", "start")
-    ranked = last.join(F.broadcast(before_df), ["length", "salt"]).withColumn("rank", F.row_number().over(order) - 1 + F.col("before"))
+    ranked = last.join(before, ["length", "salt"]).withColumn("rank", F.row_number().over(order) - 1 + F.col("before"))
     found = F.element_at(F.filter("places", lambda p: p["lo"] <= F.col("rank")), -1)
     put = ranked.join(F.broadcast(where_df), "length").withColumn("p", found).withColumn("at", F.col("rank") - F.col("p.lo"))
     put = put.withColumn("sequence_id", F.col("p.sequence") + F.floor(F.col("at") / F.col("p.each"))).withColumn("offset", F.col("p.place") + F.pmod("at", "p.each") * F.col("length"))
