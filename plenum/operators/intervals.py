@@ -58,6 +58,18 @@ def as_of(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, begin: st
     return carried.filter("_side = 1").select("_row.*", *[F.col("_span").getField(c).alias(c) for c in columns])
 
 
+def holding(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, name: str, begin: str = "begin", end: str = "end") -> DataFrame:
+    """rows with name: of the spans of their key that hold their day, the one that begins first (the least name on ties); null where none does.
+
+    A span is passed over where one before it ends no earlier. What is left ends in the order in which it begins, so the first that ends on a day or later is
+    found by one order of days, and holds it if it has begun: no row meets all spans of its key."""
+    order = Window.partitionBy(*keys).orderBy(begin, name).rowsBetween(Window.unboundedPreceding, -1)
+    told = spans.filter(F.col(begin).isNotNull()).withColumn("_until", _end(end)).withColumn("_before", F.max("_until").over(order))
+    left = told.filter(F.col("_before").isNull() | (F.col("_until") > F.col("_before"))).select(*keys, (-F.unix_date("_until")).alias("_turned"), F.col(begin).alias("_from"), name)
+    found = as_of(rows.withColumn("_turned", -F.unix_date(at)), left, keys, "_turned", "_turned", ["_from", name])
+    return found.withColumn(name, F.when(F.col("_from") <= F.col(at), F.col(name))).drop("_turned", "_from")
+
+
 #: Days by which a letter of appointment and the register's begin may differ.
 NEAR_DAYS = 30
 

@@ -181,15 +181,20 @@ def site_search(t):
     return names.unionByName(texts).groupBy("doc_id").agg(F.max("rank").alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders), r AS (SELECT a.id, b.id AS other, 0 AS relation FROM a JOIN a b ON a.c = b.c AND a.d = b.d AND a.id <> b.id UNION ALL SELECT a.id, b.id, 1 FROM a JOIN a b ON a.c = b.c AND year(a.d) = year(b.d) AND a.id <> b.id)
+@query("""WITH a AS (SELECT o_orderkey AS id, o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders), r AS (SELECT a.id, b.id AS other, 0 AS relation FROM a JOIN a b ON a.c = b.c AND a.d = b.d AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.id) <= 10
+UNION ALL SELECT a.id, b.id, 1 FROM a JOIN a b ON a.c = b.c AND year(a.d) = year(b.d) AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.id) <= 10)
 SELECT id, other, min(relation) AS relation FROM r GROUP BY 1, 2""")
 def related_documents(t):
-    """Documents of the same meeting, then of the same subject and year: the first relation wins."""
+    """Ten documents of the same meeting, and ten of the same subject and year: the first relation wins. The first eleven of a group are enough for all its
+    documents, so they don't meet in pairs."""
     d = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("d"), F.year("o_orderdate").alias("y"))
-    other = d.select(F.col("id").alias("other"), "c", "d", "y")
-    same = d.join(other.drop("y"), ["c", "d"]).select("id", "other", F.lit(0).alias("relation"))
-    near = d.join(other.drop("d"), ["c", "y"]).select("id", "other", F.lit(1).alias("relation"))
-    return same.unionByName(near).filter("id != other").groupBy("id", "other").agg(F.min("relation").alias("relation"))
+
+    def relatives(keys, relation):
+        first = top_n(d.select(*keys, F.col("id").alias("other")), keys, [F.col("other")], 11).groupBy(*keys).agg(F.array_sort(F.collect_list("other")).alias("first"))
+        others = F.slice(F.filter("first", lambda x: x != F.col("id")), 1, 10)
+        return d.join(first, keys).select("id", F.explode(others).alias("other"), F.lit(relation).alias("relation"))
+
+    return relatives(["c", "d"], 0).unionByName(relatives(["c", "y"], 1)).groupBy("id", "other").agg(F.min("relation").alias("relation"))
 
 
 @query("""WITH f AS (SELECT o_orderkey, year(o_orderdate) AS y, round(o_totalprice / 600000, 6) AS score FROM orders WHERE o_orderpriority <> '5-LOW' AND o_totalprice / 600000 >= 0.5), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY score DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY y) AS n FROM f)
@@ -216,14 +221,13 @@ def timeline_groups(t):
     return placed.select("y", (F.col("place") + 1).alias("place"), F.col("members").alias("n"), "o_orderkey", "shown")
 
 
-@query("""WITH m AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS bb, o_orderdate FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(bb, -o_orderkey - 1) ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM m)
-SELECT a.o_orderkey, a.bb, coalesce((SELECT string_agg(CAST(b.o_orderkey AS VARCHAR), ',' ORDER BY b.rn) FROM r b WHERE b.bb = a.bb AND b.rn > 1), '') AS older FROM r a WHERE rn = 1""")
+@query("""WITH m AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS bb, o_orderdate FROM orders)
+SELECT o_orderkey, bb, row_number() OVER w AS place, first_value(o_orderkey) OVER w AS newest FROM m WINDOW w AS (PARTITION BY coalesce(bb, -o_orderkey - 1) ORDER BY o_orderdate DESC, o_orderkey)""")
 def number_fold(t):
-    """The newest of each reference number, the older ones beside it; those without a number stay apart."""
+    """Every document with the newest one of its reference number and its place behind it; those without a number stay apart."""
     m = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("bb"), "o_orderdate")
-    r = m.withColumn("k", F.coalesce("bb", -F.col("o_orderkey") - 1)).withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("o_orderdate"), "o_orderkey")))
-    older = r.filter("rn > 1").groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",").alias("older"))
-    return r.filter("rn = 1").join(older, "k", "left").select("o_orderkey", "bb", F.coalesce("older", F.lit("")).alias("older"))
+    w = Window.partitionBy(F.coalesce("bb", -F.col("o_orderkey") - 1)).orderBy(F.desc("o_orderdate"), "o_orderkey")
+    return m.select("o_orderkey", "bb", F.row_number().over(w).alias("place"), F.first("o_orderkey").over(w).alias("newest"))
 
 
 @query("""WITH s AS (SELECT doc_id, lang, round(length(text) / 20000.0 - CASE WHEN length(text) < 200 OR text LIKE '%dank%' THEN 0.2 ELSE 0 END, 6) AS score FROM documents) SELECT doc_id, lang, score FROM s ORDER BY score DESC, doc_id DESC LIMIT 40""")

@@ -106,6 +106,17 @@ def test_as_of(spark):
         assert got[k] == max(((b, r) for m, b, r in spans if m == n and b <= at), default=(0, None))[1]
 
 
+def test_the_first_span_that_holds_a_day(spark):
+    pick = random.Random(21)
+    spans = [(pick.choice("ab"), f"s{i:02}", day(b := pick.randint(0, 40)), None if pick.random() < 0.1 else day(b + pick.randint(-2, 15))) for i in range(40)] + [("a", "none", None, day(3))]
+    rows = [(i, pick.choice("abc"), day(pick.randint(-3, 60))) for i in range(150)] + [(999, "a", None)]
+    frame = spark.createDataFrame(spans, "k string, who string, begin date, end date")
+    got = {r.id: r.who for r in intervals.holding(spark.createDataFrame(rows, "id long, k string, day date"), frame, ["k"], "day", "who").collect()}
+    for i, k, d in rows:
+        fits = sorted((b, w) for s, w, b, e in spans if d and s == k and b and b <= d and (e is None or d <= e))
+        assert got[i] == (fits[0][1] if fits else None)
+
+
 def test_submitters(spark):
     """Texts with and without phrases and blocks, names in every place."""
     pick = random.Random(2)
