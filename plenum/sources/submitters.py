@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,16 +17,14 @@ BLOCK, LINE = 500, 60
 PARTY = re.compile(r"\s*\([^)]*\)\s*$")
 
 
+def is_name(line: str) -> bool:
+    return len(line) < LINE and "A" <= line[0] <= "Z"
+
+
 def signed(text: str) -> list[str]:
     """The lines at a text's end that look like names, from the last one up to the first line that doesn't; empty lines don't count."""
-    out = []
-    for line in reversed(text[-BLOCK:].strip().split("\n")):
-        line = line.strip()
-        if line and not (len(line) < LINE and "A" <= line[0] <= "Z"):
-            break
-        if name := PARTY.sub("", line).strip():
-            out.append(name)
-    return out
+    upwards = filter(None, map(str.strip, reversed(text[-BLOCK:].split("\n"))))
+    return [name for name in (PARTY.sub("", line).strip() for line in takewhile(is_name, upwards)) if name]
 
 
 def raw_names(texts: DataFrame, key: str, text: str) -> DataFrame:

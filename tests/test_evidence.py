@@ -131,25 +131,21 @@ def test_submitters(spark):
 
     known = {"jansen": "Jan P. Jansen", "smit": "Sara Smit", "p. de vries": "Piet de Vries"}
 
+    party = re.compile(r" *\([^)]*\)$")
+
+    def named(part):
+        plain = party.sub("", re.sub(r"(?i)^(de heer|mevrouw|wethouder|raadslid|burgemeester) +", "", part)).strip()
+        words = plain.lower().split()
+        return known.get(" ".join(words)) or (known.get(words[-1]) if len(words) > 1 else None) or plain or part
+
     def brute(text):
-        text, raw = text or "", []
-        for m in re.finditer(r"(?i)(?:ingediend|ondertekend|mede.?ondertekend)\s+door[:\s]+(.+?)(?:\.\s|\n|$)", text):
-            raw.append(m.group(1))
-        for line in reversed(text[-500:].strip().split("\n")):
-            line = line.strip()
-            if not line:
-                continue
-            if len(line) >= 60 or not re.match("[A-Z]", line):
-                break
-            raw.append(re.sub(r"\s*\([^)]*\)\s*$", "", line).strip())
-        out = {}
-        for part in (p.strip().rstrip(".") for x in raw for p in re.sub(r"\s+en\s+", ", ", x).split(",")):
-            if len(part) > 1:
-                plain = re.sub(r"\s*\([^)]*\)\s*$", "", re.sub(r"(?i)^(de heer|mevrouw|wethouder|raadslid|burgemeester)\s+", "", part).strip()).strip()
-                name = known.get(plain.lower()) or (known.get(plain.lower().split()[-1]) if len(plain.split()) > 1 else None) or plain or part
-                if len(name) > 1:
-                    out.setdefault(name.lower(), name)
-        return list(out.values())
+        lines = [x.strip() for x in (text or "")[-500:].splitlines() if x.strip()]
+        short = [len(x) < 60 and x[0].isascii() and x[0].isupper() for x in lines]
+        block = lines[len(lines) - next((i for i, ok in enumerate(short[::-1]) if not ok), len(lines)) :][::-1]
+        raw = re.findall(r"(?i)(?:in|onder)(?:gediend|tekend) door[: ]+(.+?)(?:\. |\n|$)", text or "") + [party.sub("", x) for x in block]
+        parts = [p.strip().rstrip(".") for x in raw for p in re.split(r",| en ", x)]
+        found = [named(p) for p in parts if len(p) > 1]
+        return [n for i, n in enumerate(found) if len(n) > 1 and n.lower() not in {m.lower() for m in found[:i]}]
 
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     registry_ = spark.createDataFrame(list(known.items()), "term string, name string")
