@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.text import dutch_date, let, seconds
+from plenum.operators.shared import written
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ class _Outline(HTMLParser):
         self.rows, self.open = [], []
 
     def _put(self, tag: str, text: str | None, attributes: dict) -> int:
-        self.rows.append((len(self.rows), tag, [at for at, _ in self.open], attributes.get("href"), attributes.get("class"), text))
+        self.rows.append((len(self.rows), tag, [at for at, _ in self.open], [t for _, t in self.open], attributes.get("href"), attributes.get("class"), text))
         return len(self.rows) - 1
 
     def handle_starttag(self, tag, attrs):
@@ -65,10 +66,10 @@ class _Outline(HTMLParser):
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, at, tag, within, href, class, text: elements and texts (tag '#text') of each page in order; within has the places of all elements around one,
-    from the outermost on. Null pages have none; pages are read whole."""
-    kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string())
-    names = ["at", "tag", "within", "href", "class", "text"]
+    """key, at, tag, within, inside, href, class, text: elements and texts (tag '#text') of each page in order; within has the places of all elements around
+    one, from the outermost on, inside their tags. Null pages have none; pages are read whole."""
+    kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.string(), pa.string())
+    names = ["at", "tag", "within", "inside", "href", "class", "text"]
 
     def read(batches):
         for b in batches:
@@ -82,7 +83,7 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
                     yield pa.RecordBatch.from_arrays([own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [key, *names])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(read, f"`{key}` {kind}, at int, tag string, within array<int>, href string, class string, text string")
+    return pages.select(key, html).mapInArrow(read, f"`{key}` {kind}, at int, tag string, within array<int>, inside array<string>, href string, class string, text string")
 
 
 #: What a card of the calendar is known by, and how days and times are written on it.
@@ -95,16 +96,15 @@ def calendar(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 
     Its card is the nearest article or div around the link, else the link; the card's texts are read up to the first time. The first one is the committee, the
     first in parentheses the location, the last with a weekday the day, the first other one of 4 to 119 characters without an @ the subtitle."""
-    rows = nodes(pages, key, html)
-    links = rows.filter((F.col("tag") == "a") & F.col("href").contains(AGENDA)).withColumn("meeting", F.element_at(F.split("href", "/"), -1)).filter("meeting != ''")
-    first = links.groupBy(key, "meeting").agg(F.min_by(F.struct("at", "within"), "at").alias("link"))
-    around = first.select(key, "meeting", F.col("link.at").alias("own"), F.posexplode_outer("link.within").alias("depth", "card"))
-    boxes = rows.filter(F.col("tag").isin(*CARDS)).select(key, F.col("at").alias("card"), F.lit(1).alias("box"))
-    cards = around.join(boxes, [key, "card"], "left").groupBy(key, "meeting").agg(F.coalesce(F.max(F.when(F.col("box") == 1, F.col("card"))), F.max("own")).alias("card"))
-    texts = rows.filter("tag = '#text'").select(key, F.explode("within").alias("card"), "at", "text")
+    around = lambda *tags: F.filter("within", lambda x, i: F.get("inside", i).isin(*tags))
+    meeting = F.when((F.col("tag") == "a") & F.col("href").contains(AGENDA), F.nullif(F.element_at(F.split("href", "/"), -1), F.lit("")))
+    rows = nodes(pages, key, html).select(key, "at", "text", meeting.alias("meeting"), F.when(F.col("tag") == "#text", around("a", *CARDS)).alias("cards"), F.coalesce(F.try_element_at(around(*CARDS), F.lit(-1)), "at").alias("card"))
+    rows = written(rows.filter("meeting is not null or text is not null"))  # read twice below; a page is parsed once
+    cards = rows.filter("meeting is not null").groupBy(key, "meeting").agg(F.min_by("card", "at").alias("card"))
     part = F.explode(F.split("text", r"\|")).alias("part")
-    said = cards.join(texts, [key, "card"]).select(key, "meeting", "at", part).withColumn("part", F.trim("part")).filter("part != ''")
-    each = said.groupBy(key, "meeting").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))  # the texts of one card
+    said = rows.filter("text is not null").select(key, F.explode("cards").alias("card"), "at", "text").select(key, "card", "at", part).withColumn("part", F.trim("part")).filter("part != ''")
+    said = said.groupBy(key, "card").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))  # the texts of one card
+    each = cards.join(said.hint("merge"), [key, "card"]).select(key, "meeting", "p")  # neither side is ever broadcast
     parts = F.transform("p", lambda x: x["part"])
     is_day, is_time = (lambda x: x.rlike(DAY)), (lambda x: x.rlike(TIME) & ~x.rlike(DAY))
     is_place = lambda x: x.startswith("(") & x.endswith(")")
