@@ -17,3 +17,28 @@ def of(spark, name):
 def test_calendar_pages_are_parsed_once(spark):
     text = of(spark, "calendar_meetings")
     assert "MapInArrow" not in text and "BroadcastHashJoin" not in text
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_search_by_blocks(spark, monkeypatch, kept):
+    """Blocks of a few rows give what every pair would; filters are held before the best are taken."""
+    monkeypatch.setattr(fulltext, "QUESTIONS", 3)
+    monkeypatch.setattr(fulltext, "DOCUMENTS", 4)
+    pick, day = random.Random(3), lambda n: datetime.date(2000, 1, 1) + datetime.timedelta(n)
+    words = "boom kat vis lamp raam deur".split()
+    docs = [(i, " ".join(pick.choices(words, k=pick.randint(0, 5))), pick.choice(["a", "b", None]), pick.choice([None, day(pick.randint(0, 9))])) for i in range(40)]
+    asked = [(i, " ".join(pick.choices(words, k=2)), pick.choice(["a", None]), pick.choice([None, day(3)]), pick.choice([None, day(6)])) for i in range(20)]
+    d = spark.createDataFrame(docs, "id long, text string, source string, day date")
+    a = spark.createDataFrame(asked, "q long, text string, party string, van date, tot date").withColumn("terms", fulltext.question_terms("text")).drop("text")
+    index = fulltext.inverted(d, "id", ["text"], keep=["source", "day"])
+    how = {"same": ("party", "source"), "within": ("day", "van", "tot")} if kept else {}
+    got = {(r.q, r["rank"]): (r.id, r.score) for r in fulltext.search(a, index, d, "id", k=3, **how).collect()}
+    every = {}
+    for r in fulltext.search(a, index, d, "id", k=1000).collect():
+        every.setdefault(r.q, []).append((-r.score, r.id))
+    want = {}
+    for q, _, party, van, tot in asked:
+        ok = lambda i: (party is None or docs[i][2] == party) and (van is None or (docs[i][3] and docs[i][3] >= van)) and (tot is None or (docs[i][3] and docs[i][3] <= tot))  # noqa: E731, B023
+        for place, (s, i) in enumerate([x for x in sorted(every.get(q, [])) if not kept or ok(x[1])][:3], 1):
+            want[q, place] = (i, -s)
+    assert got == want and len(got) > 20
