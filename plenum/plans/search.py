@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -316,23 +317,38 @@ def neighbour_similarity(t):
 def mmr(rows, k: int, weight: float = 0.6):
     """Greedy choice of each document's sentences: relevance against likeness to those chosen. At most 50 candidates a document."""
     best = top_n(rows, ["doc_id"], [F.desc("score"), F.col("pos")], 50, "place")
+    each = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "pos", "score", "words"))).alias("x"))
+    each = each.select("doc_id", *[F.col("x").getField(c).alias(c) for c in ("pos", "score", "words")])
 
-    def choose(frame):
-        left, out = list(frame.sort_values("place").itertuples()), []
-        sets = {r.place: set(r.words) for r in left}
-        like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] and sets[b] else 0.0
+    def picked(scores: list[float], sets: list[set]) -> list[int]:
+        left, out, near = list(range(len(scores))), [], [0.0] * len(scores)  # near: the likeness to the likest one chosen
         while left and len(out) < k:
-            r = max(left, key=lambda r: (weight * r.score - (1 - weight) * max((like(r.place, o.place) for o in out), default=0.0), -r.place))
+            r = max(left, key=lambda i: (weight * scores[i] - (1 - weight) * near[i], -i))
             out.append(r)
             left.remove(r)
-        return frame.set_index("place").loc[[r.place for r in out]].assign(chosen=range(1, len(out) + 1)).reset_index()[["doc_id", "pos", "chosen"]]
+            for i in left:
+                shared = len(sets[i] & sets[r])
+                near[i] = max(near[i], shared / (len(sets[i]) + len(sets[r]) - shared) if shared else 0.0)
+        return out
 
-    return best.groupBy("doc_id").applyInPandas(choose, "doc_id long, pos int, chosen int")
+    def choose(batches):
+        for b in batches:
+            own, places, order = [], [], []
+            for i, (pos, scores, words) in enumerate(zip(b["pos"], b["score"], b["words"], strict=True)):
+                at = pos.as_py()
+                chosen = picked(scores.as_py(), [set(w) for w in words.as_py()])
+                own += [i] * len(chosen)
+                places += [at[c] for c in chosen]
+                order += range(1, len(chosen) + 1)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(own, pa.int64())), pa.array(places, pa.int32()), pa.array(order, pa.int32())], ["doc_id", "pos", "chosen"])
+
+    return each.mapInArrow(choose, "doc_id long, pos int, chosen int")
 
 
 @query()
 def mmr_sentences(t):
     """Five varied sentences of each document; a sentence's relevance is its share of the document's words."""
-    rows = t.documents.select("doc_id", word_set(F.col("text")).alias("all"), F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "s"))
-    rows = rows.select("doc_id", "pos", word_set(F.col("s")).alias("words"), F.round(F.size(word_set(F.col("s"))) / F.size("all"), 8).alias("score"))
-    return mmr(rows, 5)
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", "text", F.size(word_set(F.col("text"))).alias("all"))  # once a text, not once a sentence
+    rows = rows.select("doc_id", "all", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "s"))
+    rows = rows.select("doc_id", "all", "pos", word_set(F.col("s")).alias("words"))
+    return mmr(rows.select("doc_id", "pos", "words", F.round(F.size("words") / F.col("all"), 8).alias("score")), 5)

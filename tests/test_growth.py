@@ -42,3 +42,7 @@ def test_search_by_blocks(spark, monkeypatch, kept):
         for place, (s, i) in enumerate([x for x in sorted(every.get(q, [])) if not kept or ok(x[1])][:3], 1):
             want[q, place] = (i, -s)
     assert got == want and len(got) > 20
+
+
+def test_sentences_without_a_frame_for_each_document(spark):
+    assert "FlatMapGroupsInPandas" not in of(spark, "mmr_sentences")
