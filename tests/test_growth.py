@@ -44,5 +44,9 @@ def test_search_by_blocks(spark, monkeypatch, kept):
     assert got == want and len(got) > 20
 
 
+def test_an_alias_has_one_person_before_it_is_asked_for(spark):
+    assert "Window" not in of(spark, "alias_priority")
+
+
 def test_sentences_without_a_frame_for_each_document(spark):
     assert "FlatMapGroupsInPandas" not in of(spark, "mmr_sentences")
