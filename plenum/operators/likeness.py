@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from plenum.functions.text import let
-from plenum.operators.relops import distinct_on
+from plenum.operators.relops import spread
+from plenum.operators.shared import written
 
 
 @F.pandas_udf(DoubleType())
@@ -38,11 +39,13 @@ def clean_title(title: Column) -> Column:
 def likest(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, names: list[str], name: str, least: float = 0.4) -> DataFrame:
     """left_id, right_id, score: of right's rows with left's key, the one whose name is likest to any of left's names; above least only.
 
-    Names are held against each other once for each key, however many rows have them, and only where letters and lengths allow more than least. The
+    Two names are held against each other once, whatever number of keys and rows have them, and only where letters and lengths allow more than least. The
     least right_id has a name's place, and wins ties."""
     own = left.select(left_id, key, F.explode(F.array_distinct(F.array(*[clean_title(F.col(n)) for n in names]))).alias("_x")).filter("_x != ''")
     theirs = right.select(key, clean_title(F.col(name)).alias("_y"), right_id).groupBy(key, "_y").agg(F.min(right_id).alias(right_id))
-    pairs = own.select(key, "_x").distinct().join(theirs, key).filter(most_alike(F.col("_x"), F.col("_y")) > least)
-    scored = pairs.withColumn("score", sequence_ratio("_x", "_y")).filter(F.col("score") > least)
-    best = distinct_on(scored, [key, "_x"], [F.desc("score"), F.col(right_id)])
-    return distinct_on(own.join(best, [key, "_x"]), [left_id], [F.desc("score"), F.col(right_id)]).select(left_id, right_id, "score")
+    met = own.select(key, "_x").distinct().join(theirs, key)
+    scored = spread(written(met.select("_x", "_y").distinct())).filter(most_alike(F.col("_x"), F.col("_y")) > least)
+    scored = written(scored.withColumn("score", sequence_ratio("_x", "_y")).filter(F.col("score") > least))
+    best = lambda df, keys: df.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), right_id)).alias("_best")).select(*keys, (-F.col("_best.s")).alias("score"), f"_best.{right_id}")
+    named = best(met.join(scored, ["_x", "_y"]), [key, "_x"])
+    return best(own.join(named, [key, "_x"]), [left_id]).select(left_id, right_id, "score")

@@ -48,5 +48,9 @@ def test_an_alias_has_one_person_before_it_is_asked_for(spark):
     assert "Window" not in of(spark, "alias_priority")
 
 
+def test_names_are_held_against_each_other_once(spark):
+    assert "ArrowEvalPython" not in of(spark, "likest_titles")
+
+
 def test_sentences_without_a_frame_for_each_document(spark):
     assert "FlatMapGroupsInPandas" not in of(spark, "mmr_sentences")
