@@ -54,3 +54,12 @@ def test_names_are_held_against_each_other_once(spark):
 
 def test_sentences_without_a_frame_for_each_document(spark):
     assert "FlatMapGroupsInPandas" not in of(spark, "mmr_sentences")
+
+
+def test_matches_by_either_key_are_not_made_distinct(spark):
+    left = spark.createDataFrame([(1, 1, 9), (1, 7, 5), (2, 1, None), (2, 1, None), (3, None, 5), (4, 8, 8)], "k long, a long, b long")
+    right = spark.createDataFrame([("x", 1, 5), ("x", 1, 5), ("y", None, 5), ("z", 7, None), ("w", 0, 0)], "n string, c long, d long")
+    met = relops.either_join(left, right, [("a", "c"), ("b", "d")], "k")
+    assert sorted((r.k, r.n) for r in met.collect()) == [(1, "x"), (1, "y"), (1, "z"), (2, "x"), (3, "x"), (3, "y")]
+    text = of(spark, "disjunctive_join")
+    assert "HashAggregate" not in text[: text.index("Union")]
