@@ -2,10 +2,14 @@
 
 import datetime
 import random
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from test_scale import SMALL, plan
 
+from plenum.functions import rules
 from plenum.operators import fulltext, relops
 from plenum.plans import registry
 
@@ -63,3 +67,15 @@ def test_matches_by_either_key_are_not_made_distinct(spark):
     assert sorted((r.k, r.n) for r in met.collect()) == [(1, "x"), (1, "y"), (1, "z"), (2, "x"), (3, "x"), (3, "y")]
     text = of(spark, "disjunctive_join")
     assert "HashAggregate" not in text[: text.index("Union")]
+
+
+def test_words_without_blanks_cost_their_length(spark):
+    """A file name is looked for once a word; what is found stays the same."""
+    pick, old, new = random.Random(5), re.compile(r"(?i)\S+\.(?:pdf|docx?|txt)\b"), re.compile(r"(?i)(?<!\S)\S+\.(?:pdf|docx?|txt)\b")
+    for _ in range(3000):
+        text = "".join(pick.choices(["a", ".", ".pdf", ".doc", "x", " ", "_", "é", "-"], k=pick.randint(0, 14)))
+        assert old.sub(" ", text) == new.sub(" ", text)
+    began = time.perf_counter()
+    rows = spark.createDataFrame([(1, "ab.c" * 100_000), (2, "een gewone zin " * 20)], "k long, text string")
+    assert {r.k: r.g for r in rows.select("k", rules.garbled(F.col("text")).alias("g")).collect()} == {1: True, 2: False}
+    assert time.perf_counter() - began < 20
