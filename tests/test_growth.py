@@ -69,6 +69,11 @@ def test_matches_by_either_key_are_not_made_distinct(spark):
     assert "HashAggregate" not in text[: text.index("Union")]
 
 
+def test_sections_are_normalised_before_they_meet(spark):
+    text = of(spark, "parent_repair")
+    assert "regexp_replace" not in text[: text.index("Join ")]
+
+
 def test_words_without_blanks_cost_their_length(spark):
     """A file name is looked for once a word; what is found stays the same."""
     pick, old, new = random.Random(5), re.compile(r"(?i)\S+\.(?:pdf|docx?|txt)\b"), re.compile(r"(?i)(?<!\S)\S+\.(?:pdf|docx?|txt)\b")
