@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +43,23 @@ def names_in_order(hits: DataFrame, key: str) -> DataFrame:
 def apart(hits: DataFrame, key: str) -> DataFrame:
     """Of hits, those that share no word: the longest entries are taken first, then as they stand in the text. A text's hits are one small array."""
     each = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "at", "name"))).alias("all"))
-    free = lambda taken, x: ~F.exists(taken, lambda y: (x["at"] < y["at"] - y["less"]) & (y["at"] < x["at"] - x["less"]))
-    begin = F.array().cast(each.schema["all"].dataType)
-    taken = F.aggregate("all", begin, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return each.select(key, F.explode(taken).alias("x")).select(key, (-F.col("x.less")).alias("n"), "x.at", "x.name")
+    each = each.select(key, *[F.col("all").getField(c).alias(c) for c in ("less", "at", "name")])
+
+    def taken(batches):
+        for batch in batches:
+            own, out = [], []
+            for i, columns in enumerate(zip(batch["less"], batch["at"], batch["name"], strict=True)):
+                words: set[int] = set()
+                for less, at, name in zip(*(c.as_py() for c in columns), strict=True):
+                    mine = range(at, at - less)
+                    if words.isdisjoint(mine):
+                        words.update(mine)
+                        own.append(i)
+                        out.append((-less, at, name))
+            left = batch[key].take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([left, *[pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [(), (), ()], (pa.int32(), pa.int32(), pa.string()), strict=True)]], [key, "n", "at", "name"])
+
+    return each.mapInArrow(taken, f"`{key}` {hits.schema[key].dataType.simpleString()}, n int, at int, name string")
 
 
 def query_entities(questions: DataFrame, key: str, text: str, registry: DataFrame, gazetteer: DataFrame, nodes: DataFrame, longest: int = LONGEST) -> DataFrame:

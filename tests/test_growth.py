@@ -84,3 +84,7 @@ def test_words_without_blanks_cost_their_length(spark):
     rows = spark.createDataFrame([(1, "ab.c" * 100_000), (2, "een gewone zin " * 20)], "k long, text string")
     assert {r.k: r.g for r in rows.select("k", rules.garbled(F.col("text")).alias("g")).collect()} == {1: True, 2: False}
     assert time.perf_counter() - began < 20
+
+
+def test_entries_apart_by_taken_words(spark):
+    assert "aggregate(" not in of(spark, "entities_apart")
