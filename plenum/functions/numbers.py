@@ -11,14 +11,14 @@ from plenum.functions.text import let
 def dutch_number(raw: Column) -> Column:
     """Text to double: blanks, €, $ and a last % are dropped; mln, mlj, miljoen, mrd and miljard scale what stands before them;
     a comma is decimal; dots group thousands beside a comma, before three last digits, or if there are several."""
-    x = F.lower(F.regexp_replace(F.regexp_replace(raw, r"[€$\s\u00a0]", ""), "%$", ""))
     million, billion = r"(ml[nj]|miljoen).*$", r"(mrd|miljard).*$"
-    scale = F.when(x.rlike(million), 1e6).when(x.rlike(billion), 1e9).otherwise(1.0)
-    x = F.when(x.rlike(million), F.regexp_replace(x, million, "")).otherwise(F.regexp_replace(x, billion, ""))
-    no_dots = F.replace(x, F.lit("."), F.lit(""))
-    grouped = x.contains(",") | x.rlike(r"^[^.]*\.[^.]{3}$") | x.rlike(r"\..*\.")
-    plain = F.when(grouped, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(x)
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double")) * scale
+    scale = lambda x: F.when(x.rlike(million), 1e6).when(x.rlike(billion), 1e9).otherwise(1.0)
+    unscaled = lambda x: F.when(x.rlike(million), F.regexp_replace(x, million, "")).otherwise(F.regexp_replace(x, billion, ""))
+    grouped = lambda x: x.contains(",") | x.rlike(r"^[^.]*\.[^.]{3}$") | x.rlike(r"\..*\.")
+    plain = lambda x: F.when(grouped(x), F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(x)
+    value = lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), x.try_cast("double"))
+    bare = F.lower(F.regexp_replace(F.regexp_replace(raw, r"[€$\s\u00a0]", ""), "%$", ""))
+    return let(bare, lambda x: let(unscaled(x), lambda y: let(plain(y), value)) * scale(x))
 
 
 def has_number(cell: Column) -> Column:

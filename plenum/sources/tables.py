@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions.numbers import dutch_number, euro_amount, has_number, multiplier
 from plenum.functions.text import clean_label
+from plenum.operators.shared import written
 
 SCHEMA = "headers array<string>, rows array<array<string>>"
 #: What headers and rows are known by.
@@ -15,10 +16,15 @@ AMOUNT = r"(?i)(lasten|baten|saldo|begroting|realisatie|werkelijk|bijgesteld|pri
 YEAR, TOTAL = r"\b(20[12]\d)\b", r"(?i)^(totaal|subtotaal|totalen|total|sub\s*totaal)\b"
 
 
+def once(value: Column) -> Column:
+    """value as a generated column: it is computed once, and not again in each filter or column that reads it."""
+    return F.explode(F.array(value))
+
+
 def parsed(tables: DataFrame, json_col: str = "table_json") -> DataFrame:
     """tables with headers and rows; what is no such JSON has neither."""
-    j = F.from_json(json_col, SCHEMA)
-    return tables.withColumns({"headers": j["headers"], "rows": j["rows"]}).drop(json_col)
+    told = tables.select(*[c for c in tables.columns if c != json_col], once(F.from_json(json_col, SCHEMA)).alias("_j"))
+    return told.withColumns({"headers": F.col("_j.headers"), "rows": F.col("_j.rows")}).drop("_j")
 
 
 def without_header_rows(headers: Column, rows: Column) -> Column:
@@ -38,7 +44,7 @@ def table_numbers(tables: DataFrame, key: str) -> DataFrame:
     cells = rows.withColumn("label", label).filter((F.col("label") != "") & (F.lower("label") != "totaal generaal"))
     cells = cells.select(key, "headers", "row_idx", "label", F.posexplode("row").alias("i", "raw")).withColumn("head", F.trim(F.get("headers", F.col("i"))))
     year = F.nullif(F.regexp_extract("head", r"^((?:19|20)\d{2})", 1), F.lit(""))
-    found = cells.withColumn("year", year).filter("i > 0 or year is not null").withColumn("value", dutch_number(F.col("raw"))).filter("value != 0")
+    found = cells.withColumn("year", year).filter("i > 0 or year is not null").select(key, "row_idx", "label", "year", once(dutch_number(F.col("raw"))).alias("value")).filter("value != 0")
     return found.select(key, "row_idx", "label", "year", "value")
 
 
@@ -77,6 +83,7 @@ def fact_lines(tables: DataFrame, key: str) -> DataFrame:
 
     A row with a programme and no numbers heads those below it; a row without a programme takes the last one; totals are told apart by
     their first word, belong to the last programme, and have the sub programme 'totaal'. Zeros count only as a balance."""
+    tables = written(tables)  # read twice: its layout, and its cells
     rows = tables.join(layouts(tables, key), key).select(key, "programma", "sub", "consumed", "factor", "columns", F.posexplode("rows").alias("at", "row")).filter("at >= consumed - 1")
     cell = lambda i: F.coalesce(F.trim(F.get("row", i)), F.lit(""))
     rows = rows.withColumns({"row_idx": F.col("at") - F.col("consumed") + 1, "p": cell(F.col("programma")), "s": F.when(F.col("sub").isNotNull(), cell(F.col("sub"))).otherwise("")})
@@ -86,6 +93,6 @@ def fact_lines(tables: DataFrame, key: str) -> DataFrame:
     carried = F.last("own", ignorenulls=True).over(Window.partitionBy(key).orderBy("at"))
     rows = rows.withColumn("name", carried).filter(~F.col("heads") & (F.col("name").isNotNull() | F.col("total")))
     cells = rows.select(key, "row_idx", "name", F.when(F.col("total"), "totaal").otherwise(clean_label(F.col("s"))).alias("sub_programma"), "factor", "row", F.explode("columns").alias("c"))
-    cells = cells.withColumn("raw", F.coalesce(F.trim(F.get("row", F.col("c.i"))), F.lit(""))).filter("raw != ''").withColumn("amount", euro_amount(F.col("raw"), F.col("factor")))
+    cells = cells.withColumn("raw", F.coalesce(F.trim(F.get("row", F.col("c.i"))), F.lit(""))).filter("raw != ''").select("*", once(euro_amount(F.col("raw"), F.col("factor"))).alias("amount"))
     kept = cells.filter(F.col("amount").isNotNull() & ((F.col("amount") != 0) | (F.col("c.label") == "Saldo")))
     return kept.select(key, "row_idx", F.col("c.i").alias("col_idx"), F.col("name").alias("programma"), "sub_programma", F.col("c.jaar").alias("jaar"), F.col("c.label").alias("label"), "amount", F.sha2("raw", 256).alias("sha256"))

@@ -69,6 +69,14 @@ def test_matches_by_either_key_are_not_made_distinct(spark):
     assert "HashAggregate" not in text[: text.index("Union")]
 
 
+def test_numbers_are_read_once(spark):
+    assert not any("mrd" in line for line in of(spark, "table_numbers").splitlines() if "Filter" in line)
+
+
+def test_tables_are_made_once(spark):
+    assert "l_linenumber" not in of(spark, "table_fact_lines")
+
+
 def test_sections_are_normalised_before_they_meet(spark):
     text = of(spark, "parent_repair")
     assert "regexp_replace" not in text[: text.index("Join ")]
