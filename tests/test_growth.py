@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_scale import SMALL, plan
 
 from plenum.functions import rules
-from plenum.operators import fulltext, relops
+from plenum.operators import fulltext, louvain, relops
 from plenum.plans import registry
 
 
@@ -96,3 +96,15 @@ def test_words_without_blanks_cost_their_length(spark):
 
 def test_entries_apart_by_taken_words(spark):
     assert "aggregate(" not in of(spark, "entities_apart")
+
+
+def test_a_sweep_is_judged_by_what_the_next_one_offers(spark, monkeypatch):
+    """Modularity is asked for once a level at most, and arrays of a few neighbours give what long ones give."""
+    pick, asked, whole = random.Random(4), [], louvain.modularity
+    edges = spark.createDataFrame([(a, b) for a in range(60) for b in range(a) if pick.random() < (0.5 if a % 4 == b % 4 else 0.05)], "a long, b long")
+    monkeypatch.setattr(louvain, "modularity", lambda *x: asked.append(1) or whole(*x))
+    edges = louvain.weighted(edges)
+    found, gained = louvain._level(edges, float(edges.count()), 6)
+    assert gained and len(asked) <= 1 and whole(edges, found) > 0.3
+    monkeypatch.setattr(louvain, "LISTED", 3)
+    assert set(louvain._level(edges, float(edges.count()), 6)[0].collect()) == set(found.collect())
