@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_scale import SMALL, plan
 
-from plenum.functions import rules
+from plenum.functions import dutch, rules
 from plenum.operators import fulltext, louvain, relops
 from plenum.plans import registry
 
@@ -108,3 +108,21 @@ def test_a_sweep_is_judged_by_what_the_next_one_offers(spark, monkeypatch):
     assert gained and len(asked) <= 1 and whole(edges, found) > 0.3
     monkeypatch.setattr(louvain, "LISTED", 3)
     assert set(louvain._level(edges, float(edges.count()), 6)[0].collect()) == set(found.collect())
+
+
+def test_postings_are_put_in_order_together(spark, monkeypatch):
+    """Texts of any number at once give what each gives by itself; places are written without a function for each of them."""
+    assert "transform" not in of(spark, "stemmed_index")
+    pick, words = random.Random(6), "de huizen lopende Bomen vis-en 1e İstanbul ander nacht".split()
+    texts = [(i, " ".join(pick.choices(words, k=pick.randint(0, 9))), pick.choice([None, "Bomen de", ""])) for i in range(30)]
+    want = set()
+    for i, text, name in texts:
+        found, after = dutch.terms(text), sum(1 for _ in dutch.WORD.finditer(text))
+        more = [(after + p, t) for p, t in dutch.terms(name, stems=False)]
+        for term in {t for _, t in found + more}:
+            want.add((i, term, tuple(p for p, t in found if t == term), tuple(p for p, t in more if t == term), len(found) + len(more)))
+    for held in (1, 20, 50_000):
+        monkeypatch.setattr(fulltext, "HELD", held)
+        monkeypatch.setattr(fulltext, "NUMBERED", held)
+        rows = fulltext.inverted(spark.createDataFrame(texts, "k long, text string, name string"), "k", ["text"], ["name"]).collect()
+        assert len(rows) == len(want) and {(r.k, r.term, tuple(r.text_at), tuple(r.name_at), r.n) for r in rows} == want
