@@ -44,6 +44,8 @@ def recursive_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: Characters of a narrative chunk at most, and about as many that the next one takes along.
 NARRATIVE, CARRIED = 2000, 250
+#: Characters of chunks that a task holds before it hands them on.
+HELD = 1_000_000
 HEADING = re.compile(r"(#{1,4})\s+(\S.*)", re.DOTALL)
 CAPITALS = re.compile(r"[A-Z][A-Z\s]{3,}")
 
@@ -101,12 +103,25 @@ def narrative_chunks(docs: DataFrame, id_col: str, name_col: str, text_col: str)
 
     def cut(batches):
         for b in batches:
-            rows = [(i, k, *c) for i, (n, t) in enumerate(zip(b[name_col].to_pylist(), b[text_col].to_pylist(), strict=True)) for k, c in enumerate(narrative(t or "", n or ""))]
-            if rows:
+            rows: list[tuple] = []
+            held = 0
+
+            def handed(b=b, rows=rows):
                 at, *columns = zip(*rows, strict=True)
                 kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
                 own = b[id_col].take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, "chunk_index", "title", "path", "content"])
+                return pa.RecordBatch.from_arrays([own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, "chunk_index", "title", "path", "content"])
+
+            for i, (name, text) in enumerate(zip(b[name_col], b[text_col], strict=True)):
+                for k, found in enumerate(narrative(text.as_py() or "", name.as_py() or "")):
+                    rows.append((i, k, *found))
+                    held += sum(map(len, found))
+                    if held >= HELD:
+                        yield handed()
+                        rows.clear()
+                        held = 0
+            if rows:
+                yield handed()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, name_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, chunk_index int, title string, path string, content string")

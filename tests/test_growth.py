@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_scale import SMALL, plan
@@ -12,6 +13,7 @@ from test_scale import SMALL, plan
 from plenum.functions import dutch, rules
 from plenum.operators import fulltext, louvain, relops
 from plenum.plans import registry
+from plenum.sources import chunks as sources
 
 
 def of(spark, name):
@@ -126,3 +128,13 @@ def test_postings_are_put_in_order_together(spark, monkeypatch):
         monkeypatch.setattr(fulltext, "NUMBERED", held)
         rows = fulltext.inverted(spark.createDataFrame(texts, "k long, text string, name string"), "k", ["text"], ["name"]).collect()
         assert len(rows) == len(want) and {(r.k, r.term, tuple(r.text_at), tuple(r.name_at), r.n) for r in rows} == want
+
+
+def test_narrative_chunks_are_handed_on_as_they_are_made(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"doc {i}", "# Kop\n\n" + "\n\n".join(f"Alinea {j} van {i}. " * 20 for j in range(40))) for i in range(3)] + [(9, None, None)], "k long, name string, text string").coalesce(1)
+    made, sizes = sources.narrative_chunks(docs, "k", "name", "text").collect(), []
+    whole = pa.RecordBatch.from_arrays
+    monkeypatch.setattr(sources, "HELD", 5000)
+    monkeypatch.setattr(docs.__class__, "mapInArrow", lambda df, f, schema: sizes.extend(b.num_rows for b in f(iter([whole([pa.array([r[c] for r in docs.collect()]) for c in docs.columns], docs.columns)]))) or df)
+    sources.narrative_chunks(docs, "k", "name", "text")
+    assert sum(sizes) == len(made) > 20 and max(sizes) <= 4
