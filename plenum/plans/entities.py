@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.operators.relops import distinct_on, spread
+from plenum.operators.relops import distinct_on, listed, ranked, spread
 from plenum.operators.shared import written
 from plenum.plans.registry import query
 
@@ -71,14 +74,25 @@ LABELS = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FRO
 @query(f"WITH {LABELS} SELECT node, label FROM l{ROUNDS}")
 def communities(t):
     """Label propagation: in each of a few rounds, a node takes the label that most of its neighbours have, the least one on ties."""
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = t.lineitem.select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b")).distinct()
-    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-    for _ in range(ROUNDS):
-        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.count("*").alias("c"))
-        labels = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("c"), "label")).alias("label"))
-    return labels
+    e = written(t.lineitem.select("l_suppkey", "l_partkey").distinct())
+    sides = {"s": "l_suppkey", "p": "l_partkey"}
+    nodes = reduce(DataFrame.unionByName, [e.select(F.lit(p).alias("side"), F.col(c).alias("key")).distinct() for p, c in sides.items()])
+    # a node's number is its name's place, so the least number is the least name, and votes are counted and compared as numbers
+    names = ranked(nodes.filter("key is not null").select("side", "key", F.concat("side", F.col("key").cast("string")).alias("node")), [], [F.col("node")])
+    names = written(names.select("side", "key", "node", F.col("place").alias("id")))
+    for p, c in sides.items():
+        e = e.join(names.filter(F.col("side") == p).select(F.col("key").alias(c), F.col("id").alias(p)), c, "left").drop(c)
+    both = e.select(F.explode(F.array(F.struct(F.col("s").alias("a"), F.col("p").alias("b")), F.struct(F.col("p").alias("a"), F.col("s").alias("b")))).alias("x")).select("x.*")
+    near = written(listed(both.filter("b is not null"), "b", ["a"]))
+    # at first every neighbour has a label of its own, so the least one is taken; then labels meet all neighbours of a node at once and are shuffled once a round
+    labels = near.select(F.explode("near.a").alias("id"), F.col("b").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
+    for _ in range(ROUNDS - 1):
+        votes = near.join(labels.withColumnRenamed("id", "b"), "b").select(F.explode("near.a").alias("id"), "label").repartition("id")
+        votes = votes.groupBy("id", "label").agg(F.count("*").alias("c"))
+        most = F.max(F.shiftleft("c", 32) - F.col("label"))  # most votes, then the least label; places stay under 2^32
+        labels = votes.groupBy("id").agg(F.pmod(-most, F.lit(1 << 32)).alias("label"))
+    of = lambda a, b: names.select(F.col("id").alias(a), F.col("node").alias(b))
+    return labels.join(of("id", "node"), "id", "left").join(of("label", "name"), "label").select("node", F.col("name").alias("label"))
 
 
 @query("""WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Raadsvergadering' ELSE substr(o_orderpriority, 3) END AS label FROM orders) SELECT o_orderkey, CAST(d AS VARCHAR) AS d, label FROM (SELECT *, row_number() OVER (PARTITION BY d, label ORDER BY o_orderkey) rn FROM m) WHERE rn = 1""")

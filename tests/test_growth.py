@@ -138,3 +138,12 @@ def test_narrative_chunks_are_handed_on_as_they_are_made(spark, monkeypatch):
     monkeypatch.setattr(docs.__class__, "mapInArrow", lambda df, f, schema: sizes.extend(b.num_rows for b in f(iter([whole([pa.array([r[c] for r in docs.collect()]) for c in docs.columns], docs.columns)]))) or df)
     sources.narrative_chunks(docs, "k", "name", "text")
     assert sum(sizes) == len(made) > 20 and max(sizes) <= 4
+
+
+def test_labels_are_numbers_and_rows_of_a_key_stand_in_arrays(spark):
+    assert "SortAggregate" not in of(spark, "communities")
+    df = spark.createDataFrame([(k, v) for k in range(4) for v in range(10 * k)] + [(None, 1)], "k long, v long")
+    for most in (3, 100):
+        rows = relops.listed(df, "k", ["v"], most).collect()
+        assert sorted((str(r.k), x.v) for r in rows for x in r.near) == sorted((str(r.k), r.v) for r in df.collect())
+        assert len(rows) == 4 or most == 3
