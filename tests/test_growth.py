@@ -12,7 +12,8 @@ from test_scale import SMALL, plan
 
 from plenum.functions import dutch, rules
 from plenum.operators import fulltext, louvain, relops
-from plenum.plans import registry
+from plenum.plans import linking, registry
+from plenum.plans.registry import Tables
 from plenum.sources import chunks as sources
 
 
@@ -147,3 +148,17 @@ def test_labels_are_numbers_and_rows_of_a_key_stand_in_arrays(spark):
         rows = relops.listed(df, "k", ["v"], most).collect()
         assert sorted((str(r.k), x.v) for r in rows for x in r.near) == sorted((str(r.k), r.v) for r in df.collect())
         assert len(rows) == 4 or most == 3
+
+
+def test_lines_are_numbered_once(spark):
+    """Documents of an item come with its lines, a part's keywords are found before it meets them."""
+    assert "l_orderkey" not in of(spark, "item_documents")
+
+
+def test_keywords_are_found_once_a_part(spark, monkeypatch):
+    names, whole = [], linking.keywords
+    monkeypatch.setattr(linking, "keywords", lambda name: names.append(1) or whole(name))
+    text = plan(linking.agenda(Tables(spark, SMALL)))
+    assert names and "lambda" not in text[: text.index("Join ")]
+    linking.parents(linking.agenda(Tables(spark, SMALL)), "g", "pos", F.col("number"), None, F.col("ws"))
+    assert len(names) == 2
