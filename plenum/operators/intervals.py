@@ -78,23 +78,44 @@ def audited_offices(register: DataFrame, evidence: DataFrame, name: str = "name"
     """name, finding, day, until, days: what a register of offices (name, begin, end) and letters of appointment (name, day) don't agree on.
 
     appointment_without_record: no office of that name; date_mismatch: the nearest office begins more than near days away (days);
-    record_without_appointment: a stretch of offices in a row of a name that no letter names; overlap: more than one office at a time, with how many."""
-    spans = coalesced(register, [name])
-    named = evidence.filter("day is not null").select(name, "day")
-    record = named.join(register.select(name).distinct().withColumn("_there", F.lit(True)), name, "left")
-    none = F.lit(None)
-    missing = record.filter("_there is null").select(name, F.lit("appointment_without_record").alias("finding"), "day", none.cast("date").alias("until"), none.cast("int").alias("days"))
-    begins = register.filter("begin is not null").select(name, "begin").distinct()
-    before = as_of(named, begins, [name], "day", "begin", ["begin"])
-    after = as_of(before.withColumn("_back", -F.unix_date("day")), begins.withColumns({"_back": -F.unix_date("begin"), "next": F.col("begin")}), [name], "_back", "_back", ["next"])
-    gap = F.least(F.datediff("day", "begin"), F.datediff("next", "day"))
-    late = after.withColumn("days", gap).filter(F.col("days") > near).select(name, F.lit("date_mismatch").alias("finding"), "day", none.cast("date").alias("until"), "days")
-    silent = spans.join(named.select(name).distinct(), name, "left_anti").select(name, F.lit("record_without_appointment").alias("finding"), F.col("begin").alias("day"), F.col("end").alias("until"), none.cast("int").alias("days"))
-    w = Window.partitionBy(name).orderBy("begin", _end("end")).rowsBetween(Window.unboundedPreceding, -1)
-    twice = register.filter("begin is not null").withColumn("_before", F.max(_end("end")).over(w)).filter(F.col("begin") <= F.col("_before"))
-    overlap = twice.groupBy(name, F.col("begin").alias("day")).agg(F.nullif(F.max(F.least(_end("end"), F.col("_before"))), F.lit(FAR).cast("date")).alias("until"), F.count("*").cast("int").alias("days"))
-    overlap = overlap.select(name, F.lit("overlap").alias("finding"), "day", "until", "days")
-    return missing.unionByName(late).unionByName(silent).unionByName(overlap)
+    record_without_appointment: a stretch of offices in a row of a name that no letter names; overlap: more than one office at a time, with how many.
+
+    Offices and letters of a name stand in one order of days, so that every finding is told by what stands before and after a row: one shuffle, one sort. An
+    office without a begin only says that its name is on record; a name that is null is nobody's."""
+    begun, letter = F.col("begin").isNotNull(), F.col("_letter") == 1
+    offices = register.select(name, F.col("begin").alias("_at"), F.lit(0).alias("_letter"), F.when(begun, _end("end")).alias("_until"))
+    letters = evidence.filter("day is not null").select(name, F.col("day").alias("_at"), F.lit(1).alias("_letter"), F.lit(None).cast("date").alias("_until"))
+    w = Window.partitionBy(name).orderBy("_at", "_letter", "_until")
+    whole, here = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    begin, until = F.when(~letter, F.col("_at")), F.col("_until")
+    rows = offices.unionByName(letters).withColumns({
+        "_before": F.max(until).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "_last": F.max(begin).over(here),
+        "_next": F.expr(f"lead(CASE WHEN _letter = 0 THEN _at END) IGNORE NULLS OVER (PARTITION BY `{name}` ORDER BY _at, _letter, _until)"),
+        "_known": F.min("_letter").over(whole) == 0,
+        "_named": F.max("_letter").over(whole) == 1,
+    })
+    office = ~letter & F.col("_at").isNotNull()
+    fresh = office & (F.col("_before").isNull() | (F.datediff("_at", "_before") > 1))
+    twice = office & (F.col("_at") <= F.col("_before"))
+    rows = rows.withColumns({"_run": F.count_if(fresh).over(here), "_from": F.max(F.when(fresh, F.col("_at"))).over(here)})
+    day = Window.partitionBy(name, "_at").orderBy("_letter", "_until").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the same order
+    rows = rows.withColumns({
+        "_to": F.max(F.when(office, F.struct("_run", "_until"))).over(here)["_until"],
+        "_times": F.count_if(twice).over(day),
+        "_both": F.max(F.when(twice, F.least("_until", "_before"))).over(day),
+    })
+    gap = F.least(F.datediff("_at", "_last"), F.datediff("_next", "_at"))
+    closes = F.col("_next").isNull() | (F.datediff("_next", F.greatest("_before", "_until")) > 1)
+    none, far = F.lit(None), lambda c: F.nullif(F.col(c), F.lit(FAR).cast("date"))
+    found = lambda kind, at, end, days: F.struct(F.lit(kind).alias("finding"), F.col(at).alias("day"), end.cast("date").alias("until"), days.cast("int").alias("days"))
+    first = (
+        F.when(letter & (~F.col("_known") | F.col(name).isNull()), found("appointment_without_record", "_at", none, none))
+        .when(letter & (gap > near), found("date_mismatch", "_at", none, gap))
+        .when(office & closes & (~F.col("_named") | F.col(name).isNull()), found("record_without_appointment", "_from", far("_to"), none))
+    )
+    second = F.when(office & (F.col("_times") > 0) & (F.col("_next").isNull() | (F.col("_next") > F.col("_at"))), found("overlap", "_at", far("_both"), F.col("_times")))
+    return rows.select(name, F.explode(F.array(first, second)).alias("_found")).filter("_found is not null").select(name, "_found.*")
 
 
 def aligned(segments: DataFrame, speakers: DataFrame, keys: list[str], speaker: str, begin: str = "start", end: str = "stop", width: float = 60.0, least: float = 1.0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_scale import SMALL, plan
 
 from plenum.functions import dutch, rules
-from plenum.operators import fulltext, louvain, relops
+from plenum.operators import fulltext, intervals, louvain, relops
 from plenum.plans import linking, registry
 from plenum.plans.registry import Tables
 from plenum.sources import chunks as sources
@@ -162,3 +162,35 @@ def test_keywords_are_found_once_a_part(spark, monkeypatch):
     assert names and "lambda" not in text[: text.index("Join ")]
     linking.parents(linking.agenda(Tables(spark, SMALL)), "g", "pos", F.col("number"), None, F.col("ws"))
     assert len(names) == 2
+
+
+def test_offices_and_letters_stand_in_one_order(spark):
+    """An audit costs one shuffle and one sort; its findings are those of plain Python, also without begins, ends and names, and with ends before begins."""
+    text = of(spark, "office_audit")
+    assert text.count("Exchange") == 1 and len(re.findall(r"\bSort\b", text)) == 1
+    pick, day, far = random.Random(8), lambda n: datetime.date(2000, 1, 1) + datetime.timedelta(n), datetime.date(9999, 12, 31)
+    name = lambda: pick.choice([*"abcdefghijkl", None])
+    begin = lambda: pick.randint(0, 400)
+    register = [(name(), day(b := begin()), pick.choice([None, day(b + pick.randint(-5, 40)), day(b + 3)])) for _ in range(60)] + [("m", None, day(9)), ("n", day(5), day(9)), ("n", day(9), day(9)), ("n", day(10), None), *[("k", day(7), day(8))] * 2]
+    letters = [(name(), day(begin())) for _ in range(25)] + [("m", day(3)), ("n", None), ("z", day(1)), ("z", day(1)), ("c", day(500))]
+    letters = [x for x in letters if x[0] not in ("a", "b", "k")]
+    want, known, named = [], {n for n, *_ in register if n}, {n for n, d in letters if n and d}
+    for n, d in letters:
+        begins = [b for m, b, _ in register if m == n and b] if n and d else []
+        if d and n not in known:
+            want.append((n, "appointment_without_record", d, None, None))
+        elif begins and (gap := min(abs((d - b).days) for b in begins)) > 30:
+            want.append((n, "date_mismatch", d, None, gap))
+    for n in {x[0] for x in register}:
+        top, runs, times = None, [], {}
+        for b, e in sorted((b, e or far) for m, b, e in register if m == n and b):
+            if top is None or (b - top).days > 1:
+                runs.append([b, e])
+            runs[-1][1] = max(runs[-1][1], e)
+            if top is not None and b <= top:
+                times.setdefault(b, []).append(min(e, top))
+            top = e if top is None else max(top, e)
+        want += [(n, "record_without_appointment", b, None if e == far else e, None) for b, e in runs if n not in named]
+        want += [(n, "overlap", b, None if max(e) == far else max(e), len(e)) for b, e in times.items()]
+    got = intervals.audited_offices(spark.createDataFrame(register, "name string, begin date, end date"), spark.createDataFrame(letters, "name string, day date"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len({x[1] for x in want}) == 4
