@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 import time
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -12,7 +13,7 @@ from test_scale import SMALL, plan
 
 from plenum.functions import dutch, rules
 from plenum.operators import fulltext, intervals, louvain, relops
-from plenum.plans import linking, registry
+from plenum.plans import linking, registry, retrieval
 from plenum.plans.registry import Tables
 from plenum.sources import chunks as sources
 
@@ -194,3 +195,37 @@ def test_offices_and_letters_stand_in_one_order(spark):
         want += [(n, "overlap", b, None if max(e) == far else max(e), len(e)) for b, e in times.items()]
     got = intervals.audited_offices(spark.createDataFrame(register, "name string, begin date, end date"), spark.createDataFrame(letters, "name string, day date"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len({x[1] for x in want}) == 4
+
+
+def test_a_seed_is_walked_from_once(spark, monkeypatch):
+    """Questions that share seeds get what each gets by itself in plain Python; what they hit is sorted, not held in a table of pairs."""
+    assert not re.search(r"Aggregate\(keys=\[q#\d+L?, chunk", of(spark, "graph_retrieval"))
+    monkeypatch.setattr(retrieval, "SEEDS", 7)
+    monkeypatch.setattr(retrieval, "MENTIONED", 50)
+    pick, walked, whole = random.Random(12), [], retrieval.beam_walk
+    monkeypatch.setattr(retrieval, "beam_walk", lambda e, seeds, *more: walked.append(seeds.count()) or whole(e, seeds, *more))
+    nodes = [f"n{i}" for i in range(25)]
+    edges = [(*pick.sample(nodes, 2), "K", pick.choice([0.25, 0.5, 0.5, 1.0])) for _ in range(45)]
+    asked = [(q, pick.choice([*nodes[:8], None])) for q in range(20) for _ in range(pick.randint(1, 4))]
+    mentions = [(pick.choice(nodes), pick.choice([*range(30), None])) for _ in range(260)]
+    near = {n: sorted({(b, c) for a, b, _, c in edges if a == n} | {(a, c) for a, b, _, c in edges if b == n}) for n in nodes}
+    assert len({(min(a, b), max(a, b)) for a, b, *_ in edges}) > 30
+    for k in (1, 2):
+        want = set()
+        for q in {q for q, _ in asked}:
+            seeds, ends = {n for p, n in asked if p == q and n}, {}
+            for seed in seeds:
+                paths = [(1.0, (seed,))]
+                for depth in (1, 2):
+                    grown = [(total * c, (*path, b)) for total, path in paths for b, c in near[path[-1]] if b not in path]
+                    paths = sorted(grown, key=lambda x: (-round(x[0], 9), ">".join(x[1])))[: 3 * k]
+                    for total, path in paths:
+                        place = (-round(total * 0.7 ** (depth - 1), 6), depth, ">".join(path))
+                        ends[path[-1]] = min(place, ends.get(path[-1], (1, 0, "")))
+            wanted = {n for _, n in sorted((p, n) for n, p in ends.items())[: 3 * k]} | seeds
+            hits = Counter(chunk for n, chunk in set(mentions) if n in wanted)
+            want |= {(q, c, n, i + 1) for i, (c, n) in enumerate(sorted(hits.items(), key=lambda x: (-x[1], -1 if x[0] is None else x[0]))[:k])}
+        frames = [spark.createDataFrame(rows, schema) for rows, schema in ((asked, "q long, node string"), (edges, "source string, target string, kind string, conf double"), (mentions, "node string, chunk long"))]
+        got = [tuple(r) for r in retrieval.graph_retrieve(*frames, k=k).collect()]
+        assert len(got) == len(want) > 15 and {(q, c, n, i) for q, c, n, i in got} == want
+    assert walked == [len({n for _, n in asked if n})] * 2
