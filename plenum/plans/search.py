@@ -351,4 +351,5 @@ def mmr_sentences(t):
     rows = spread(t.documents.select("doc_id", "text")).select("doc_id", "text", F.size(word_set(F.col("text"))).alias("all"))  # once a text, not once a sentence
     rows = rows.select("doc_id", "all", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "s"))
     rows = rows.select("doc_id", "all", "pos", word_set(F.col("s")).alias("words"))
-    return mmr(rows.select("doc_id", "pos", "words", F.round(F.size("words") / F.col("all"), 8).alias("score")), 5)
+    share = F.when(F.col("all") > 0, F.round(F.size("words") / F.col("all"), 8)).otherwise(0.0)  # a text may have no words
+    return mmr(rows.select("doc_id", "pos", "words", share.alias("score")), 5)
