@@ -132,7 +132,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first_third = (F.col("third") == 0) | (~in_first & ((F.col("third") == 1) | ~in_second))
     near = F.levenshtein("word", "b_word", 1) == 1
     met = (F.col("sig") == F.col("b_sig")) & (F.col("word") < F.col("b_word")) & (F.col("band") == short) & (F.col("part") == F.col("b_part")) & first_part & first_third & near
-    pairs = a.join(b, met).select("word", "n", F.col("b_word").alias("near"), F.col("b_n").alias("near_n"))
+    # signatures are sized by the words' table, which they exceed by far: b would be broadcast where that is small
+    pairs = a.join(b.hint("merge"), met).select("word", "n", F.col("b_word").alias("near"), F.col("b_n").alias("near_n"))
     each = F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     return pairs.select(each.alias("p")).select("p.*")
 
