@@ -1,6 +1,13 @@
 """Odd inputs and plans of queries that failed over larger tables."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from plenum.llm import spelling
+from plenum.operators import fulltext
+from plenum.operators.shared import written
 from plenum.plans import registry
 
 
@@ -19,3 +26,22 @@ def test_signatures_are_not_broadcast(spark):
     assert {(r.word, r.near) for r in pairs.collect()} == {("woning", "woninge"), ("woninge", "woning"), ("woningen", "woninge"), ("woninge", "woningen")}
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("most", [1, 8, None])
+def test_blocks_of_documents_are_bounded_by_postings(spark, monkeypatch, most):
+    """Blocks of any number of documents and postings give what one block gives, whatever kind of keys there is; none holds many postings more than its bound."""
+    pick, words = random.Random(11), [f"woord{i}" for i in range(40)]
+    docs = [(f"d{i:03}", " ".join(pick.choices(words[: pick.choice([3, 40])], k=pick.randint(1, 60)))) for i in range(90)]
+    d = spark.createDataFrame(docs + [(None, "woord1")], "id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(pick.sample(words, 6))) for i in range(30)], "q string, text string").withColumn("terms", fulltext.question_terms("text")).drop("text")
+    asked = asked.unionByName(asked.withColumn("q", F.concat("q", F.lit("again"))))
+    index = written(fulltext.inverted(d, "id", ["text"]))
+    whole = fulltext.search(asked, index, d, "id", k=4, most=most).collect()
+    packed, posted = [], fulltext._posted
+    monkeypatch.setattr(fulltext, "_posted", lambda *x: packed.append(posted(*x)) or packed[-1])
+    for name, value in (("POSTINGS", 100), ("DOCUMENTS", 25), ("QUESTIONS", 7), ("CELLS", 50)):
+        monkeypatch.setattr(fulltext, name, value)
+    assert set(fulltext.search(asked, index, d, "id", k=4, most=most).collect()) == set(whole) and len(whole) > 200
+    sizes = [len(r.d_docs) // 4 for r in packed[0].collect()]
+    assert sum(sizes) == index.filter("id is not null").count() and max(sizes) < 100 + 40 and len(sizes) > 5
