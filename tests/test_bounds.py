@@ -10,6 +10,9 @@ from plenum.operators import fulltext
 from plenum.operators.shared import written
 from plenum.plans import registry
 
+#: Queries whose questions are asked by all of their terms.
+ASKED_WHOLE = ["batched_search"]
+
 
 def test_texts_without_words_have_sentences(spark, tmp_path):
     """A text without words has sentences of no relevance; those of other texts are chosen as before."""
@@ -45,3 +48,22 @@ def test_blocks_of_documents_are_bounded_by_postings(spark, monkeypatch, most):
     assert set(fulltext.search(asked, index, d, "id", k=4, most=most).collect()) == set(whole) and len(whole) > 200
     sizes = [len(r.d_docs) // 4 for r in packed[0].collect()]
     assert sum(sizes) == index.filter("id is not null").count() and max(sizes) < 100 + 40 and len(sizes) > 5
+
+
+def test_a_question_is_asked_by_all_of_its_terms(spark):
+    """The ninth rarest term of a question finds a document that has no other, and counts where others are there."""
+    words = [f"woord{i}" for i in range(9)]
+    docs = [(i, " ".join(words[j] for j in range(9) if i > 20 - 2 * j)) for i in range(1, 21)]
+    d = spark.createDataFrame(docs, "id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(words[1:] + ["woord0"]))], "q long, text string").withColumn("terms", fulltext.question_terms("text")).drop("text")
+    docs_of = lambda most: {r.id: r.score for r in fulltext.search(asked.withColumn("terms", F.col("terms")), fulltext.inverted(d, "id", ["text"]), d, "id", k=30, most=most).collect()}
+    every, eight = docs_of(None), docs_of(8)
+    assert set(every) == {i for i, text in docs if text} and set(eight) < set(every) and all(every[i] >= s for i, s in eight.items())
+
+
+@pytest.mark.parametrize("name", ASKED_WHOLE)
+def test_whole_questions(spark, monkeypatch, name):
+    asked, search = [], fulltext.search
+    monkeypatch.setattr(fulltext, "search", lambda *x, **how: asked.append(how["most"]) or search(*x, **how))
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == [None] and "rn <= 8" not in registry.oracle_sql()[name]
