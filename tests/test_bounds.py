@@ -11,7 +11,7 @@ from plenum.operators.shared import written
 from plenum.plans import registry
 
 #: Queries whose questions are asked by all of their terms.
-ASKED_WHOLE = ["batched_search", "batched_hybrid", "broad_scan"]
+ASKED_WHOLE = ["batched_search", "batched_hybrid", "broad_scan", "role_search"]
 
 
 def test_texts_without_words_have_sentences(spark, tmp_path):
