@@ -53,7 +53,7 @@ def test_blocks_of_documents_are_bounded_by_postings(spark, monkeypatch, most):
 def test_a_question_is_asked_by_all_of_its_terms(spark):
     """The ninth rarest term of a question finds a document that has no other, and counts where others are there."""
     words = [f"woord{i}" for i in range(9)]
-    docs = [(i, " ".join(words[j] for j in range(9) if i > 20 - 2 * j)) for i in range(1, 21)]
+    docs = [(i, " ".join(words[j] for j in range(9) if i > 18 - 2 * j)) for i in range(1, 21)]
     d = spark.createDataFrame(docs, "id long, text string")
     asked = spark.createDataFrame([(1, " ".join(words[1:] + ["woord0"]))], "q long, text string").withColumn("terms", fulltext.question_terms("text")).drop("text")
     docs_of = lambda most: {r.id: r.score for r in fulltext.search(asked.withColumn("terms", F.col("terms")), fulltext.inverted(d, "id", ["text"]), d, "id", k=30, most=most).collect()}
