@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenum.llm import spelling
-from plenum.operators import fulltext
+from plenum.operators import fulltext, louvain
 from plenum.operators.shared import written
 from plenum.plans import registry
 
@@ -67,3 +67,16 @@ def test_whole_questions(spark, monkeypatch, name):
     monkeypatch.setattr(fulltext, "search", lambda *x, **how: asked.append(how["most"]) or search(*x, **how))
     registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert asked == [None] and "rn <= 8" not in registry.oracle_sql()[name]
+
+
+def test_nodes_with_names_are_numbers_in_a_sweep(spark, monkeypatch):
+    """Names as numbers give the communities that the names themselves give."""
+    pick = random.Random(12)
+    rows = [(f"n{a}", f"n{b}") for a in range(80) for b in range(a) if pick.random() < (0.4 if a % 5 == b % 5 else 0.04)]
+    edges = spark.createDataFrame(rows, "a string, b string")
+    kinds, level = [], louvain._level
+    monkeypatch.setattr(louvain, "_level", lambda e, *x: kinds.append(e.schema["a"].dataType.simpleString()) or level(e, *x))
+    found = {tuple(r) for r in louvain.louvain(edges, local_edges=100).collect()}
+    assert kinds and set(kinds) == {"bigint"} and {c for _, c in found} <= {n for n, _ in found} and len(found) == 80
+    monkeypatch.setattr(louvain, "_numbered", lambda e: (e, None))
+    assert {tuple(r) for r in louvain.louvain(edges, local_edges=100).collect()} == found
